@@ -11,7 +11,11 @@ from auditlake.sources.tables import load
 REG = Registry()
 
 MONEY = "CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE)"
-MEAN = "round(CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / count({c}), 6)"
+# Rounded as a decimal of the printed value, the way Spark rounds a double.
+MEAN = (
+    "CAST(round(CAST(CAST(CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / count({c}) AS VARCHAR)"
+    " AS DECIMAL(38,12)), 6) AS DOUBLE)"
+)
 
 
 def total(c: str) -> str:
