@@ -113,13 +113,12 @@ def risk_rank(level: str | Column) -> Column:
     return out
 
 
-def any_contains(text: Column, words: list[str]) -> Column:
-    """True when the text holds one of the words, case-insensitively."""
-    low = F.lower(text)
-    out = F.lit(False)
-    for word in words:
-        out = out | low.contains(word.lower())
-    return out
+def distinct_form(field: T.StructField) -> Column:
+    """A value to count distinct: long texts by their SHA-256, so that a key stays short."""
+    c = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c)
+    return c
 
 
 def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:

@@ -37,34 +37,47 @@ def _attach(parts: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prefix_sums(
-    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column | str]
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    sums: dict[str, Column | str],
+    total_of: str | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in the given order.
 
     ``order`` must be unique within a key for a unique result. Adds one column
-    for each entry of ``sums``.
+    for each entry of ``sums``, and ``_total``, the whole sum of the entry
+    ``total_of`` for the key.
     """
     parts = _split(df, keys, order)
-    inside = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for name, value in sums.items():
-        value = F.col(value) if isinstance(value, str) else value
-        parts = parts.withColumn(name, F.sum(value).over(inside))
-        parts = parts.withColumn(f"_part_{name}", value)
+    group = Window.partitionBy(*keys, RANGE)
+    inside = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    exprs = {n: F.col(v) if isinstance(v, str) else v for n, v in sums.items()}
+    parts = parts.withColumns({n: F.sum(v).over(inside) for n, v in exprs.items()})
+    parts = parts.withColumns({f"_part_{n}": F.sum(v).over(group) for n, v in exprs.items()})
     # The range bounds come from a sample: fix the outcome before reading it twice.
     parts = materialize(parts)
 
-    totals = parts.groupBy(*keys, RANGE).agg(*[F.sum(f"_part_{n}").alias(f"_before_{n}") for n in sums])
+    per_range = parts.groupBy(*keys, RANGE).agg(*[F.max(f"_part_{n}").alias(f"_part_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        *keys, RANGE, *[F.sum(f"_before_{n}").over(earlier).alias(f"_before_{n}") for n in sums]
-    ).filter(reduce(lambda a, b: a | b, [F.col(f"_before_{n}").isNotNull() for n in sums]))
-    # A range continues at most one key of an earlier range: at most `width` rows.
-    return _attach(parts, before, keys).select(
+    whole = Window.partitionBy(*keys)
+    spread = per_range.select(
+        *keys,
+        RANGE,
+        F.count("*").over(whole).alias("_ranges"),
+        *[F.sum(f"_part_{n}").over(earlier).alias(f"_before_{n}") for n in sums],
+        *([F.sum(f"_part_{total_of}").over(whole).alias("_all")] if total_of else []),
+    ).filter(F.col("_ranges") > 1)
+    # Only keys that reach over a range boundary are left, and a boundary cuts
+    # one key: fewer than 2 * width rows.
+    joined = _attach(parts, spread.drop("_ranges"), keys)
+    return joined.select(
         *df.columns,
         *[
             F.coalesce(F.col(n) + F.col(f"_before_{n}"), F.col(n), F.col(f"_before_{n}")).alias(n)
             for n in sums
         ],
+        *([F.coalesce("_all", f"_part_{total_of}").alias("_total")] if total_of else []),
     )
 
 
@@ -103,14 +116,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    ranked = prefix_sums(counts, keys, [F.col("_v")], {"_cum": "_n"})
-    totals = ranked.groupBy(*keys).agg(F.max("_cum").alias("_total"))
-    if keys:
-        renamed = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total")
-        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-        ranked = ranked.join(renamed, match).drop(*[f"_k_{k}" for k in keys])
-    else:
-        ranked = ranked.withColumn("_total", totals.scalar())
+    ranked = prefix_sums(counts, keys, [F.col("_v")], {"_cum": "_n"}, total_of="_cum")
     aggs = []
     for name, p in probs.items():
         spot = (F.col("_total") - 1) * F.lit(float(p))

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import count_if, literal_table, r6, ratio
+from auditlake.functions.exprs import count_if, r6, ratio
 from auditlake.operators.inventory import size_class
 from auditlake.operators.profile import _columns, type_family
-from auditlake.operators.quality import content_class, stability_classes
+from auditlake.operators.quality import column_classes
 
 # Hash length and the limits of the change classes.
 HASH_LENGTH = 16
@@ -20,29 +20,24 @@ INCREMENTAL_BELOW, FULL_FROM = 0.3, 0.5
 def column_components(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Type family and pattern classes per column; what a fingerprint is made of."""
     cols = _columns(df, cols)
-    fields = {f.name: f for f in df.schema.fields}
-    structure = literal_table(
-        df.sparkSession, ["column_name", "type_family"], [(c, type_family(fields[c].dataType)) for c in cols]
-    )
-    return (
-        structure.join(stability_classes(df, cols), "column_name")
-        .join(content_class(df, cols), "column_name")
-    )
+    family = F.lit(None).cast("string")
+    for c in cols:
+        family = F.when(F.col("column_name") == c, type_family(df.schema[c].dataType)).otherwise(family)
+    return column_classes(df, cols).withColumn("type_family", family)
 
 
 def table_fingerprint(
     name: str, df: DataFrame, links: list[str] | None = None, cols: list[str] | None = None
 ) -> DataFrame:
-    """One short hash of a table's structure, links, value patterns and size class."""
-    parts = column_components(df, cols)
+    """One short hash of a table's structure, links, value patterns and size class; one pass."""
     line = F.concat_ws(
         "|", "column_name", "type_family", "cardinality_class", "null_class", "length_class", "content_class"
     )
     # One line per column of the table: bounded by its schema.
-    body = parts.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-    size = df.agg(size_class(F.count("*")).alias("s")).scalar()
-    tail = ";".join(sorted(links or []))
-    text = F.concat_ws("\n", F.lit(name), "body", F.lit(tail), size)
+    body = column_components(df, cols).agg(
+        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"), F.max("total_count").alias("_n")
+    )
+    text = F.concat_ws("\n", F.lit(name), "body", F.lit(";".join(sorted(links or []))), size_class(F.col("_n")))
     return body.select(
         F.lit(name).alias("table_name"), F.substring(F.sha2(text, 256), 1, HASH_LENGTH).alias("fingerprint")
     )
@@ -92,16 +87,24 @@ def snapshot_diff(changes: DataFrame) -> DataFrame:
 def component_diff(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
     """Which components of a table changed; structural changes weigh high."""
     patterns = ["cardinality_class", "null_class", "length_class", "content_class"]
-    a = column_components(old).select("column_name", F.struct("type_family").alias("_s"), F.struct(*patterns).alias("_p"))
-    b = column_components(new).select(
-        "column_name", F.struct("type_family").alias("_s2"), F.struct(*patterns).alias("_p2")
-    )
-    both = a.join(b, "column_name", "full_outer")
-    differs = lambda x, y: F.coalesce(F.max(~F.col(x).eqNullSafe(F.col(y))), F.lit(False))
-    sizes = [df.agg(size_class(F.count("*")).alias("s")).scalar() for df in (old, new)]
+    def parts(df: DataFrame, mark: str) -> DataFrame:
+        return column_components(df).select(
+            "column_name",
+            F.struct("type_family").alias(f"_type_{mark}"),
+            F.struct(*patterns).alias(f"_pattern_{mark}"),
+            size_class(F.col("total_count")).alias(f"_size_{mark}"),
+        )
+
+    both = parts(old, "old").join(parts(new, "new"), "column_name", "full_outer")
+
+    def differs(part: str) -> Column:
+        return F.coalesce(F.max(~F.col(f"_{part}_old").eqNullSafe(F.col(f"_{part}_new"))), F.lit(False))
+
     row = both.agg(
-        differs("_s", "_s2").alias("structural_changed"), differs("_p", "_p2").alias("data_patterns_changed")
-    ).withColumn("metadata_changed", sizes[0] != sizes[1])
+        differs("type").alias("structural_changed"),
+        differs("pattern").alias("data_patterns_changed"),
+        (F.max("_size_old") != F.max("_size_new")).alias("metadata_changed"),
+    )
     changed = F.col("structural_changed") | F.col("data_patterns_changed") | F.col("metadata_changed")
     return row.select(
         F.lit(name).alias("table_name"),

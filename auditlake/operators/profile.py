@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.exprs import (
-    FRACTIONAL, NUMERIC, TEMPORAL, as_col, ladder, melt, numeric_columns, r6, ratio, string_columns,
+    FRACTIONAL, NUMERIC, TEMPORAL, as_col, distinct_form, melt, numeric_columns, r6, ratio, string_columns,
     temporal_columns, trunc, ts_text, exact_avg, exact_sum,
 )
 from auditlake.functions.ordering import exact_quantiles
@@ -46,7 +46,7 @@ def column_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = _columns(df, cols)
     aggs = [F.count("*").alias("_total")]
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"_nn{i}"), F.countDistinct(c).alias(f"_d{i}")]
+        aggs += [F.count(c).alias(f"_nn{i}"), F.countDistinct(distinct_form(df.schema[c])).alias(f"_d{i}")]
     entries = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -142,7 +142,7 @@ def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) ->
     aggs = [F.count("*").alias("_total")]
     entries = []
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"_nn{i}"), F.countDistinct(c).alias(f"_d{i}")]
+        aggs += [F.count(c).alias(f"_nn{i}"), F.countDistinct(distinct_form(df.schema[c])).alias(f"_d{i}")]
         low = high = F.lit(None).cast("string")
         avg = F.lit(None).cast("double")
         if isinstance(fields[c], (*NUMERIC, *TEMPORAL)):

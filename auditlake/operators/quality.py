@@ -131,66 +131,68 @@ def value_patterns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return melt(_texts(df, cols).agg(*aggs), entries)
 
 
-def stability_classes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Cardinality, null-ratio and length classes that stay put under small changes."""
-    cols = _columns(df, cols)
+def _class_aggs(cols: list[str]) -> list[Column]:
     aggs = [F.count("*").alias("_total")]
     for i, c in enumerate(cols):
-        size = F.length(F.col(c))
+        v, size = F.col(c), F.length(F.col(c))
+        text = F.when(size > 0, v)
         aggs += [
-            F.count(c).alias(f"_n{i}"),
-            F.countDistinct(c).alias(f"_d{i}"),
+            F.count(v).alias(f"_n{i}"),
+            F.countDistinct(F.when(size > 64, F.sha2(v, 256)).otherwise(v)).alias(f"_d{i}"),
             (F.max(size) - F.min(size)).alias(f"_w{i}"),
+            F.count(text).alias(f"_t{i}"),
+            F.bool_and(text.rlike("^[0-9]+$")).alias(f"_id{i}"),
+            F.bool_and(text.contains("@")).alias(f"_at{i}"),
+            F.min(F.length(text)).alias(f"_lo{i}"),
+            F.max(size).alias(f"_hi{i}"),
         ]
-    entries = []
-    for i, c in enumerate(cols):
-        n = F.col(f"_n{i}")
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.when(n == 0, "empty")
-                .otherwise(ladder(ratio(F.col(f"_d{i}"), n), CARDINALITY_STEPS, "low"))
-                .alias("cardinality_class"),
-                F.when(F.col("_total") == 0, "empty")
-                .otherwise(ladder(ratio(n, F.col("_total")), NULL_STEPS, "sparse"))
-                .alias("null_class"),
-                F.when(n == 0, "empty")
-                .when(F.col(f"_w{i}") == 0, "fixed_length")
-                .when(F.col(f"_w{i}") <= 2, "similar_length")
-                .otherwise("variable_length")
-                .alias("length_class"),
-            )
-        )
-    return melt(_texts(df, cols).agg(*aggs), entries)
-
-
-def content_class(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """What kind of content all non-empty values of a column are."""
+    return aggs
+
+
+def _class_columns(i: int) -> dict[str, Column]:
+    n = F.col(f"_n{i}")
+    return {
+        "cardinality_class": F.when(n == 0, "empty").otherwise(
+            ladder(ratio(F.col(f"_d{i}"), n), CARDINALITY_STEPS, "low")
+        ),
+        "null_class": F.when(F.col("_total") == 0, "empty").otherwise(
+            ladder(ratio(n, F.col("_total")), NULL_STEPS, "sparse")
+        ),
+        "length_class": F.when(n == 0, "empty")
+        .when(F.col(f"_w{i}") == 0, "fixed_length")
+        .when(F.col(f"_w{i}") <= 2, "similar_length")
+        .otherwise("variable_length"),
+        "content_class": F.when(F.col(f"_t{i}") == 0, "empty")
+        .when(F.col(f"_id{i}"), "numeric_id")
+        .when(F.col(f"_at{i}"), "email")
+        .when(F.col(f"_lo{i}") > LONG_TEXT, "long_text")
+        .when(F.col(f"_hi{i}") < SHORT_CODE, "short_code")
+        .otherwise("general_text"),
+    }
+
+
+def column_classes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """All classes of each column and the row count, in one pass over the table."""
     cols = _columns(df, cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.when(F.length(F.col(c)) > 0, F.col(c))
-        aggs += [
-            F.count(v).alias(f"_n{i}"),
-            F.bool_and(v.rlike("^[0-9]+$")).alias(f"_id{i}"),
-            F.bool_and(v.contains("@")).alias(f"_at{i}"),
-            F.min(F.length(v)).alias(f"_lo{i}"),
-            F.max(F.length(v)).alias(f"_hi{i}"),
-        ]
     entries = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.when(F.col(f"_n{i}") == 0, "empty")
-            .when(F.col(f"_id{i}"), "numeric_id")
-            .when(F.col(f"_at{i}"), "email")
-            .when(F.col(f"_lo{i}") > LONG_TEXT, "long_text")
-            .when(F.col(f"_hi{i}") < SHORT_CODE, "short_code")
-            .otherwise("general_text")
-            .alias("content_class"),
+            *[e.alias(name) for name, e in _class_columns(i).items()],
+            F.col("_total").alias("total_count"),
         )
         for i, c in enumerate(cols)
     ]
-    return melt(_texts(df, cols).agg(*aggs), entries)
+    return melt(_texts(df, cols).agg(*_class_aggs(cols)), entries)
+
+
+def stability_classes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Cardinality, null-ratio and length classes that stay put under small changes."""
+    return column_classes(df, cols).select("column_name", "cardinality_class", "null_class", "length_class")
+
+
+def content_class(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """What kind of content all non-empty values of a column are."""
+    return column_classes(df, cols).select("column_name", "content_class")
 
 
 def _days_old(ts: str, now: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from auditlake.functions.vectors import block_kernel, distance, planes, signature, vector_literal
+from auditlake.functions.vectors import block_kernel, planes, signature
 
 # More queries than this are not held by every task; they are joined in blocks instead.
 QUERY_ROWS_IN_TASK = 4096
@@ -23,15 +24,50 @@ def knn(
     max_d: float | None = None,
     filters: Column | None = None,
 ) -> DataFrame:
-    """The k rows nearest to one vector; ties by key. No shuffle but the top-k merge."""
+    """The k rows nearest to one vector; ties by key.
+
+    Distances are taken batch-wise over Arrow buffers; a task passes on its k
+    best rows, so nothing but the top-k merge leaves it.
+    """
     rows = df if filters is None else df.filter(filters)
-    out = rows.withColumn("distance", distance(F.col(emb), vector_literal(vec), metric))
-    out = out.filter(F.col("distance").isNotNull())
-    if min_d is not None:
-        out = out.filter(F.col("distance") >= min_d)
-    if max_d is not None:
-        out = out.filter(F.col("distance") <= max_d)
-    return out.orderBy("distance", key).limit(k).drop(emb)
+    rows = rows.filter(F.size(emb) == len(vec))
+    names = [c for c in df.columns if c != emb]
+    schema = StructType([df.schema[c] for c in names]).add("distance", "double")
+    query = [float(x) for x in vec]
+
+    def nearest(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        q = np.array(query)
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            c = c.reshape(batch.num_rows, len(q)).astype("float64")
+            if metric == "cosine":
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = 1.0 - (c @ q) / (np.sqrt((c * c).sum(axis=1)) * np.sqrt(q @ q))
+            else:
+                d = ((c - q) ** 2).sum(axis=1)
+            d = np.round(d, 6) + 0.0
+            ok = ~np.isnan(d)
+            if min_d is not None:
+                ok &= d >= min_d
+            if max_d is not None:
+                ok &= d <= max_d
+            found = pa.Table.from_batches([batch]).drop_columns([emb])
+            found = found.append_column("distance", pa.array(d)).filter(pa.array(ok))
+            best = found if best is None else pa.concat_tables([best, found])
+            if best.num_rows > k:
+                best = best.take(pa.compute.sort_indices(best, [("distance", "ascending"), (key, "ascending")])[:k])
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric: {metric}")
+    return rows.select(emb, *names).mapInArrow(nearest, schema).orderBy("distance", key).limit(k)
 
 
 def _closest(pairs: DataFrame, k: int) -> DataFrame:
@@ -56,22 +92,22 @@ def _in_task(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> Data
     def scan(batches):
         import numpy as np
         import pandas as pd
+        import pyarrow as pa
 
         ids, q = shared.value
         kept = None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            c = np.stack(batch["vec"].to_numpy()).astype("float64")
-            found = pd.DataFrame(
-                dict(zip(("query_id", "item_id", "distance"), best(ids, q, batch["item_id"].to_numpy(), c)))
-            )
+            c = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            found = best(ids, q, batch.column("item_id").to_numpy(), c)
+            found = pd.DataFrame(dict(zip(("query_id", "item_id", "distance"), found)))
             kept = found if kept is None else pd.concat([kept, found])
             kept = kept.sort_values(["query_id", "distance", "item_id"]).groupby("query_id").head(k)
         if kept is not None:
-            yield kept
+            yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
 
-    return corpus.mapInPandas(scan, RESULT)
+    return corpus.mapInArrow(scan, RESULT)
 
 
 def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, qblock: int, cblock: int) -> DataFrame:
@@ -92,22 +128,26 @@ def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, qbloc
 
     def meet(q, c):
         import numpy as np
-        import pandas as pd
-
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
-        found = best(
-            q["query_id"].to_numpy(),
-            np.stack(q["vec"].to_numpy()).astype("float64"),
-            c["item_id"].to_numpy(),
-            np.stack(c["vec"].to_numpy()).astype("float64"),
+        import pyarrow as pa
+
+        def side(table, key):
+            table = table.combine_chunks()
+            flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return table.column(key).to_numpy(), flat.reshape(table.num_rows, -1)
+
+        if q.num_rows and c.num_rows:
+            found = best(*side(q, "query_id"), *side(c, "item_id"))
+        else:
+            found = ([], [], [])
+        kinds = ("int64", "int64", "float64")
+        return pa.table(
+            [np.asarray(f, dtype=t) for f, t in zip(found, kinds)], names=["query_id", "item_id", "distance"]
         )
-        return pd.DataFrame(dict(zip(("query_id", "item_id", "distance"), found)))
 
     on = ["bucket", "_q", "_c"]
     keep = lambda df, key: df.select(*on, key, "vec")
     return (
-        keep(left, "query_id").groupBy(*on).cogroup(keep(right, "item_id").groupBy(*on)).applyInPandas(meet, RESULT)
+        keep(left, "query_id").groupBy(*on).cogroup(keep(right, "item_id").groupBy(*on)).applyInArrow(meet, RESULT)
     )
 
 
@@ -116,7 +156,7 @@ def _sides(
 ) -> tuple[DataFrame, DataFrame]:
     left = queries.select(F.col(qid).cast("bigint").alias("query_id"), F.col(qemb).cast("array<double>").alias("vec"))
     right = corpus.select(F.col(cid).cast("bigint").alias("item_id"), F.col(cemb).cast("array<double>").alias("vec"))
-    return left.filter("vec IS NOT NULL"), right.filter("vec IS NOT NULL")
+    return left.filter("size(vec) > 0"), right.filter("size(vec) > 0")
 
 
 def knn_join(

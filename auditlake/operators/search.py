@@ -27,7 +27,7 @@ ENTITY_NAME, ENTITY_COLUMN, ENTITY_DESCRIPTION, ATTRIBUTE_COLUMN, ENTITY_BONUS =
 BONUS_ENTITIES = ["customer", "product", "order", "employee", "payment"]
 SELECT_ABOVE, SELECT_REST, CONFIDENCE_CAP = 0.3, 3, 0.8
 MENTION_LIMIT, INDEX_LIMIT, INDEX_MIN = 3, 10, 1
-NAMES_IN_PLAN = 2000
+NAMES_IN_PLAN = 200
 
 
 def contains_search(df: DataFrame, fields: list[str], q: str, key: str, any_word: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import (
-    any_contains, count_if, day_text, exact_avg, r6, ratio, resolve_as_of, trunc, ts_lit,
+    count_if, day_text, exact_avg, r6, ratio, resolve_as_of, trunc, ts_lit,
 )
 from auditlake.functions.ordering import exact_quantiles, prefix_sums
 from auditlake.functions.text import contains_any, hit_count
@@ -196,7 +196,7 @@ def intent_scores(
         if intent == "analysis":
             score = score + F.when(in_bonus, DOMAIN_BONUS).otherwise(0.0)
         if intent == "visualization":
-            score = score + F.when(any_domain & any_contains(low, REPORT_WORDS), REPORT_BONUS).otherwise(0.0)
+            score = score + F.when(any_domain & contains_any(low, REPORT_WORDS), REPORT_BONUS).otherwise(0.0)
         out = out.withColumn(f"_{intent}", r6(score))
     names = list(patterns)
     top = F.greatest(*[F.col(f"_{i}") for i in names])

@@ -14,6 +14,7 @@ from auditlake.plans import Registry
 from auditlake.plans.profiles import CUSTOMER, ORDERS
 from auditlake.plans.relations import DISCOVERED, KEYS, tables as key_tables
 from auditlake.plans.shapes import mean
+from auditlake.session import materialize
 from auditlake.sources.tables import load
 
 REG = Registry()
@@ -467,7 +468,8 @@ def _profiles(spark, d):
     out = [
         pr.column_profile(load(spark, d, t)).withColumn("table_name", F.lit(t)) for t in ("orders", "customer")
     ]
-    return out[0].unionByName(out[1])
+    # One row per column, read more than once below: compute it once.
+    return materialize(out[0].unionByName(out[1]))
 
 
 @REG.add("g15_build_documents", DOCUMENTS)
@@ -509,8 +511,8 @@ KEEP = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}"
 )
 def g17(spark, d):
     named = key_tables(spark, d)
-    edges = relate.discover_relationships(named, KEYS).filter("verified")
-    keep = table_inventory(named).filter("row_count >= 100")
+    edges = materialize(relate.discover_relationships(named, KEYS).filter("verified"))
+    keep = materialize(table_inventory(named).filter("row_count >= 100"))
     out = s.link_summary(edges, keep, "source_table", "target_table", "table_name")
     return out.withColumn("targets", F.array_join("targets", ","))
 

@@ -14,7 +14,7 @@ MONEY = "CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE)"
 # Rounded as a decimal of the printed value, the way Spark rounds a double.
 MEAN = (
     "CAST(round(CAST(CAST(CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / count({c}) AS VARCHAR)"
-    " AS DECIMAL(38,12)), 6) AS DOUBLE)"
+    " AS DECIMAL(38,20)), 6) AS DOUBLE)"
 )
 
 
