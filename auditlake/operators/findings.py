@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +76,7 @@ def _scan_findings(name: str, t: Roles) -> DataFrame | None:
     aggs: list[Column] = []
     out: list[Column] = []
     none = F.lit(None)
+    df = t.df
 
     if t.amount:
         value = F.col(t.amount).cast("decimal(20,4)")
@@ -88,9 +89,9 @@ def _scan_findings(name: str, t: Roles) -> DataFrame | None:
                 _finding(name, "round_amount_fraud", [t.amount], risk, F.col("_round"), r6(share)),
             )
         )
-        digit = F.when(F.col(t.amount) > 0, statistical.first_digit(t.amount))
+        df = df.withColumn("_digit", F.when(F.col(t.amount) > 0, statistical.first_digit(t.amount)))
         digits = list(statistical.BENFORD_PERCENT)
-        aggs += [count_if(digit == g).alias(f"_digit{g}") for g in digits]
+        aggs += [count_if(F.col("_digit") == g).alias(f"_digit{g}") for g in digits]
         seen = [F.col(f"_digit{g}") for g in digits]
         tested = reduce(lambda a, b: a + b, seen)
         present = reduce(lambda a, b: a + b, [(s > 0).cast("int") for s in seen])
@@ -108,8 +109,7 @@ def _scan_findings(name: str, t: Roles) -> DataFrame | None:
             )
         )
     if t.ts or t.created:
-        base = t.ts or t.created
-        now = resolve_as_of(t.df, base, t.as_of)
+        now = t.as_of
         if now is not None and t.created:
             kind = t.df.schema[t.created].dataType
             old = ts_lit(now - dt.timedelta(days=temporal.BACKDATED_DAYS), kind)
@@ -150,7 +150,7 @@ def _scan_findings(name: str, t: Roles) -> DataFrame | None:
         )
     if not out:
         return None
-    return t.df.agg(*aggs).select(F.inline(F.array_compact(F.array(*out))))
+    return df.agg(*aggs).select(F.inline(F.array_compact(F.array(*out))))
 
 
 def _group_findings(name: str, t: Roles) -> list[DataFrame]:
@@ -168,10 +168,8 @@ def _group_findings(name: str, t: Roles) -> list[DataFrame]:
                 transactions.duplicates(t.df, t.duplicate_of), "duplicate_transactions", t.duplicate_of, "high"
             )
         )
-    if t.user and t.ts:
-        fast = transactions.velocity(
-            t.df, t.user, t.ts, t.velocity_window, t.velocity_min, t.as_of, top=1_000_000_000
-        )
+    if t.user and t.ts and t.as_of is not None:
+        fast = transactions.fast_users(t.df, t.user, t.ts, t.velocity_window, t.velocity_min, t.as_of)
         frames.append(count_rows(fast, "velocity_fraud", [t.user, t.ts], "high"))
     if t.key:
         frames.append(count_rows(integrity.key_violations(t.df, t.key), "duplicate_key", t.key, "high"))
@@ -216,6 +214,8 @@ def findings(
     """Run the detectors each table has roles for; one row per verdict that fires."""
     frames = []
     for name, t in tables.items():
+        if t.ts or t.created:
+            t = replace(t, as_of=resolve_as_of(t.df, t.ts or t.created, t.as_of))
         scan = _scan_findings(name, t)
         frames += ([scan] if scan is not None else []) + _group_findings(name, t)
     found = reduce(DataFrame.unionByName, frames)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import count_if, ladder, melt, r6, ratio, resolve_as_of, ts_lit
+from auditlake.functions.exprs import count_if, ladder, literal_table, r6, ratio, resolve_as_of, ts_lit
 from auditlake.operators.profile import _columns, long_form
 
 # The value checks, in the order ties are decided.
@@ -97,92 +97,82 @@ def semantic_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     )
 
 
-def _texts(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-
-
 def value_patterns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Shape shared by all values of a column; the first that holds."""
     cols = _columns(df, cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(c)
-        head = F.when(F.length(v) >= 2, F.substring(v, 1, 2))
-        aggs += [
-            F.count(v).alias(f"_n{i}"),
-            (F.min(F.length(v)) == F.max(F.length(v))).alias(f"_len{i}"),
-            F.coalesce(F.bool_and(F.when(F.length(v) > 0, v.rlike("[0-9]$"))), F.lit(True)).alias(f"_suf{i}"),
-            F.coalesce(F.min(head) == F.max(head), F.lit(False)).alias(f"_pre{i}"),
-            F.bool_and(v.rlike(r"[-_.]")).alias(f"_sep{i}"),
-        ]
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.when(F.col(f"_n{i}") == 0, "none")
-            .when(F.col(f"_len{i}"), "constant_length")
-            .when(F.col(f"_suf{i}"), "numeric_suffix")
-            .when(F.col(f"_pre{i}"), "prefix_pattern")
-            .when(F.col(f"_sep{i}"), "contains_separators")
-            .otherwise("variable")
-            .alias("pattern"),
+    v, size = F.col("value"), F.length("value")
+    head = F.when(size >= 2, F.substring(v, 1, 2))
+    found = (
+        long_form(df, cols, "string")
+        .groupBy("column_name")
+        .agg(
+            F.count(v).alias("_n"),
+            (F.min(size) == F.max(size)).alias("_len"),
+            F.bool_and(F.when(size > 0, v.rlike("[0-9]$"))).alias("_suf"),
+            (F.min(head) == F.max(head)).alias("_pre"),
+            F.bool_and(v.rlike(r"[-_.]")).alias("_sep"),
         )
-        for i, c in enumerate(cols)
-    ]
-    return melt(_texts(df, cols).agg(*aggs), entries)
-
-
-def _class_aggs(cols: list[str]) -> list[Column]:
-    aggs = [F.count("*").alias("_total")]
-    for i, c in enumerate(cols):
-        v, size = F.col(c), F.length(F.col(c))
-        text = F.when(size > 0, v)
-        aggs += [
-            F.count(v).alias(f"_n{i}"),
-            F.countDistinct(F.when(size > 64, F.sha2(v, 256)).otherwise(v)).alias(f"_d{i}"),
-            (F.max(size) - F.min(size)).alias(f"_w{i}"),
-            F.count(text).alias(f"_t{i}"),
-            F.bool_and(text.rlike("^[0-9]+$")).alias(f"_id{i}"),
-            F.bool_and(text.contains("@")).alias(f"_at{i}"),
-            F.min(F.length(text)).alias(f"_lo{i}"),
-            F.max(size).alias(f"_hi{i}"),
-        ]
-    return aggs
-
-
-def _class_columns(i: int) -> dict[str, Column]:
-    n = F.col(f"_n{i}")
-    return {
-        "cardinality_class": F.when(n == 0, "empty").otherwise(
-            ladder(ratio(F.col(f"_d{i}"), n), CARDINALITY_STEPS, "low")
-        ),
-        "null_class": F.when(F.col("_total") == 0, "empty").otherwise(
-            ladder(ratio(n, F.col("_total")), NULL_STEPS, "sparse")
-        ),
-        "length_class": F.when(n == 0, "empty")
-        .when(F.col(f"_w{i}") == 0, "fixed_length")
-        .when(F.col(f"_w{i}") <= 2, "similar_length")
-        .otherwise("variable_length"),
-        "content_class": F.when(F.col(f"_t{i}") == 0, "empty")
-        .when(F.col(f"_id{i}"), "numeric_id")
-        .when(F.col(f"_at{i}"), "email")
-        .when(F.col(f"_lo{i}") > LONG_TEXT, "long_text")
-        .when(F.col(f"_hi{i}") < SHORT_CODE, "short_code")
-        .otherwise("general_text"),
-    }
+    )
+    return found.select(
+        "column_name",
+        F.when(F.col("_n") == 0, "none")
+        .when(F.col("_len"), "constant_length")
+        .when(F.coalesce("_suf", F.lit(True)), "numeric_suffix")
+        .when(F.col("_pre"), "prefix_pattern")
+        .when(F.col("_sep"), "contains_separators")
+        .otherwise("variable")
+        .alias("pattern"),
+    )
 
 
 def column_classes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """All classes of each column and the row count, in one pass over the table."""
+    """All classes of each column and the row count, in one pass over the table.
+
+    The columns are worked on in long form, so one small set of aggregates
+    serves a table of any width; each task combines its values first.
+    """
     cols = _columns(df, cols)
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            *[e.alias(name) for name, e in _class_columns(i).items()],
-            F.col("_total").alias("total_count"),
+    v, size = F.col("value"), F.length("value")
+    text = F.when(size > 0, v)
+    found = (
+        long_form(df, cols, "string")
+        .groupBy("column_name")
+        .agg(
+            F.count("*").alias("_total"),
+            F.count(v).alias("_n"),
+            # Long texts count by their hash: the shuffled key stays short.
+            F.countDistinct(F.when(size > 64, F.sha2(v, 256)).otherwise(v)).alias("_d"),
+            (F.max(size) - F.min(size)).alias("_w"),
+            F.count(text).alias("_t"),
+            F.bool_and(text.rlike("^[0-9]+$")).alias("_id"),
+            F.bool_and(text.contains("@")).alias("_at"),
+            F.min(F.length(text)).alias("_lo"),
+            F.max(size).alias("_hi"),
         )
-        for i, c in enumerate(cols)
-    ]
-    return melt(_texts(df, cols).agg(*_class_aggs(cols)), entries)
+    )
+    # An empty table still has its columns.
+    known = literal_table(df.sparkSession, ["column_name"], [(c,) for c in cols])
+    total, n, texts = (F.coalesce(F.col(c), F.lit(0)) for c in ("_total", "_n", "_t"))
+    return known.join(found, "column_name", "left").select(
+        "column_name",
+        F.when(n == 0, "empty")
+        .otherwise(ladder(ratio(F.col("_d"), n), CARDINALITY_STEPS, "low"))
+        .alias("cardinality_class"),
+        F.when(total == 0, "empty").otherwise(ladder(ratio(n, total), NULL_STEPS, "sparse")).alias("null_class"),
+        F.when(n == 0, "empty")
+        .when(F.col("_w") == 0, "fixed_length")
+        .when(F.col("_w") <= 2, "similar_length")
+        .otherwise("variable_length")
+        .alias("length_class"),
+        F.when(texts == 0, "empty")
+        .when(F.col("_id"), "numeric_id")
+        .when(F.col("_at"), "email")
+        .when(F.col("_lo") > LONG_TEXT, "long_text")
+        .when(F.col("_hi") < SHORT_CODE, "short_code")
+        .otherwise("general_text")
+        .alias("content_class"),
+        total.cast("bigint").alias("total_count"),
+    )
 
 
 def stability_classes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -285,11 +285,12 @@ def mentions(
     long_pairs = containment_pairs(lows.select("_l").distinct(), "_l", bodies, key, "_text")
     # Names too short for the lookup have few distinct spellings: match them piece by piece.
     short = lows.filter(F.length("_l") < GRAM).select("_l").distinct()
-    spots = lambda size: F.sequence(F.lit(1), F.greatest(F.length("_text") - (size - 1), F.lit(1)))
-    pieces = [
-        F.transform(spots(size), lambda i, size=size: F.substring(F.col("_text"), i, F.lit(size)))
-        for size in range(1, GRAM)
-    ]
+
+    def pieces_of(size: int) -> Column:
+        spots = F.sequence(F.lit(1), F.greatest(F.length("_text") - (size - 1), F.lit(1)))
+        return F.transform(spots, lambda i: F.substring(F.col("_text"), i, F.lit(size)))
+
+    pieces = [pieces_of(size) for size in range(1, GRAM)]
     short_pairs = (
         bodies.select(key, F.explode(F.array_distinct(F.flatten(F.array(*pieces)))).alias("_l"))
         .join(short, "_l", "left_semi")

@@ -73,14 +73,13 @@ def round_amounts(
     )
 
 
-def velocity(
+def fast_users(
     df: DataFrame,
     user: str,
     ts: str,
     window: dt.timedelta = dt.timedelta(hours=1),
     min_n: int = VELOCITY_MIN_ROWS,
     as_of: dt.datetime | str | None = None,
-    top: int = 5,
 ) -> DataFrame:
     """Users with more than ``min_n`` rows in the last window, all within less than its length."""
     recent = trailing(df, ts, window, as_of)
@@ -89,11 +88,23 @@ def velocity(
         recent.groupBy(user)
         .agg(F.count("*").alias("tx_count"), r6(span).alias("span_minutes"))
         .filter((F.col("tx_count") > min_n) & (F.col("span_minutes") < window.total_seconds() / 60))
-        .orderBy(F.desc("tx_count"), F.col(user))
-        .limit(top)
     )
 
 
+def velocity(
+    df: DataFrame,
+    user: str,
+    ts: str,
+    window: dt.timedelta = dt.timedelta(hours=1),
+    min_n: int = VELOCITY_MIN_ROWS,
+    as_of: dt.datetime | str | None = None,
+    top: int = 5,
+) -> DataFrame:
+    """The ``top`` users by rows in the last window."""
+    users = fast_users(df, user, ts, window, min_n, as_of)
+    return users.orderBy(F.desc("tx_count"), F.col(user)).limit(top)
+
+
 def velocity_all(
     df: DataFrame,
     user: str,
