@@ -53,9 +53,12 @@ def heatmap(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def box(df: DataFrame, key: str, col: str) -> DataFrame:
     """Smallest, quartiles and largest value per group; exact."""
-    return exact_quantiles(
-        df, [key], col, {"min_value": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max_value": 1.0}
+    ends = df.filter(F.col(col).isNotNull()).groupBy(key).agg(
+        F.min(col).cast("double").alias("min_value"), F.max(col).cast("double").alias("max_value")
     )
+    middle = exact_quantiles(df, [key], col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    same = ends[key].eqNullSafe(middle[key])
+    return ends.join(middle, same).select(ends[key], "min_value", "q1", "median", "q3", "max_value")
 
 
 def hierarchy(df: DataFrame, levels: list[str], measure: str) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.exprs import (
-    FRACTIONAL, NUMERIC, TEMPORAL, as_col, distinct_form, melt, numeric_columns, r6, ratio, string_columns,
+    FRACTIONAL, NUMERIC, TEMPORAL, as_col, distinct_form, literal_table, melt, numeric_columns, r6, ratio,
+    string_columns,
     temporal_columns, trunc, ts_text, exact_avg, exact_sum,
 )
 from auditlake.functions.ordering import exact_quantiles
@@ -41,23 +43,50 @@ def type_family(dtype: T.DataType) -> str:
     return "other"
 
 
+# Columns of one family share a value type, so they can be counted together.
+COUNT_FORM = {"integer": "bigint", "numeric": "double", "temporal": "timestamp_ntz"}
+
+
+def _count_form(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.DecimalType):
+        return "string"
+    return COUNT_FORM.get(type_family(dtype), "string")
+
+
 def column_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Total, distinct, non-null and null count per column."""
+    """Total, distinct, non-null and null count per column.
+
+    Each column is read once. Values are counted per (column, value) in each
+    task, so only distinct values are shuffled and a hot value weighs nothing.
+    """
     cols = _columns(df, cols)
-    aggs = [F.count("*").alias("_total")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"_nn{i}"), F.countDistinct(distinct_form(df.schema[c])).alias(f"_d{i}")]
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col("_total").alias("total_count"),
-            F.col(f"_d{i}").alias("distinct_count"),
-            F.col(f"_nn{i}").alias("non_null_count"),
-            (F.col("_total") - F.col(f"_nn{i}")).alias("null_count"),
+    by_form: dict[str, list[str]] = {}
+    for c in cols:
+        by_form.setdefault(_count_form(df.schema[c].dataType), []).append(c)
+    parts = []
+    for form, names in by_form.items():
+        entries = [
+            F.struct(F.lit(c).alias("column_name"), distinct_form(df.schema[c]).cast(form).alias("_v")) for c in names
+        ]
+        values = (
+            df.select(F.inline(F.array(*entries))).groupBy("column_name", "_v").agg(F.count("*").alias("_n"))
         )
-        for i, c in enumerate(cols)
-    ]
-    return melt(df.agg(*aggs), entries)
+        parts.append(
+            values.groupBy("column_name").agg(
+                F.sum("_n").alias("total_count"),
+                F.count("_v").alias("distinct_count"),
+                F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias("non_null_count"),
+            )
+        )
+    found = reduce(DataFrame.unionByName, parts)
+    # An empty table still has its columns.
+    known = literal_table(df.sparkSession, ["column_name"], [(c,) for c in cols])
+    figure = lambda name: F.coalesce(name, F.lit(0).cast("bigint"))
+    return known.join(found, "column_name", "left").select(
+        "column_name",
+        *[figure(n).alias(n) for n in ("total_count", "distinct_count", "non_null_count")],
+        (figure("total_count") - figure("non_null_count")).alias("null_count"),
+    )
 
 
 def numeric_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -138,33 +167,34 @@ def distinct_samples(df: DataFrame, n: int = 5, cols: list[str] | None = None) -
 def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) -> DataFrame:
     """Counts, ranges and samples together, one row per column."""
     cols = _columns(df, cols)
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    aggs = [F.count("*").alias("_total")]
+    aggs = [F.lit(1).alias("_one")]
     entries = []
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"_nn{i}"), F.countDistinct(distinct_form(df.schema[c])).alias(f"_d{i}")]
+        kind = df.schema[c].dataType
         low = high = F.lit(None).cast("string")
         avg = F.lit(None).cast("double")
-        if isinstance(fields[c], (*NUMERIC, *TEMPORAL)):
+        if isinstance(kind, (*NUMERIC, *TEMPORAL)):
             aggs += [F.min(c).alias(f"_a{i}"), F.max(c).alias(f"_b{i}")]
-            text = ts_text if isinstance(fields[c], TEMPORAL) else lambda x: F.col(x).cast("string")
+            text = ts_text if isinstance(kind, TEMPORAL) else lambda x: F.col(x).cast("string")
             low, high = text(f"_a{i}"), text(f"_b{i}")
-        if isinstance(fields[c], NUMERIC):
+        if isinstance(kind, NUMERIC):
             aggs.append(exact_avg(c).alias(f"_m{i}"))
             avg = F.col(f"_m{i}")
         entries.append(
             F.struct(
                 F.lit(c).alias("column_name"),
-                F.lit(type_family(fields[c])).alias("data_type"),
-                F.col("_total").alias("total_count"),
-                F.col(f"_d{i}").alias("distinct_count"),
-                (F.col("_total") - F.col(f"_nn{i}")).alias("null_count"),
+                F.lit(type_family(kind)).alias("data_type"),
                 low.alias("min_value"),
                 high.alias("max_value"),
                 avg.alias("avg_value"),
             )
         )
-    return melt(df.agg(*aggs), entries).join(distinct_samples(df, n, cols), "column_name", "left")
+    ranges = melt(df.agg(*aggs), entries)
+    counts = column_counts(df, cols).drop("non_null_count")
+    return counts.join(ranges, "column_name").join(distinct_samples(df, n, cols), "column_name", "left").select(
+        "column_name", "data_type", "total_count", "distinct_count", "null_count", "min_value", "max_value",
+        "avg_value", "sample_values",
+    )
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -33,14 +33,17 @@ NAMES_IN_PLAN = 200
 def contains_search(df: DataFrame, fields: list[str], q: str, key: str, any_word: bool = False) -> DataFrame:
     """One row per (item, field) whose text holds the query, or any of its words; one pass."""
     words = q.lower().split() if any_word else [q.lower()]
+    lows = df.select(
+        key, *[F.col(f).cast("string").alias(f) for f in fields], *[F.lower(F.col(f).cast("string")).alias(f"_low_{f}") for f in fields]
+    )
     hits = [
         F.when(
-            contains_any(F.lower(F.col(f).cast("string")), words),
-            F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")),
+            contains_any(F.col(f"_low_{f}"), words),
+            F.struct(F.lit(f).alias("field"), F.col(f).alias("value")),
         )
         for f in fields
     ]
-    return df.select(key, F.inline(F.array_compact(F.array(*hits))))
+    return lows.select(key, F.inline(F.array_compact(F.array(*hits))))
 
 
 def query_keywords(text: Column, stop: list[str] = QUERY_STOP_WORDS, n: int = 5) -> Column:
@@ -53,7 +56,8 @@ def text_keywords(text: Column, stop: list[str] = TEXT_STOP_WORDS, min_length: i
     """Distinct purely alphabetic words of a text, sorted."""
     words = F.split(F.lower(text), r"[_\s\-\.]")
     good = lambda w: (F.length(w) >= min_length) & ~w.isin(stop) & w.rlike(r"^\p{L}+$")
-    return F.array_sort(F.array_distinct(F.filter(words, good)))
+    # Repeats go first: the checks then run once per distinct word.
+    return F.array_sort(F.filter(F.array_distinct(words), good))
 
 
 def keywords(df: DataFrame, text: str, key: str, mode: str = "query", n: int = 5) -> DataFrame:
@@ -63,9 +67,9 @@ def keywords(df: DataFrame, text: str, key: str, mode: str = "query", n: int = 5
 
 def tag(df: DataFrame, text: str, dictionary: dict[str, list[str]]) -> DataFrame:
     """Adds the concepts of which the text holds a keyword. No join: the dictionary is in the plan."""
-    low = F.lower(F.col(text))
-    marks = [F.when(contains_any(low, words), F.lit(name)) for name, words in dictionary.items()]
-    return df.withColumn("tags", F.array_compact(F.array(*marks)))
+    lowered = df.withColumn("_low", F.lower(F.col(text)))
+    marks = [F.when(contains_any(F.col("_low"), words), F.lit(name)) for name, words in dictionary.items()]
+    return lowered.withColumn("tags", F.array_compact(F.array(*marks))).drop("_low")
 
 
 def merge_hits(*hits: DataFrame, key: str = "id") -> DataFrame:
@@ -274,10 +278,11 @@ def mentions(
     wanted = names.select(F.col(name).alias("name")).filter(F.length("name") > 0).distinct()
     few = wanted.limit(in_plan + 1).collect()
     if len(few) <= in_plan:
-        listed = F.array(*[F.lit(r["name"]) for r in sorted(few, key=lambda r: r["name"].encode())])
-        low = F.lower(F.col(text))
-        found = F.slice(F.filter(listed, lambda w: low.contains(F.lower(w))), 1, n)
-        return texts.select(key, F.posexplode(found).alias("place", "name")).select(
+        listed = sorted((r["name"] for r in few), key=str.encode)
+        lowered = texts.select(key, F.lower(F.col(text)).alias("_low"))
+        marks = [F.when(F.col("_low").contains(F.lower(F.lit(w))), F.lit(w)) for w in listed]
+        found = F.slice(F.array_compact(F.array(*marks)), 1, n) if marks else F.array().cast("array<string>")
+        return lowered.select(key, F.posexplode(found).alias("place", "name")).select(
             key, "name", (F.col("place") + 1).cast("bigint").alias("place")
         )
     lows = wanted.select("name", F.lower("name").alias("_l"))

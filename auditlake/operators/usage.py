@@ -183,8 +183,8 @@ def intent_scores(
 
     Ties for the primary intent go to the first in the order given.
     """
-    low = F.lower(F.col(text))
-    out = df
+    out = df.withColumn("_low", F.lower(F.col(text)))
+    low = F.col("_low")
     in_bonus = F.lit(False)
     for name in BONUS_DOMAINS:
         in_bonus = in_bonus | contains_any(low, domains.get(name, []))
@@ -216,13 +216,14 @@ def intent_scores(
 
 def audit_statements(df: DataFrame, sql_col: str) -> DataFrame:
     """Adds whether a statement only reads, and the rule it breaks if not."""
-    text = F.upper(F.col(sql_col))
+    upper = df.withColumn("_upper", F.upper(F.col(sql_col)))
+    text = F.col("_upper")
     rule = F.when(text.isNull(), "empty")
     for word in WRITE_KEYWORDS:
         rule = rule.when(text.rlike(rf"\b{word}\b"), word.lower())
     opener = r"^\s*(" + "|".join(READ_OPENERS) + ")"
     rule = rule.when(~text.rlike(opener), "not_a_select").otherwise("ok")
-    return df.withColumn("rule", rule).withColumn("is_safe", F.col("rule") == "ok")
+    return upper.withColumn("rule", rule).withColumn("is_safe", F.col("rule") == "ok").drop("_upper")
 
 
 def audit_counts(audited: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from auditlake.functions import ordering
 from auditlake.functions.ordering import exact_quantiles, next_value, prefix_sums
 from auditlake.functions.text import containment_pairs
 from auditlake.operators import charts, fingerprint, profile, retrieve, search
@@ -77,6 +78,23 @@ def test_exact_quantiles(spark):
             assert got[k][name] == pytest.approx(np.quantile(v, p), abs=1e-6)
 
 
+@pytest.mark.parametrize("small", [0, 500, 10**6])
+def test_quantiles_of_large_groups(spark, monkeypatch, small):
+    """Brackets, built-in percentiles and a mix of both agree."""
+    monkeypatch.setattr(ordering, "SMALL_GROUP", small)
+    value = F.when(F.col("id") % 4 == 0, 50.0).otherwise(F.round(F.rand(7) * 1000, 2))
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 != 0, "hot").when(F.col("id") % 100 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("k"),
+        value.alias("v"),
+    ).checkpoint()
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
+    want = df.groupBy("k").agg(*[F.round(F.percentile("v", p), 6).alias(n) for n, p in probs.items()])
+    got = exact_quantiles(df, ["k"], "v", probs)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    whole = exact_quantiles(df, [], "v", probs).first()
+    assert list(whole) == [df.agg(F.round(F.percentile("v", p), 6)).first()[0] for p in probs.values()]
+
+
 def test_quantiles_of_nothing(spark):
     row = exact_quantiles(skewed(spark).filter("k = 'none'"), [], "v", {"m": 0.5}).first()
     assert row["m"] is None
