@@ -141,8 +141,8 @@ def h8(spark, d):
 
 
 RUNNING = """
-    SELECT event_id, {per}round(CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w AS DOUBLE) / count(value) OVER w, 6)
-        AS running_mean
+    SELECT event_id, {per}CAST(round(CAST(CAST(CAST(sum(CAST(value AS DECIMAL(18,4))) OVER w AS DOUBLE)
+        / count(value) OVER w AS VARCHAR) AS DECIMAL(38,20)), 6) AS DOUBLE) AS running_mean
     FROM events WINDOW w AS ({part} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 

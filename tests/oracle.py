@@ -66,7 +66,6 @@ def compare(df, con, sql) -> list[str]:
     if len(got) != len(want):
         problems.append(f"rows {len(got)} != {len(want)}")
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        only_got, only_want = sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]
         problems.append(f"values: columns {sorted(names)}\n  spark  {only_got}\n  duckdb {only_want}")
     return problems
