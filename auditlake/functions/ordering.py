@@ -112,21 +112,30 @@ ACCURACY, MARGIN = 10_000, 0.001
 KEYS_TO_SHARE = 100_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def bracket_sketch(value: Column, probs: dict[str, float]) -> Column:
+    """Approximate values just below and just above each quantile."""
+    ends = [e for p in probs.values() for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    return F.percentile_approx(value.cast("double"), ends, ACCURACY)
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], stats: DataFrame | None = None
+) -> DataFrame:
     """Exact interpolated quantiles per key.
 
     Small groups go to the built-in aggregate. For a large one a sketch first
     brackets each quantile; then only the values inside the brackets are ranked,
     a few thousandths of the rows, equal values counted as one, spread over
-    ranges. No group is held by one task and no full sort is made.
+    ranges. No group is held by one task and no full sort is made. ``stats``
+    (keys, ``_size``, ``_ends``) may come from a pass the caller makes anyway.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ends = [e for p in probs.values() for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
-    stats = materialize(
-        rows.groupBy(*keys).agg(
-            F.count("*").alias("_size"), F.percentile_approx("_v", ends, ACCURACY).alias("_ends")
+    if stats is None:
+        stats = materialize(
+            rows.groupBy(*keys).agg(
+                F.count("*").alias("_size"), bracket_sketch(F.col("_v"), probs).alias("_ends")
+            )
         )
-    )
     groups, large = stats.agg(F.count("*"), F.count(F.when(F.col("_size") > SMALL_GROUP, 1))).first()
     big = stats.filter(F.col("_size") > SMALL_GROUP)
     big = F.broadcast(big) if large <= KEYS_TO_SHARE else big

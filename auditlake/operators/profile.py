@@ -14,8 +14,9 @@ from auditlake.functions.exprs import (
     string_columns,
     temporal_columns, trunc, ts_text, exact_avg, exact_sum,
 )
-from auditlake.functions.ordering import exact_quantiles
+from auditlake.functions.ordering import bracket_sketch, exact_quantiles
 from auditlake.operators.query import simple_columns
+from auditlake.session import materialize
 
 
 def _columns(df: DataFrame, cols: list[str] | None) -> list[str]:
@@ -200,6 +201,7 @@ def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) ->
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Min, max, mean, median, sample deviation and nulls per numeric column."""
     cols = cols or numeric_columns(df)
+    probs = {"median": 0.5}
     aggs = [F.count("*").alias("_total")]
     for i, c in enumerate(cols):
         aggs += [
@@ -208,6 +210,7 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             F.max(c).cast("double").alias(f"_b{i}"),
             exact_avg(c).alias(f"_m{i}"),
             r6(F.stddev_samp(c)).alias(f"_s{i}"),
+            bracket_sketch(F.col(c), probs).alias(f"_k{i}"),
         ]
     entries = [
         F.struct(
@@ -217,11 +220,16 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             F.col(f"_m{i}").alias("mean"),
             F.col(f"_s{i}").alias("std_dev"),
             (F.col("_total") - F.col(f"_nn{i}")).alias("null_count"),
+            F.col(f"_nn{i}").alias("_size"),
+            F.col(f"_k{i}").alias("_ends"),
         )
         for i, c in enumerate(cols)
     ]
-    medians = exact_quantiles(long_form(df, cols, "double"), ["column_name"], "value", {"median": 0.5})
-    return melt(df.agg(*aggs), entries).join(medians, "column_name", "left")
+    # One row per column, with the brackets the medians are looked for in.
+    figures = materialize(melt(df.agg(*aggs), entries))
+    stats = figures.filter("_size > 0").select("column_name", "_size", "_ends")
+    medians = exact_quantiles(long_form(df, cols, "double"), ["column_name"], "value", probs, stats)
+    return figures.drop("_size", "_ends").join(medians, "column_name", "left")
 
 
 def categorical_summary(df: DataFrame, k: int = 5, cols: list[str] | None = None) -> DataFrame:
@@ -232,11 +240,12 @@ def categorical_summary(df: DataFrame, k: int = 5, cols: list[str] | None = None
         F.count("value").alias("unique_values"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
     )
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), F.col("value")))
+    # Nulls rank last instead of being filtered early, so both uses share one shuffle.
+    order = [F.col("value").isNull(), F.desc("n"), F.col("value")]
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(*order))
     top = (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("place", place)
-        .filter(F.col("place") <= k)
+        counts.withColumn("place", place)
+        .filter((F.col("place") <= k) & F.col("value").isNotNull())
         .withColumn("place", F.col("place").cast("bigint"))
     )
     return shape.join(top, "column_name", "left").select(

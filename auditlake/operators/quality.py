@@ -101,7 +101,9 @@ def value_patterns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Shape shared by all values of a column; the first that holds."""
     cols = _columns(df, cols)
     v, size = F.col("value"), F.length("value")
-    head = F.when(size >= 2, F.substring(v, 1, 2))
+    # The first two characters as one number: text minima would make Spark sort every row.
+    code = lambda i: F.ascii(F.substring(v, i, 1)).cast("bigint")
+    head = F.when(size >= 2, code(1) * (1 << 21) + code(2))
     found = (
         long_form(df, cols, "string")
         .groupBy("column_name")

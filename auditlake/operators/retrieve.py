@@ -38,6 +38,7 @@ def knn(
     def nearest(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         q = np.array(query)
         best = None
@@ -61,7 +62,7 @@ def knn(
             found = found.append_column("distance", pa.array(d)).filter(pa.array(ok))
             best = found if best is None else pa.concat_tables([best, found])
             if best.num_rows > k:
-                best = best.take(pa.compute.sort_indices(best, [("distance", "ascending"), (key, "ascending")])[:k])
+                best = best.take(pc.sort_indices(best, [("distance", "ascending"), (key, "ascending")])[:k])
         if best is not None:
             yield from best.combine_chunks().to_batches()
 

@@ -170,10 +170,9 @@ def match_names(left: DataFrame, name: str, right: DataFrame, other: str, ordina
     first = known.groupBy(F.lower("known").alias("_r")).agg(F.min(F.struct("_ord", "known")).alias("_first"))
     texts = first.select("_r")
     equal = lows.join(texts, F.col("_l") == F.col("_r")).select("_l", "_r")
-    pairs = (
-        equal.unionByName(containment_pairs(lows, "_l", texts, "_r"))
-        .unionByName(containment_pairs(texts, "_r", lows, "_l").select("_l", "_r"))
-        .distinct()
+    # Pairs stream into the minimum; they are never collected or made distinct.
+    pairs = equal.unionByName(containment_pairs(lows, "_l", texts, "_r")).unionByName(
+        containment_pairs(texts, "_r", lows, "_l").select("_l", "_r")
     )
     best = pairs.join(first, "_r").groupBy("_l").agg(F.min("_first").alias("_first"))
     loose = open_names.join(best, "_l").select(

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from auditlake.functions.exprs import (
     count_if, day_text, exact_avg, r6, ratio, resolve_as_of, trunc, ts_lit,
 )
-from auditlake.functions.ordering import exact_quantiles, prefix_sums
+from auditlake.functions.ordering import bracket_sketch, exact_quantiles, prefix_sums
 from auditlake.functions.text import contains_any, hit_count
+from auditlake.session import materialize
 
 # Log sizes, bucket widths and limits.
 KEEP_LAST, SHOW_LAST = 1000, 10
@@ -91,8 +92,19 @@ def latency(
         return rows.groupBy("bucket").agg(
             F.count("*").alias("n"), exact_avg("_d").alias("avg_time"), tail[0].alias("p95"), tail[1].alias("p99")
         )
-    base = rows.groupBy("bucket").agg(F.count("*").alias("n"), exact_avg("_d").alias("avg_time"))
-    return base.join(exact_quantiles(rows, ["bucket"], "_d", {"p95": 0.95, "p99": 0.99}), "bucket", "left")
+    probs = {"p95": 0.95, "p99": 0.99}
+    # One pass for the figures and the brackets, one for the values in them.
+    base = materialize(
+        rows.groupBy("bucket").agg(
+            F.count("*").alias("n"),
+            exact_avg("_d").alias("avg_time"),
+            F.count("_d").alias("_size"),
+            bracket_sketch(F.col("_d"), probs).alias("_ends"),
+        )
+    )
+    stats = base.filter("_size > 0").select("bucket", "_size", "_ends")
+    tail = exact_quantiles(rows, ["bucket"], "_d", probs, stats)
+    return base.drop("_size", "_ends").join(tail, "bucket", "left")
 
 
 def latency_overall(log: DataFrame, duration: str, ok: Column) -> DataFrame:
