@@ -177,7 +177,8 @@ def _bracketed(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> Dat
         marks.append(F.when(kept.isNotNull(), F.struct(F.lit(i).alias("_i"), kept.alias("_v"))))
     # Everything under a bracket counts as one value, everything over it is not needed.
     counts = (
-        rows.select(*keys, "_size", F.inline(F.array_compact(F.array(*marks))))
+        rows.select(*keys, "_size", F.inline(F.array(*marks)))
+        .filter(F.col("_i").isNotNull())
         .groupBy(*keys, "_i", "_v")
         .agg(F.count("*").alias("_n"), F.max("_size").alias("_size"))
     )

@@ -43,7 +43,7 @@ def contains_search(df: DataFrame, fields: list[str], q: str, key: str, any_word
         )
         for f in fields
     ]
-    return lows.select(key, F.inline(F.array_compact(F.array(*hits))))
+    return lows.select(key, F.inline(F.array(*hits))).filter(F.col("field").isNotNull())
 
 
 def query_keywords(text: Column, stop: list[str] = QUERY_STOP_WORDS, n: int = 5) -> Column:
