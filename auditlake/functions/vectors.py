@@ -1,32 +1,9 @@
-"""Vector distance expressions and the block-wise nearest-neighbour kernel."""
+"""The block-wise nearest-neighbour kernel and the directions of the approximate join."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def dot(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """Cosine distance or squared Euclidean distance, to six decimals."""
-    if metric == "cosine":
-        norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-        return F.round(1.0 - dot(a, b) / F.nullif(norms, F.lit(0.0)), 6)
-    if metric == "l2":
-        gaps = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
-        return F.round(F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x * x), 6)
-    raise ValueError(f"unknown metric: {metric}")
-
-
-def vector_literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
 
 def planes(tables: int, bits: int, dims: int) -> list[list[list[float]]]:
     """Fixed pseudo-random directions: table x bit x dimension."""
@@ -39,15 +16,6 @@ def planes(tables: int, bits: int, dims: int) -> list[list[list[float]]]:
     ]
 
 
-def signature(vec: Column, directions: list[list[float]]) -> Column:
-    """Which side of each direction the vector lies on, as a bit number."""
-    out = F.lit(0)
-    for b, direction in enumerate(directions):
-        side = dot(vec, vector_literal(direction)) >= 0
-        out = out + F.when(side, F.lit(1 << b)).otherwise(F.lit(0))
-    return out
-
-
 def block_kernel(k: int, metric: str, chunk: int = 64):
     """``best(query ids, query matrix, ids, matrix)``: k nearest rows per query.
 

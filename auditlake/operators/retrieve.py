@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.functions.vectors import block_kernel, planes, signature
+from auditlake.functions.vectors import block_kernel, planes
 
 # More queries than this are not held by every task; they are joined in blocks instead.
 QUERY_ROWS_IN_TASK = 4096
@@ -204,12 +204,35 @@ def ann_join(
     """
     left, right = _sides(queries, corpus, qid, cid, qemb, cemb)
 
-    def bucketed(df: DataFrame) -> DataFrame:
-        marks = [
-            signature(F.col("vec"), p) + F.lit(t << bits) for t, p in enumerate(planes(tables, bits, dims))
-        ]
-        return df.withColumn("bucket", F.explode(F.array(*marks)))
-
-    pairs = _in_blocks(bucketed(left), bucketed(right), k, metric, qblock, cblock)
+    directions = [d for table in planes(tables, bits, dims) for d in table]
+
+    def marker(key: str):
+        def mark(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            lines = np.array(directions)
+            weights, offsets = 1 << np.arange(bits), np.arange(tables) << bits
+            for batch in batches:
+                n = batch.num_rows
+                vectors = batch.column("vec")
+                m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
+                side = (m @ lines.T >= 0).reshape(n, tables, bits)
+                bucket = ((side * weights).sum(axis=2) + offsets).ravel()
+                again = pa.array(np.repeat(np.arange(n), tables))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(again), vectors.take(again), pa.array(bucket.astype("int32"))],
+                    names=[key, "vec", "bucket"],
+                )
+
+        return mark
+
+    def bucketed(df: DataFrame, key: str) -> DataFrame:
+        fitting = df.filter(F.size("vec") == dims)
+        return fitting.mapInArrow(marker(key), f"{key} bigint, vec array<double>, bucket int")
+
+    pairs = _in_blocks(
+        bucketed(left, "query_id"), bucketed(right, "item_id"), k, metric, qblock, cblock
+    )
     once = pairs.groupBy("query_id", "item_id").agg(F.min("distance").alias("distance"))
     return _closest(once, k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.operators import findings as f
-from auditlake.operators import integrity, relate, statistical
+from auditlake.operators import integrity, relate
 from auditlake.plans import Registry
 from auditlake.plans.fraud import benford_sql, orphan_sql, zscore_sql
 from auditlake.plans.relations import KEYS, tables as key_tables

@@ -6,8 +6,6 @@ once, when its window can no longer change.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -108,9 +106,3 @@ def run_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
     )
     query.awaitTermination()
 
-
-def closed_before(log: DataFrame, ts: str, watermark: dt.timedelta) -> Column:
-    """The watermark after all rows were seen, for comparing with a batch result."""
-    return log.agg((F.max(ts) - watermark).alias("m")).scalar()
-
-
