@@ -35,7 +35,7 @@ SAMPLE = 20_000
 #: A learnt feature is in so many toxic rows at least, and in more toxic than clean ones.
 LEAST_ROWS, LEAST_PRECISION, LEAST_G2 = 4, 0.6, 15.0
 #: What a toxic row still counts once a chosen feature is in it.
-DECAY = 0.6
+DECAY = 0.4
 STEM_LENGTHS = range(4, 9)
 
 # Function words of the grammar in English, German, French and Spanish.
