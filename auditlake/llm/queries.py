@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import quality, repetition, toxicity
+from auditlake.llm import pstable, quality, repetition, simhash, toxicity
 from auditlake.llm.common import held_out
 from auditlake.plans import Registry
 
@@ -43,3 +43,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cover"
     )
+
+
+@REG.add("op7_embedding_near_dedup")
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@REG.add("op10_simhash_near_dedup")
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "fingerprint", "component_id", "kept")
