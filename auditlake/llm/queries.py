@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import pstable, quality, repetition, simhash, toxicity
-from auditlake.llm.common import held_out
+from auditlake.llm import mixing, pstable, quality, repetition, sharding, simhash, toxicity, warc
+from auditlake.llm.common import held_out, sized, work_dir
 from auditlake.plans import Registry
 
 REG = Registry()
@@ -25,6 +25,51 @@ def _judged(scored: DataFrame, limit: float) -> DataFrame:
     )
 
 
+@REG.add(
+    "op1_warc",
+    """
+    WITH p AS (
+      SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+    ), d AS (
+      SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+    ), b AS (
+      SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS best FROM d
+    )
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+    FROM b
+    """,
+)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), work_dir(spark, "warc"))
+    found = warc.read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+    as_id = lambda c: F.when(number(c) != "", number(c)).cast("long")
+    return found.select(
+        as_id(F.col("record_id")).alias("page_id"),
+        # What was read back counts; a revisit has no payload, so its headers tell.
+        F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"),
+        "record_type",
+        as_id(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+@REG.add("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(spark, table(spark, sf_dir, "documents"), 40)
+    return out.select(
+        F.col("record.doc_id").alias("doc_id"),
+        (sized("record.text") + 16).alias("size"),
+        F.crc32(F.coalesce("record.text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @REG.add("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -54,3 +99,8 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "fingerprint", "component_id", "kept")
+
+
+@REG.add("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_mix(spark, table(spark, sf_dir, "documents"))
