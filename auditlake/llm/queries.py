@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import mixing, pstable, quality, repetition, sharding, simhash, toxicity, warc
+from auditlake.llm import mixing, pieces, pstable, quality, repetition, sharding, simhash, toxicity, warc
 from auditlake.llm.common import held_out, sized, work_dir
 from auditlake.plans import Registry
 
@@ -104,3 +104,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add("op8_mixing")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_mix(spark, table(spark, sf_dir, "documents"))
+
+
+@REG.add("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"))
+    decoded = pieces.decode(encoded.withColumn("n_pieces", F.size("ids").cast("long")))
+    return decoded.select(
+        "doc_id", "n_pieces", "ids_crc32", "scores", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip")
+    )
