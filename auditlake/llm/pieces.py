@@ -38,8 +38,9 @@ BYTE_PENALTY = 10.0
 FORBIDDEN = -1e8
 #: Units at blanks, and units at blanks and between words and marks.
 _COARSE = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_FINE = re.compile(rf"{BLANK}*\w+|{BLANK}*[^\w{BLANK}\n]+|{BLANK}+|\n")
-_MIXED = re.compile(rf"\w[^\w]|[^\w]\w|.\n|\n.", re.DOTALL)
+_MARK = r"!-/:-@\[-`{-~"
+_FINE = re.compile(rf"{BLANK}*[^{_MARK}{BLANK}\n]+|{BLANK}*[{_MARK}]+|{BLANK}+|\n")
+_MIXED = re.compile(rf"[{_MARK}\n][^{_MARK}\n]|[^{_MARK}\n][{_MARK}\n]|[{_MARK}]\n|\n[{_MARK}\n]")
 MOST_MIXED = 32
 
 _NONE = float("-inf")
