@@ -36,11 +36,8 @@ REMEMBERED = 300_000
 BYTE_PENALTY = 10.0
 #: Scores below this mark pieces that are not for segmentation.
 FORBIDDEN = -1e8
-#: Units at blanks, and units at blanks and between words and marks.
 _COARSE = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_MARK = r"!-/:-@\[-`{-~"
-_FINE = re.compile(rf"{BLANK}*[^{_MARK}{BLANK}\n]+|{BLANK}*[{_MARK}]+|{BLANK}+|\n")
-_MIXED = re.compile(rf"[{_MARK}\n][^{_MARK}\n]|[^{_MARK}\n][{_MARK}\n]|[{_MARK}]\n|\n[{_MARK}\n]")
+#: With more pieces than this across the border of words and marks, texts are cut at blanks only.
 MOST_MIXED = 32
 
 _NONE = float("-inf")
@@ -60,9 +57,16 @@ class Vocabulary:
     def __post_init__(self) -> None:
         normal = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == "n"}
         self.ids = {p: (i, self.scores[i]) for p, i in normal.items()}
-        # Pieces over a border of words and marks; texts that hold one are cut at blanks only.
-        mixed = [p for p in normal if _MIXED.search(p.strip(BLANK))]
+        # Marks: line ends, ASCII marks, and other marks that share a piece with one. Texts that
+        # hold one of the few pieces across the border of words and marks are cut at blanks only.
+        self.marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n")
+        bare = [p.strip(BLANK) for p in normal]
+        while more := {c for p in bare if self.marks & set(p) for c in p if not c.isalnum() and c != BLANK} - self.marks:
+            self.marks |= more
+        mixed = [p for p in bare if 0 < sum(c in self.marks for c in p) < len(p)]
         self.mixed = None if len(mixed) > MOST_MIXED else mixed
+        mark = "".join(map(re.escape, sorted(self.marks)))
+        self.fine = re.compile(f"{BLANK}*[^{mark}{BLANK}]+|{BLANK}*[{mark}]+|{BLANK}+")
         self.matcher = ahocorasick.Automaton()
         for piece, (i, score) in self.ids.items():
             self.matcher.add_word(piece, (i, score, len(piece)))
@@ -94,7 +98,7 @@ class Vocabulary:
         """The parts of a text that no piece crosses, the model's blank put before the first."""
         if not text:
             return []
-        rule = _COARSE if self.mixed is None or any(m in text for m in self.mixed) else _FINE
+        rule = _COARSE if self.mixed is None or any(m in text for m in self.mixed) else self.fine
         return rule.findall(BLANK + text.replace(" ", BLANK))
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:

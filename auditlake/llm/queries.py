@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import mixing, pieces, pstable, quality, repetition, sharding, simhash, toxicity, warc
+from auditlake.llm import mixing, pieces, pii, pstable, quality, repetition, sharding, simhash, toxicity, warc
 from auditlake.llm.common import held_out, sized, work_dir
 from auditlake.plans import Registry
 
@@ -76,6 +76,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+@REG.add("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 @REG.add("op5_quality_classifier")
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
