@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from auditlake.llm.common import batches, byte_texts
 from auditlake.llm.components import components
@@ -116,6 +117,17 @@ def linked(classes: DataFrame, bits: int = 2) -> DataFrame:
     return p.join(t, on & near).select("a", "b")
 
 
+def component_of(rows: DataFrame, bits: int) -> DataFrame:
+    """(fp, component_id) per fingerprint of ``rows`` (_id, fp)."""
+    classes = rows.groupBy("fp").agg(F.min("_id").alias("first"))
+    roots = components(linked(classes.select("fp"), bits))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2
 ) -> DataFrame:
@@ -129,16 +141,33 @@ def near_duplicates(
     all its rows. Repeated rows give repeated results; an empty table gives none.
     """
     rows = materialize(fingerprints(docs, doc_id, text, shingle))
-    classes = rows.groupBy("fp").agg(F.min("_id").alias("first"))
-    roots = components(linked(classes.select("fp"), bits))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    return rows.join(component_of(rows, bits), "fp").select(
         F.col("_id").alias(doc_id),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         F.coalesce(F.col("_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
     )
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that with the smallest id.
+
+    A repeated row of that document goes too. Documents without an id stay only
+    where no linked document has one, one for each fingerprint.
+    """
+    rows = materialize(fingerprints(docs, doc_id, text, shingle))
+    named = component_of(rows, bits)
+    kept = rows.join(named, "fp").filter("_id = component_id").select(F.col("_id").alias("_kept")).distinct()
+    known = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    nameless = docs.filter(F.col(doc_id).isNull())
+    lone = named.filter("component_id IS NULL").select("fp")
+    wide = StructType([*docs.schema.fields]).add("_fp", "long")
+    at = docs.columns.index(text)
+
+    def hashed(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(iterator):
+            found = np.array([fingerprint(t, shingle) for t in byte_texts(batch.column(at))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], wide.names)
+
+    rest = nameless.mapInArrow(hashed, wide).join(lone, F.col("_fp") == F.col("fp"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    return known.unionByName(rest)
