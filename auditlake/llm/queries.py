@@ -90,7 +90,51 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.7)
 
 
-@REG.add("op6_quality_rules")
+def _rules_sql() -> str:
+    """The repetition rules for DuckDB: windows as word lists, coverage by a running maximum."""
+    limits = repetition.Limits()
+    parts, columns, totals = [], [], []
+    for n in sorted(limits.ngrams):
+        parts.append(f"""
+    g{n} AS (
+      SELECT doc_id, pos, chars, len(gram) = {n} AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS dup FROM (
+        SELECT doc_id, pos, chars, array_agg(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS gram FROM w)
+    ), c{n} AS (
+      SELECT doc_id, sum(chars) FILTER (inside)::BIGINT AS c{n}, count(*) FILTER (inside) AS r{n} FROM (
+        SELECT doc_id, chars, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM g{n})
+      GROUP BY doc_id)""")
+        columns.append(f"coalesce(c{n}, 0)")
+        totals.append(f"100 * coalesce(c{n}, 0) > {limits.ngrams[n]} * word_chars")
+    joins = " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in sorted(limits.ngrams))
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (
+      SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, length(unnest(words)) AS chars
+      FROM (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d)
+    ), n AS (
+      SELECT doc_id, count(*) AS n_words, sum(chars)::BIGINT AS word_chars FROM w GROUP BY doc_id
+    ), l AS (
+      SELECT doc_id, sum(k - 1)::BIGINT AS n_dup_lines, sum((k - 1) * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')))::BIGINT AS line_chars
+      FROM (SELECT doc_id, line, count(*) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line)
+      GROUP BY doc_id
+    ),{",".join(parts)}, a AS (
+      SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        coalesce(line_chars, 0) AS line_chars, coalesce(r{repetition.BASE_WINDOW}, 0) AS n_repeat_words, [{", ".join(columns)}] AS cover,
+        {" OR ".join(totals)} AS over_grams
+      FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id) {joins}
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR coalesce(over_grams, false)
+           OR (n_words >= {limits.least_words} AND 100 * line_chars > {limits.lines} * word_chars)) AS kept,
+      cover
+    FROM a
+    """
+
+
+@REG.add("op6_quality_rules", _rules_sql())
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repetition.repetition_rules(table(spark, sf_dir, "documents"))
     return out.select(
@@ -98,7 +142,31 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REG.add("op7_embedding_near_dedup")
+@REG.add(
+    "op7_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+    ), links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+    ), reach AS (
+      SELECT vec_id AS a, vec_id AS b FROM embeddings
+      UNION
+      SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    ), least AS (
+      SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+    ), n AS (
+      SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+    )
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)
+    """,
+)
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_duplicates(table(spark, sf_dir, "embeddings"))
 
