@@ -87,7 +87,7 @@ def splitting_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) ->
 
 @dataclass
 class Mix:
-    """``rows``: (_row..., _source, _block, _size) narrow rows; ``draws``: (_source, _block, copy, shard); ``targets`` per source."""
+    """``rows``: (_row..., _source, _block, _size) narrow rows; ``draws``: (_source, _block, _copy, _shard); ``targets`` per source."""
 
     rows: DataFrame
     draws: DataFrame
@@ -140,9 +140,9 @@ def plan(
     run = held.join(targets, "_source").withColumn("end", F.sum("words").over(upto))
     extra = F.when(F.col("end") - F.col("words") / 2 <= F.col("rest"), 1).otherwise(0)
     drawn = run.withColumn("times", F.col("base") + F.when(F.col("base") < COPIES, extra).otherwise(0)).filter("times > 0")
-    units = drawn.select("_source", "_block", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    units = drawn.select("_source", "_block", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy"))
     # Copies of one block lie far apart in the permuted order of draws.
-    turn = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 2), "_source", "_block", "copy"), "_block", "copy")
+    turn = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 2), "_source", "_block", "_copy"), "_block", "_copy")
     units = materialize(units.withColumn("turn", F.row_number().over(turn)))
     counts = {r["_source"]: r["n"] for r in units.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
@@ -152,7 +152,7 @@ def plan(
         [(n, [int(x) for x in ends[:, i]]) for i, n in enumerate(names)], "_source string, ends array<long>"
     )
     draws = units.join(runs, "_source").select(
-        "_source", "_block", "copy", F.size(F.filter("ends", lambda e: e < F.col("turn"))).alias("shard")
+        "_source", "_block", "_copy", F.size(F.filter("ends", lambda e: e < F.col("turn"))).alias("_shard")
     )
     return Mix(rows, draws, targets)
 
@@ -177,8 +177,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """
     mix = plan(docs, doc_id, text, source, seed=seed, **options)
     keyed = _keyed(docs, source, [doc_id, text], options.get("blocks", BLOCKS), seed)
-    out = keyed.join(mix.draws.withColumnRenamed("shard", "_shard"), ["_source", "_block"])
-    out = out.withColumn("_turn", F.xxhash64(F.lit(seed + 3), doc_id, text, "copy"))
+    out = keyed.join(mix.draws, ["_source", "_block"])
+    out = out.withColumn("_turn", F.xxhash64(F.lit(seed + 3), doc_id, text, "_copy"))
     # Few shards of many rows: each is spread over tasks by a further hash and shuffled there.
     return out.repartition("_shard", F.pmod("_turn", F.lit(64))).sortWithinPartitions("_shard", "_turn").select(*docs.columns, "_shard")
 

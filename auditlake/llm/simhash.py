@@ -69,10 +69,10 @@ def segments(bits: int) -> list[tuple[int, int, int]]:
     """(lowest bit, width, radius) per segment for links of up to ``bits`` differing bits.
 
     With m segments and r = bits // m, the first bits - r * m + 1 segments are
-    searched to radius r and the others to r - 1. m is the least that keeps r at
-    one or below; segments of radius below zero need no search.
+    searched to radius r and the others to r - 1. m is the least above one that
+    keeps r at one or below; segments of radius below zero need no search.
     """
-    m = max(1, (bits + 2) // 2)
+    m = max(2, (bits + 2) // 2)
     r = bits // m
     full = bits - r * m + 1
     cuts = [64 * i // m for i in range(m + 1)]
@@ -160,7 +160,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     kept = rows.join(named, "fp").filter("_id = component_id").select(F.col("_id").alias("_kept")).distinct()
     known = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
     nameless = docs.filter(F.col(doc_id).isNull())
-    lone = named.filter("component_id IS NULL").select("fp")
+    lone = named.filter("component_id IS NULL").select(F.col("fp").alias("_lone"))
     wide = StructType([*docs.schema.fields]).add("_fp", "long")
     at = docs.columns.index(text)
 
@@ -169,5 +169,5 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
             found = np.array([fingerprint(t, shingle) for t in byte_texts(batch.column(at))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], wide.names)
 
-    rest = nameless.mapInArrow(hashed, wide).join(lone, F.col("_fp") == F.col("fp"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    rest = nameless.mapInArrow(hashed, wide).join(lone, F.col("_fp") == F.col("_lone"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
     return known.unionByName(rest)

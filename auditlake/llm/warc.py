@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -189,7 +190,7 @@ class WarcReader(DataSourceReader):
                 room = self.split
             groups[-1].append(path)
             room -= size
-        return [FileGroup(tuple(g)) for g in groups]
+        return [FileGroup(tuple(g)) for g in groups or [[]]]
 
     def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
         system, _ = _open_fs(self.path)
@@ -201,7 +202,7 @@ class WarcReader(DataSourceReader):
             with system.open_input_file(path) as raw:
                 packed = raw.read(2) == b"\x1f\x8b"
                 raw.seek(0)
-                stream = gzip.GzipFile(fileobj=raw) if packed else raw
+                stream = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20)
                 rows: list[dict] = []
                 held = 0
                 for row in read_records(stream, self.filters, self.wanted):
