@@ -30,8 +30,8 @@ from auditlake.llm.common import batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Words that a task remembers before it starts anew.
-REMEMBERED = 300_000
+#: Units that a task remembers before they become the old ones, which are kept until the next change.
+REMEMBERED = 400_000
 #: A byte stands for a character without a piece, at this much below the worst piece.
 BYTE_PENALTY = 10.0
 #: Scores below this mark pieces that are not for segmentation.
@@ -53,6 +53,7 @@ class Vocabulary:
     scores: list[float]
     kinds: str  # per id: n normal, b byte, c control, u unknown
     memory: dict[str, tuple[float, tuple[int, ...], float]] = field(default_factory=dict)
+    old: dict[str, tuple[float, tuple[int, ...], float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         normal = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == "n"}
@@ -168,16 +169,16 @@ class Vocabulary:
         Only these words are searched for their n best.
         """
         units = self.units(text)
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
+        if len(self.memory) > REMEMBERED:
+            self.old, self.memory = self.memory, {}
+        memory, old = self.memory, self.old
         best: list[int] = []
         losses: list[float] = []
         total = 0.0
         for u in units:
             known = memory.get(u)
             if known is None:
-                known = self.best(u)
+                known = old.get(u) or self.best(u)
                 if len(u) < 64:
                     memory[u] = known
             total += known[0]
@@ -189,6 +190,9 @@ class Vocabulary:
                 if loss == float("inf"):
                     break
                 paths = self.n_best(units[w], n)
+                first = memory.get(units[w]) or self.best(units[w])
+                # Among ties the path taken above goes first.
+                paths = [(paths[0][0], first[1]), *[p for p in paths if p[1] != first[1]]][:n]
                 combined = heapq.nsmallest(
                     n,
                     [(lost + paths[0][0] - p[0], {**picks, w: p} if c else picks) for lost, picks in combined for c, p in enumerate(paths)],
