@@ -18,18 +18,30 @@ def as_col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def r6(x: str | Column) -> Column:
-    """Six decimals: enough for every ratio, and stable under another summing order."""
-    return F.round(as_col(x).cast("double"), 6)
+def as_double(x: str | Column) -> Column:
+    """The value as a double. Results are rounded where they are shown, not here."""
+    return as_col(x).cast("double")
 
 
-def exact_sum(x: str | Column) -> Column:
-    """Sum in fixed point, so the result does not depend on partition order."""
-    return F.sum(as_col(x).cast("decimal(18,4)")).cast("double")
+def fixed_part(x: str | Column) -> Column:
+    """What of a value twelve decimals hold; null for values of 1e15 and more, and those that are not finite."""
+    value = as_col(x)
+    return F.when(F.abs(value.cast("double")) < 1e15, value.try_cast("decimal(38,12)"))
 
 
-def exact_avg(x: str | Column) -> Column:
-    return r6(exact_sum(x) / F.count(as_col(x)))
+def rest_part(x: str | Column) -> Column:
+    """The value less its fixed part, as a double: nearly always zero."""
+    return as_col(x).cast("double") - F.coalesce(fixed_part(x).cast("double"), F.lit(0.0))
+
+
+def total_of(x: str | Column) -> Column:
+    """Sum as a double, of values of any size. The fixed parts add up exactly, whatever the order of the rows."""
+    return F.coalesce(F.sum(fixed_part(x)).cast("double"), F.lit(0.0)) + F.sum(rest_part(x))
+
+
+def mean_of(x: str | Column) -> Column:
+    """Sum over count of the values that are there; null without one."""
+    return ratio(total_of(x), F.count(as_col(x)))
 
 
 def count_if(cond: Column) -> Column:
@@ -43,7 +55,11 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def micros(ts: str | Column) -> Column:
-    return F.unix_micros(as_col(ts).cast("timestamp"))
+    """Microseconds since 1970. Wall-clock times count without a time zone, so no clock change comes between two."""
+    at = as_col(ts)
+    since = (at.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second")
+    wall = (since.cast("decimal(18,6)") * 1_000_000).cast("bigint")
+    return F.when(F.typeof(at) == "timestamp", F.unix_micros(at.cast("timestamp"))).otherwise(wall)
 
 
 def ts_text(ts: str | Column) -> Column:
@@ -130,3 +146,15 @@ def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> D
 def melt(row: DataFrame, entries: list[Column]) -> DataFrame:
     """Turn one aggregate row into one row per entry (a struct column each)."""
     return row.select(F.inline(F.array(*entries)))
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON text, so that they can be counted, compared and hashed. Nulls stay."""
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
+
+
+def no_rows(df: DataFrame, schema: str) -> DataFrame:
+    """An empty frame of the given columns, for operators that find nothing to work on."""
+    names = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
+    return df.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in names])

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import r6
 from auditlake.session import materialize, shuffle_width
 
 RANGE = "_range"
@@ -105,11 +104,8 @@ def next_value(df: DataFrame, keys: list[str], order: list[Column], value: str,
     )
 
 
-# Groups up to this size are ranked by Spark's own exact percentile.
-SMALL_GROUP = 40_000
 # The sketch is off by at most 1 / ACCURACY of the ranks; the bracket is ten times wider.
 ACCURACY, MARGIN = 10_000, 0.001
-KEYS_TO_SHARE = 100_000
 
 
 def bracket_sketch(value: Column, probs: dict[str, float]) -> Column:
@@ -121,13 +117,13 @@ def bracket_sketch(value: Column, probs: dict[str, float]) -> Column:
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], stats: DataFrame | None = None
 ) -> DataFrame:
-    """Exact interpolated quantiles per key.
+    """Exact interpolated quantiles per key, by one way for groups of every size.
 
-    Small groups go to the built-in aggregate. For a large one a sketch first
-    brackets each quantile; then only the values inside the brackets are ranked,
-    a few thousandths of the rows, equal values counted as one, spread over
-    ranges. No group is held by one task and no full sort is made. ``stats``
-    (keys, ``_size``, ``_ends``) may come from a pass the caller makes anyway.
+    A sketch first brackets each quantile. Then only the values inside the
+    brackets are ranked, a few thousandths of the rows, equal values counted as
+    one, spread over ranges. No group is held by one task and no full sort is
+    made. ``stats`` (keys, ``_size``, ``_ends``) may come from a pass the caller
+    makes anyway.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     if stats is None:
@@ -136,23 +132,7 @@ def exact_quantiles(
                 F.count("*").alias("_size"), bracket_sketch(F.col("_v"), probs).alias("_ends")
             )
         )
-    groups, large = stats.agg(F.count("*"), F.count(F.when(F.col("_size") > SMALL_GROUP, 1))).first()
-    big = stats.filter(F.col("_size") > SMALL_GROUP)
-    big = F.broadcast(big) if large <= KEYS_TO_SHARE else big
-    parts = []
-    if large < groups:
-        rest = rows if large == 0 else _join_keys(rows, big.select(*keys), keys, "left_anti")
-        found = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
-        parts.append(
-            rest.groupBy(*keys)
-            .agg(found.alias("_q"))
-            .select(*keys, *[r6(F.col("_q")[i]).alias(n) for i, n in enumerate(probs)])
-        )
-    if large:
-        parts.append(_bracketed(_join_keys(rows, big, keys, "inner"), keys, probs))
-    return reduce(DataFrame.unionByName, parts) if parts else rows.groupBy(*keys).agg(
-        *[F.lit(None).cast("double").alias(n) for n in probs]
-    )
+    return _bracketed(_join_keys(rows, stats.filter("_size > 0"), keys, "inner"), keys, probs)
 
 
 def _join_keys(rows: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -166,34 +146,43 @@ def _join_keys(rows: DataFrame, small: DataFrame, keys: list[str], how: str) ->
     return joined.drop(*[f"_on_{k}" for k in keys]) if how == "inner" else joined
 
 
+BELOW, INSIDE, ABOVE = 0, 1, 2
+
+
 def _bracketed(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    below = F.lit(float("-inf"))
+    """Rank the values inside each bracket.
+
+    All values below a bracket are one row with their number and the largest of
+    them, all above it one with the smallest: in a small group a quantile may lie
+    between the bracket and its neighbour.
+    """
     marks = []
-    for i, p in enumerate(probs.values()):
+    for i in range(len(probs)):
         low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
-        kept = F.col("_v") if p + MARGIN >= 1 else F.when(F.col("_v") <= high, F.col("_v"))
-        if p - MARGIN > 0:
-            kept = F.when(F.col("_v") < low, below).otherwise(kept)
-        marks.append(F.when(kept.isNotNull(), F.struct(F.lit(i).alias("_i"), kept.alias("_v"))))
-    # Everything under a bracket counts as one value, everything over it is not needed.
+        side = F.when(F.col("_v") < low, BELOW).when(F.col("_v") > high, ABOVE).otherwise(INSIDE)
+        marks.append(F.struct(F.lit(i).alias("_i"), side.alias("_side"), F.when(side == INSIDE, F.col("_v")).alias("_in")))
     counts = (
-        rows.select(*keys, "_size", F.inline(F.array(*marks)))
-        .filter(F.col("_i").isNotNull())
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.count("*").alias("_n"), F.max("_size").alias("_size"))
+        rows.select(*keys, "_size", "_v", F.inline(F.array(*marks)))
+        .groupBy(*keys, "_i", "_side", "_in")
+        .agg(
+            F.count("*").alias("_n"),
+            F.when(F.col("_side") == ABOVE, F.min("_v")).otherwise(F.max("_v")).alias("_v"),
+            F.max("_size").alias("_size"),
+        )
     )
-    ranked = prefix_sums(counts, [*keys, "_i"], [F.col("_v")], {"_cum": "_n"})
+    ranked = prefix_sums(counts, [*keys, "_i"], [F.col("_side"), F.col("_v")], {"_cum": "_n"})
+    # Of the values below only the last rank is known, of those above only the first.
+    known = F.when(F.col("_side") == BELOW, F.col("_cum") - 1).otherwise(F.col("_cum") - F.col("_n"))
+    last = F.when(F.col("_side") == ABOVE, known).otherwise(F.col("_cum") - 1)
     aggs = []
     for i, (name, p) in enumerate(probs.items()):
         spot = (F.col("_size") - 1) * F.lit(float(p))
         low, high = F.floor(spot), F.ceil(spot)
         mine = F.col("_i") == i
-        holds = lambda rank: mine & (F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum"))
+        holds = lambda rank: mine & (known <= rank) & (rank <= last)
         a = F.max(F.when(holds(low), F.col("_v")))
         b = F.max(F.when(holds(high), F.col("_v")))
-        exact = a + (b - a) * F.max(spot - low)
-        missed = a.isNull() | b.isNull() | (a == below)
-        aggs.append(
-            F.when(missed, F.raise_error(F.lit("quantile outside its bracket"))).otherwise(r6(exact)).alias(name)
-        )
+        exact = F.when(a == b, a).otherwise(a + (b - a) * F.max(spot - low))
+        missed = (F.count(F.when(mine, 1)) > 0) & (a.isNull() | b.isNull())
+        aggs.append(F.when(missed, F.raise_error(F.lit("quantile outside its bracket"))).otherwise(exact).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)

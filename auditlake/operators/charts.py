@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import exact_sum, micros, r6, ratio
+from auditlake.functions.exprs import total_of, micros, as_double, ratio
 from auditlake.functions.ordering import exact_quantiles, next_value
 
 SALTS = 16
@@ -15,15 +15,16 @@ SALTS = 16
 
 def series_matrix(df: DataFrame, label: str, series: str, measure: str, values: list[str]) -> DataFrame:
     """Labels down, series across; cells without rows are 0. The series are named, so no extra pass."""
-    cells = df.groupBy(label).pivot(series, values).agg(exact_sum(measure))
+    cells = df.groupBy(label).pivot(series, values).agg(total_of(measure))
     return cells.fillna(0.0, subset=[str(v) for v in values])
 
 
 def shares(df: DataFrame, label: str, measure: str) -> DataFrame:
     """Total per label and its share of the whole."""
-    totals = df.groupBy(label).agg(exact_sum(measure).alias("total"))
-    whole = df.agg(exact_sum(measure).alias("t")).scalar()
-    return totals.withColumn("share", r6(ratio(F.col("total") * 100, whole)))
+    totals = df.groupBy(label).agg(total_of(measure).alias("total"))
+    # One row per label: the whole is the sum of these, not another scan.
+    whole = F.sum("total").over(Window.partitionBy())
+    return totals.withColumn("share", as_double(ratio(F.col("total") * 100, whole)))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
@@ -41,8 +42,8 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     frame = df.sparkSession.range(bins).select(F.col("id").alias("bin")).withColumn("_s", span)
     return frame.join(counts, "bin", "left").select(
         "bin",
-        r6(F.col("_s.lo") + width * F.col("bin")).alias("low"),
-        r6(F.col("_s.lo") + width * (F.col("bin") + 1)).alias("high"),
+        as_double(F.col("_s.lo") + width * F.col("bin")).alias("low"),
+        as_double(F.col("_s.lo") + width * (F.col("bin") + 1)).alias("high"),
         F.coalesce("_n", F.lit(0)).cast("bigint").alias("n"),
     )
 
@@ -64,7 +65,7 @@ def box(df: DataFrame, key: str, col: str) -> DataFrame:
 def hierarchy(df: DataFrame, levels: list[str], measure: str) -> DataFrame:
     """Totals at every level of a hierarchy, with the depth of each row."""
     rows = df.rollup(*levels).agg(
-        exact_sum(measure).alias("total"), F.count("*").alias("n"), F.grouping_id().alias("_g")
+        total_of(measure).alias("total"), F.count("*").alias("n"), F.grouping_id().alias("_g")
     )
     depth = reduce(
         lambda a, i: F.when(F.col("_g") == (1 << i) - 1, len(levels) - i).otherwise(a),
@@ -105,7 +106,7 @@ def funnel(df: DataFrame, entity: str, ts: str, state: str, steps: list[str]) ->
     out = reduce(DataFrame.unionByName, counts)
     first = F.first_value("entities").over(Window.orderBy("step"))
     # One row per step.
-    return out.withColumn("share", r6(ratio(F.col("entities"), first)))
+    return out.withColumn("share", as_double(ratio(F.col("entities"), first)))
 
 
 def _step(reached: DataFrame, number: int, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import (
-    RISK_RANK, count_if, exact_avg, r6, ratio, resolve_as_of, risk_rank, ts_lit,
+    RISK_RANK, count_if, mean_of, as_double, no_rows, ratio, resolve_as_of, risk_rank, ts_lit,
 )
 from auditlake.operators import integrity, statistical, temporal, transactions
 
@@ -27,6 +27,11 @@ VERDICTS = {
     "orphaned_records": ("relationship_integrity", 0.5, 0.7),
     "duplicate_key": ("schema_vulnerability", 0.5, 0.7),
     "critical_field_allows_null": ("schema_vulnerability", 0.5, 0.7),
+    "split_transactions": ("transaction_anomaly", 0.5, 0.7),
+    "off_hours_transactions": ("transaction_anomaly", 0.5, 0.7),
+    "missing_audit_fields": ("data_quality", 0.5, 0.7),
+    "missing_foreign_key_constraints": ("schema_vulnerability", 0.5, 0.7),
+    "circular_references": ("relationship_integrity", 0.5, 0.7),
 }
 MIN_CONFIDENCE, MIN_RISK = 0.7, "medium"
 # Score bands. The level weights are ours.
@@ -49,12 +54,22 @@ class Roles:
     measures: list[str] = field(default_factory=list)
     critical: list[str] = field(default_factory=list)
     fks: list[tuple[str, str, DataFrame, str]] = field(default_factory=list)
+    clock: str | None = None
+    audit: list[str] = field(default_factory=list)
+    ref: str | None = None
+    check_references: bool = False
     as_of: dt.datetime | str | None = None
     round_modulus: int = 100
     velocity_window: dt.timedelta = dt.timedelta(hours=1)
     velocity_min: int = transactions.VELOCITY_MIN_ROWS
 
 
+FINDING = (
+    "finding_id string, table_name string, kind string, category string, risk_level string, likelihood double, "
+    "confidence double, affected_columns array<string>, affected_rows bigint, statistic double"
+)
+
+
 def _finding(table: str, kind: str, columns: list[str], risk: Column | str, rows: Column, stat: Column) -> Column:
     category, likelihood, confidence = VERDICTS[kind]
     return F.struct(
@@ -79,14 +94,14 @@ def _scan_findings(name: str, t: Roles) -> DataFrame | None:
     df = t.df
 
     if t.amount:
-        value = F.col(t.amount).cast("decimal(20,4)")
+        value = F.col(t.amount)
         aggs += [F.count(t.amount).alias("_amounts"), count_if(value % t.round_modulus == 0).alias("_round")]
         share = F.coalesce(ratio(F.col("_round") * 100, F.col("_amounts")), F.lit(0.0))
         risk = F.when(share < transactions.ROUND_HIGH_PERCENT, "medium").otherwise("high")
         out.append(
             F.when(
                 share > transactions.ROUND_FLAG_PERCENT,
-                _finding(name, "round_amount_fraud", [t.amount], risk, F.col("_round"), r6(share)),
+                _finding(name, "round_amount_fraud", [t.amount], risk, F.col("_round"), as_double(share)),
             )
         )
         df = df.withColumn("_digit", F.when(F.col(t.amount) > 0, statistical.first_digit(t.amount)))
@@ -105,7 +120,7 @@ def _scan_findings(name: str, t: Roles) -> DataFrame | None:
         out.append(
             F.when(
                 (present >= statistical.BENFORD_MIN_DIGITS) & (chi > statistical.BENFORD_CRITICAL),
-                _finding(name, "benfords_law_violation", [t.amount], risk, tested, r6(chi)),
+                _finding(name, "benfords_law_violation", [t.amount], risk, tested, as_double(chi)),
             )
         )
     if t.ts or t.created:
@@ -140,6 +155,20 @@ def _scan_findings(name: str, t: Roles) -> DataFrame | None:
                 ),
             )
         )
+    if t.clock:
+        aggs.append(count_if(transactions.in_night(t.clock)).alias("_night"))
+        out.append(F.when(F.col("_night") > 0, _finding(name, "off_hours_transactions", [t.clock], "medium", F.col("_night"), none)))
+    if t.audit:
+        gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in t.audit])
+        aggs += [count_if(gap).alias("_gaps"), F.count("*").alias("_rows")]
+        share = as_double(ratio(F.col("_gaps") * 100, F.col("_rows")))
+        out.append(F.when(F.col("_gaps") > 0, _finding(name, "missing_audit_fields", t.audit, "high", F.col("_gaps"), share)))
+    if t.check_references:
+        known = {column for column, *_ in t.fks} | set(t.key)
+        loose = [f.name for f in t.df.schema.fields if integrity.is_reference_like(f) and f.name not in known]
+        if len(loose) > integrity.UNVERIFIED_MIN:
+            aggs.append(F.count("*").alias("_referring"))
+            out.append(_finding(name, "missing_foreign_key_constraints", loose, "medium", F.col("_referring"), F.lit(len(loose))))
     for i, c in enumerate(t.critical):
         aggs.append(count_if(F.col(c).isNull()).alias(f"_null{i}"))
         out.append(
@@ -171,6 +200,11 @@ def _group_findings(name: str, t: Roles) -> list[DataFrame]:
     if t.user and t.ts and t.as_of is not None:
         fast = transactions.fast_users(t.df, t.user, t.ts, t.velocity_window, t.velocity_min, t.as_of)
         frames.append(count_rows(fast, "velocity_fraud", [t.user, t.ts], "high"))
+    if t.user and t.ts and t.amount:
+        split = transactions.structuring(t.df, t.user, t.ts, t.amount)
+        frames.append(count_rows(split, "split_transactions", [t.user, t.amount], "critical"))
+    if t.ref and t.key:
+        frames.append(count_rows(integrity.cycles(t.df, t.key[0], t.ref), "circular_references", [t.key[0], t.ref], "medium"))
     if t.key:
         frames.append(count_rows(integrity.key_violations(t.df, t.key), "duplicate_key", t.key, "high"))
     if t.measures:
@@ -218,6 +252,8 @@ def findings(
             t = replace(t, as_of=resolve_as_of(t.df, t.ts or t.created, t.as_of))
         scan = _scan_findings(name, t)
         frames += ([scan] if scan is not None else []) + _group_findings(name, t)
+    if not frames:
+        return no_rows(next(iter(tables.values())).df, FINDING)
     found = reduce(DataFrame.unionByName, frames)
     keep = (F.col("confidence") >= min_confidence) & (risk_rank("risk_level") >= RISK_RANK[min_risk])
     if categories:
@@ -251,7 +287,7 @@ def risk_score(found: DataFrame) -> DataFrame:
     band = F.lit("LOW")
     for limit, label in reversed(SCORE_BANDS):
         band = F.when(F.col("_s") >= limit, label).otherwise(band)
-    return row.select("findings", r6("_s").alias("overall_risk_score"), band.alias("risk_band"))
+    return row.select("findings", as_double("_s").alias("overall_risk_score"), band.alias("risk_band"))
 
 
 def top_risks(found: DataFrame, k: int = 3) -> DataFrame:
@@ -275,6 +311,6 @@ def run_stats(log: DataFrame, ok: Column, duration: str, ts: str, key: str, rece
         F.count("*").alias("total_runs"),
         count_if(ok).alias("successful_runs"),
         count_if(~ok).alias("failed_runs"),
-        exact_avg(duration).alias("avg_time"),
+        mean_of(duration).alias("avg_time"),
     )
     return row.withColumn("recent", last)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import count_if, r6, ratio
+from auditlake.functions.exprs import count_if, as_double, ratio
 from auditlake.operators.inventory import size_class
 from auditlake.operators.profile import _columns, type_family
 from auditlake.operators.quality import column_classes
@@ -19,10 +19,11 @@ INCREMENTAL_BELOW, FULL_FROM = 0.3, 0.5
 
 def column_components(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Type family and pattern classes per column; what a fingerprint is made of."""
-    cols = _columns(df, cols)
+    kinds = {f.name: type_family(f.dataType) for f in df.schema.fields}
+    df, cols = _columns(df, cols)
     family = F.lit(None).cast("string")
     for c in cols:
-        family = F.when(F.col("column_name") == c, type_family(df.schema[c].dataType)).otherwise(family)
+        family = F.when(F.col("column_name") == c, kinds[c]).otherwise(family)
     return column_classes(df, cols).withColumn("type_family", family)
 
 
@@ -44,17 +45,20 @@ def table_fingerprint(
 
 
 def row_hash(cols: list[str]) -> Column:
-    """md5 of all values of a row; nulls are marked, so they differ from empty text."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]))
+    """md5 of all values of a row. Each carries its length, a null a mark without one: no two rows read alike.
+
+    Nested columns are hashed as the JSON text that ``flattened`` makes of them.
+    """
+    text = lambda c: F.col(c).cast("string")
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in cols]))
 
 
 def content_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Row count and sum of row hashes: any row order, and partial sums can be merged."""
-    cols = _columns(df, cols)
-    part = F.conv(F.substring(row_hash(cols), 1, 8), 16, 10).cast("decimal(20,0)")
-    return df.agg(
-        F.count("*").alias("row_count"), F.coalesce(F.sum(part).cast("string"), F.lit("0")).alias("hash_sum")
-    )
+    """Row count and the sums of both halves of the row hashes: any row order, and partial sums can be merged."""
+    df, cols = _columns(df, cols)
+    halves = df.select(row_hash(cols).alias("h"))
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring("h", at, 16), 16, 10).cast("decimal(20,0)")).cast("string"), F.lit("0"))
+    return halves.agg(F.count("*").alias("row_count"), F.concat_ws(":", half(1), half(17)).alias("hash_sum"))
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, key: str, hash_col: str) -> DataFrame:
@@ -78,7 +82,7 @@ def snapshot_diff(changes: DataFrame) -> DataFrame:
     moved = F.col("added") + F.col("removed") + F.col("changed")
     present = F.col("added") + F.col("changed") + F.col("unchanged")
     share = ratio(moved, F.greatest(present, F.lit(1)))
-    return row.withColumn("change_ratio", r6(share)).withColumn(
+    return row.withColumn("change_ratio", as_double(share)).withColumn(
         "change_type",
         F.when(moved == 0, "no_change").when(share < INCREMENTAL_BELOW, "incremental").otherwise("major"),
     ).withColumn("full_rerun", share >= FULL_FROM)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.exprs import count_if, r6, ratio
+from auditlake.functions.exprs import count_if, as_double, ratio
 from auditlake.operators.profile import missing_values
 from auditlake.session import materialize
 
@@ -24,7 +24,7 @@ def audit_gaps(df: DataFrame, cols: list[str]) -> DataFrame:
     gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
     row = df.agg(count_if(gap).alias("rows_without_audit"), F.count("*").alias("total_rows"))
     return row.withColumn(
-        "percentage", r6(F.coalesce(ratio(F.col("rows_without_audit") * 100, F.col("total_rows")), F.lit(0.0)))
+        "percentage", as_double(F.coalesce(ratio(F.col("rows_without_audit") * 100, F.col("total_rows")), F.lit(0.0)))
     )
 
 
@@ -73,9 +73,9 @@ def orphan_counts(
 def orphan_rows(
     child: DataFrame, parent: DataFrame, column: str, parent_column: str, key: str, n: int = ROW_LIMIT
 ) -> DataFrame:
-    """Child rows without a parent, first ``n`` by key."""
-    known = parent.select(F.col(parent_column).alias(column)).distinct()
-    return child.join(known, column, "left_anti").orderBy(key).limit(n)
+    """Child rows without a parent, first ``n`` by key. A null refers to nothing and is no orphan, as in ``orphan_counts``."""
+    known = parent.select(F.col(parent_column).alias(column))
+    return child.filter(F.col(column).isNotNull()).join(known, column, "left_anti").orderBy(key).limit(n)
 
 
 def key_violations(df: DataFrame, key: list[str]) -> DataFrame:

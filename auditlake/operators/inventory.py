@@ -59,9 +59,9 @@ def table_inventory(tables: dict[str, DataFrame], with_bytes: bool = True) -> Da
     )
 
 
-def capacity_report(inventory: DataFrame) -> DataFrame:
+def capacity_report(inventory: DataFrame, large: int = LARGE_ROWS, wide: int = WIDE_COLUMNS) -> DataFrame:
     """Tables that are large by rows or wide by columns."""
-    flagged = inventory.withColumn("is_large", F.col("row_count") > LARGE_ROWS).withColumn(
-        "is_wide", F.col("column_count") > WIDE_COLUMNS
+    flagged = inventory.withColumn("is_large", F.col("row_count") > large).withColumn(
+        "is_wide", F.col("column_count") > wide
     )
     return flagged.filter("is_large OR is_wide")

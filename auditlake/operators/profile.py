@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.exprs import (
-    FRACTIONAL, NUMERIC, TEMPORAL, as_col, distinct_form, literal_table, melt, numeric_columns, r6, ratio,
+    FRACTIONAL, NUMERIC, TEMPORAL, as_col, distinct_form, literal_table, melt, numeric_columns, as_double, ratio,
     string_columns,
-    temporal_columns, trunc, ts_text, exact_avg, exact_sum,
+    temporal_columns, trunc, ts_text, mean_of, total_of, flattened, no_rows,
 )
 from auditlake.functions.ordering import bracket_sketch, exact_quantiles
-from auditlake.operators.query import simple_columns
 from auditlake.session import materialize
 
 
-def _columns(df: DataFrame, cols: list[str] | None) -> list[str]:
-    return cols if cols is not None else simple_columns(df)
+def _columns(df: DataFrame, cols: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """The table with nested values as text, and the columns asked for, all by default."""
+    return flattened(df), cols if cols is not None else df.columns
 
 
 def long_form(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
@@ -60,7 +60,7 @@ def column_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     Each column is read once. Values are counted per (column, value) in each
     task, so only distinct values are shuffled and a hot value weighs nothing.
     """
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     by_form: dict[str, list[str]] = {}
     for c in cols:
         by_form.setdefault(_count_form(df.schema[c].dataType), []).append(c)
@@ -93,12 +93,14 @@ def column_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def numeric_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Min, max and mean per numeric column."""
     cols = cols or numeric_columns(df)
+    if not cols:
+        return no_rows(df, "column_name string, min_value double, max_value double, avg_value double")
     aggs = []
     for i, c in enumerate(cols):
         aggs += [
             F.min(c).cast("double").alias(f"_a{i}"),
             F.max(c).cast("double").alias(f"_b{i}"),
-            exact_avg(c).alias(f"_m{i}"),
+            mean_of(c).alias(f"_m{i}"),
         ]
     entries = [
         F.struct(
@@ -115,6 +117,8 @@ def numeric_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def temporal_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """First and last time per temporal column, as text."""
     cols = cols or temporal_columns(df)
+    if not cols:
+        return no_rows(df, "column_name string, min_value string, max_value string")
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.min(c).alias(f"_a{i}"), F.max(c).alias(f"_b{i}")]
@@ -138,7 +142,7 @@ def distinct_samples(df: DataFrame, n: int = 5, cols: list[str] | None = None) -
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
 
     def smallest(batches):
@@ -167,7 +171,7 @@ def distinct_samples(df: DataFrame, n: int = 5, cols: list[str] | None = None) -
 
 def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) -> DataFrame:
     """Counts, ranges and samples together, one row per column."""
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     aggs = [F.lit(1).alias("_one")]
     entries = []
     for i, c in enumerate(cols):
@@ -179,7 +183,7 @@ def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) ->
             text = ts_text if isinstance(kind, TEMPORAL) else lambda x: F.col(x).cast("string")
             low, high = text(f"_a{i}"), text(f"_b{i}")
         if isinstance(kind, NUMERIC):
-            aggs.append(exact_avg(c).alias(f"_m{i}"))
+            aggs.append(mean_of(c).alias(f"_m{i}"))
             avg = F.col(f"_m{i}")
         entries.append(
             F.struct(
@@ -201,6 +205,9 @@ def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) ->
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Min, max, mean, median, sample deviation and nulls per numeric column."""
     cols = cols or numeric_columns(df)
+    if not cols:
+        names = ("min_value", "max_value", "mean", "std_dev")
+        return no_rows(df, "column_name string, " + ", ".join(f"{n} double" for n in names) + ", null_count bigint, median double")
     probs = {"median": 0.5}
     aggs = [F.count("*").alias("_total")]
     for i, c in enumerate(cols):
@@ -208,8 +215,8 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             F.count(c).alias(f"_nn{i}"),
             F.min(c).cast("double").alias(f"_a{i}"),
             F.max(c).cast("double").alias(f"_b{i}"),
-            exact_avg(c).alias(f"_m{i}"),
-            r6(F.stddev_samp(c)).alias(f"_s{i}"),
+            mean_of(c).alias(f"_m{i}"),
+            as_double(F.stddev_samp(c)).alias(f"_s{i}"),
             bracket_sketch(F.col(c), probs).alias(f"_k{i}"),
         ]
     entries = [
@@ -235,6 +242,8 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def categorical_summary(df: DataFrame, k: int = 5, cols: list[str] | None = None) -> DataFrame:
     """The k most frequent values per column with their counts, unique values and nulls."""
     cols = cols or string_columns(df)
+    if not cols:
+        return no_rows(df, "column_name string, unique_values bigint, null_count bigint, place bigint, value string, n bigint")
     counts = long_form(df, cols, "string").groupBy("column_name", "value").agg(F.count("*").alias("n"))
     shape = counts.groupBy("column_name").agg(
         F.count("value").alias("unique_values"),
@@ -255,7 +264,7 @@ def categorical_summary(df: DataFrame, k: int = 5, cols: list[str] | None = None
 
 def missing_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Null count per column; no distinct counting, so no shuffle of values."""
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     row = df.agg(F.count("*").alias("_total"), *[F.count(c).alias(f"_nn{i}") for i, c in enumerate(cols)])
     return melt(
         row,
@@ -271,7 +280,7 @@ def missing_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of each column pair, all in one pass."""
     pairs = list(itertools.combinations(cols, 2))
-    row = df.agg(*[r6(F.corr(a, b)).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[as_double(F.corr(a, b)).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
     return melt(
         row,
         [
@@ -285,8 +294,8 @@ def column_ratios(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Share of non-null rows, and distinct values per non-null row."""
     return column_counts(df, cols).select(
         "column_name",
-        r6(ratio(F.col("non_null_count"), F.col("total_count"))).alias("completeness"),
-        r6(ratio(F.col("distinct_count"), F.col("non_null_count"))).alias("cardinality_ratio"),
+        as_double(ratio(F.col("non_null_count"), F.col("total_count"))).alias("completeness"),
+        as_double(ratio(F.col("distinct_count"), F.col("non_null_count"))).alias("cardinality_ratio"),
     )
 
 
@@ -295,13 +304,13 @@ STABLE_R2 = 0.1
 
 def trend(df: DataFrame, ts: str, measure: str, grain: str = "month") -> DataFrame:
     """Least-squares line through the bucket sums; strength is its r squared."""
-    buckets = df.groupBy(trunc(grain, ts).alias("bucket")).agg(exact_sum(measure).alias("total"))
+    buckets = df.groupBy(trunc(grain, ts).alias("bucket")).agg(total_of(measure).alias("total"))
     # One row per bucket of time: the number of buckets is bounded by the calendar.
     numbered = buckets.withColumn("x", (F.row_number().over(Window.orderBy("bucket")) - 1).cast("double"))
     line = numbered.agg(
         F.count("*").alias("buckets"),
-        r6(F.regr_slope("total", "x")).alias("slope"),
-        r6(F.coalesce(F.regr_r2("total", "x"), F.lit(0.0))).alias("strength"),
+        as_double(F.regr_slope("total", "x")).alias("slope"),
+        as_double(F.coalesce(F.regr_r2("total", "x"), F.lit(0.0))).alias("strength"),
     )
     return line.withColumn(
         "direction",

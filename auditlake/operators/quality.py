@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import count_if, ladder, literal_table, r6, ratio, resolve_as_of, ts_lit
+from auditlake.functions.exprs import count_if, ladder, literal_table, as_double, ratio, resolve_as_of, ts_lit
 from auditlake.operators.profile import _columns, long_form
 
 # The value checks, in the order ties are decided.
@@ -67,16 +67,16 @@ def _consistency(cols: list[str]) -> Column:
 
 def quality_score(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Completeness, consistency of value lengths, and their mean."""
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     row = df.agg(_completeness(cols).alias("c"), _consistency(cols).alias("s"))
     return row.select(
-        r6("c").alias("completeness"), r6("s").alias("consistency"), r6((F.col("c") + F.col("s")) / 2).alias("overall")
+        as_double("c").alias("completeness"), as_double("s").alias("consistency"), as_double((F.col("c") + F.col("s")) / 2).alias("overall")
     )
 
 
 def semantic_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """The type most values of a column look like, over the whole column."""
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     kinds = list(TYPE_PATTERNS)
     # Long form: one small set of checks for all columns, combined per task before the shuffle.
     hits = (
@@ -93,13 +93,13 @@ def semantic_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return shares.select(
         "column_name",
         F.when(F.col("_best") > TYPE_MIN_SHARE, name).otherwise("string").alias("semantic_type"),
-        r6("_best").alias("confidence"),
+        as_double("_best").alias("confidence"),
     )
 
 
 def value_patterns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Shape shared by all values of a column; the first that holds."""
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     v, size = F.col("value"), F.length("value")
     # The first two characters as one number: text minima would make Spark sort every row.
     code = lambda i: F.ascii(F.substring(v, i, 1)).cast("bigint")
@@ -133,7 +133,7 @@ def column_classes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     The columns are worked on in long form, so one small set of aggregates
     serves a table of any width; each task combines its values first.
     """
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     v, size = F.col("value"), F.length("value")
     text = F.when(size > 0, v)
     found = (
@@ -220,7 +220,7 @@ def quality_assessment(
 
     Validity is the mean share of values that match the declared type.
     """
-    cols = _columns(df, cols)
+    df, cols = _columns(df, cols)
     kind = df.schema[ts].dataType
     now = resolve_as_of(df, ts, as_of)
     at = F.lit(None).cast(kind) if now is None else ts_lit(now, kind)
@@ -240,4 +240,4 @@ def quality_assessment(
     )
     parts = ["completeness", "consistency", "timeliness", "validity"]
     overall = sum((F.col(p) for p in parts), F.lit(0.0)) / len(parts)
-    return scored.select(*[r6(p).alias(p) for p in parts], r6(overall).alias("overall"))
+    return scored.select(*[as_double(p).alias(p) for p in parts], as_double(overall).alias("overall"))

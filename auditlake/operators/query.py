@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.exprs import as_datetime, exact_avg, exact_sum, r6, ratio, resolve_as_of, ts_lit, trunc
+from auditlake.functions.exprs import as_datetime, fixed_part, rest_part, mean_of, total_of, as_double, ratio, resolve_as_of, ts_lit, trunc
 from auditlake.functions.ordering import row_numbers_split
 
 RESULT_CAP = 1000  # fixed value: rows shown when a query names no limit
@@ -35,7 +35,7 @@ def filtered_group_agg(df: DataFrame, pred: Column, key: str, measure: str) -> D
     return (
         df.filter(pred)
         .groupBy(key)
-        .agg(F.count("*").alias("n"), exact_avg(measure).alias("avg_value"))
+        .agg(F.count("*").alias("n"), mean_of(measure).alias("avg_value"))
     )
 
 
@@ -43,7 +43,7 @@ def monthly_sum(df: DataFrame, ts: str, measure: str, pred: Column) -> DataFrame
     return (
         df.filter(pred)
         .groupBy(trunc("month", ts).alias("month"))
-        .agg(exact_sum(measure).alias("total"))
+        .agg(total_of(measure).alias("total"))
         .orderBy("month")
     )
 
@@ -59,12 +59,13 @@ def join_agg(
     per_key = fact.groupBy(F.col(fact_key).alias("_k")).agg(
         F.count("*").alias("_n"),
         F.count(measure).alias("_m"),
-        F.sum(F.col(measure).cast("decimal(18,4)")).alias("_s"),
+        F.sum(fixed_part(measure)).alias("_s"),
+        F.sum(rest_part(measure)).alias("_r"),
     )
     joined = per_key.join(dim.select(F.col(dim_key).alias("_k"), group), "_k")
-    total = F.sum("_s").cast("double")
+    total = F.coalesce(F.sum("_s").cast("double"), F.lit(0.0)) + F.sum("_r")
     return joined.groupBy(group).agg(
-        F.sum("_n").alias("n"), total.alias("total"), r6(ratio(total, F.sum("_m"))).alias("avg_value")
+        F.sum("_n").alias("n"), total.alias("total"), as_double(ratio(total, F.sum("_m"))).alias("avg_value")
     )
 
 
@@ -73,12 +74,12 @@ def where_lt(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def group_avg(df: DataFrame, key: str, measure: str) -> DataFrame:
-    return df.groupBy(key).agg(exact_avg(measure).alias("avg_value"))
+    return df.groupBy(key).agg(mean_of(measure).alias("avg_value"))
 
 
 def semi_in(df: DataFrame, other: DataFrame, col: str, other_col: str) -> DataFrame:
     """Rows whose value occurs in the other table's column."""
-    wanted = other.select(F.col(other_col).alias(col)).distinct()
+    wanted = other.select(F.col(other_col).alias(col))
     return df.join(wanted, col, "left_semi")
 
 
@@ -91,7 +92,7 @@ def top_k_per_group(
     fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, group: str, measure: str, k: int
 ) -> DataFrame:
     """The k dimension members with the largest summed measure, per group of the dimension."""
-    per_key = fact.groupBy(F.col(fact_key).alias(dim_key)).agg(exact_sum(measure).alias("total"))
+    per_key = fact.groupBy(F.col(fact_key).alias(dim_key)).agg(total_of(measure).alias("total"))
     joined = per_key.join(dim.select(dim_key, group), dim_key)
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), F.col(dim_key)))
     return (
@@ -99,15 +100,11 @@ def top_k_per_group(
     )
 
 
-def kpis(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def kpis(orders: DataFrame, lines: DataFrame, price: str, discount: str, order_value: str) -> DataFrame:
     """Net revenue, mean order value and net share of gross over all lines and orders."""
-    gross = F.col("l_extendedprice").cast("decimal(18,4)")
-    net = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
-    line_row = lines.agg(
-        F.sum(net).cast("double").alias("total_revenue"),
-        r6(ratio(F.sum(net), F.sum(gross))).alias("margin"),
-    )
-    value = orders.agg(F.struct(exact_avg("o_totalprice").alias("v"), F.count("*").alias("n"))).scalar()
+    net = F.col(price) * (1 - F.col(discount))
+    line_row = lines.agg(total_of(net).alias("total_revenue"), ratio(total_of(net), total_of(price)).alias("margin"))
+    value = orders.agg(F.struct(mean_of(order_value).alias("v"), F.count("*").alias("n"))).scalar()
     return line_row.select(
         "total_revenue", value["v"].alias("avg_order_value"), value["n"].alias("order_count"), "margin"
     )
@@ -115,8 +112,8 @@ def kpis(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 def scalar_agg(df: DataFrame, fn: str, col: str) -> DataFrame:
     out = {
-        "sum": exact_sum(col),
-        "avg": exact_avg(col),
+        "sum": total_of(col),
+        "avg": mean_of(col),
         "min": F.min(col).cast("double"),
         "max": F.max(col).cast("double"),
         "count": F.count(col).cast("double"),
@@ -127,7 +124,7 @@ def scalar_agg(df: DataFrame, fn: str, col: str) -> DataFrame:
 def cohort_compare(df: DataFrame, flag: Column, measure: str) -> DataFrame:
     """Count, mean and sum of a measure for the rows inside and outside a cohort."""
     return df.groupBy(F.coalesce(flag, F.lit(False)).alias("in_cohort")).agg(
-        F.count("*").alias("n"), exact_avg(measure).alias("avg_value"), exact_sum(measure).alias("total")
+        F.count("*").alias("n"), mean_of(measure).alias("avg_value"), total_of(measure).alias("total")
     )
 
 
@@ -179,7 +176,3 @@ def capped(df: DataFrame, n: int = RESULT_CAP, order_by: list[str] | None = None
     ordered = df.orderBy(*order_by) if order_by else df
     return ordered.limit(n)
 
-
-def simple_columns(df: DataFrame) -> list[str]:
-    """Columns that can be compared and grouped (no nested values)."""
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import r6, ratio
+from auditlake.functions.exprs import as_double, no_rows, ratio
 from auditlake.operators.integrity import is_reference_like
 
 NAME_CONFIDENCE = 0.8  # fixed value: confidence of a match by name alone
@@ -56,13 +56,20 @@ def inclusion(child: DataFrame, column: str, parent: DataFrame, key: str) -> Dat
     return have.join(known, "_v", "left").agg(
         F.count("*").alias("child_values"),
         F.count("_hit").alias("matched_values"),
-        r6(ratio(F.count("_hit"), F.count("*"))).alias("inclusion_ratio"),
+        as_double(ratio(F.count("_hit"), F.count("*"))).alias("inclusion_ratio"),
     )
 
 
+RELATIONSHIP = (
+    "source_table string, source_column string, target_table string, target_column string, confidence double, "
+    "child_values bigint, matched_values bigint, inclusion_ratio double, verified boolean"
+)
+
+
 def discover_relationships(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
     """Candidate links with the share of child values the parent holds."""
-    spark = next(iter(tables.values())).sparkSession
+    first = next(iter(tables.values()))
+    spark = first.sparkSession
     rows = []
     for name, column, parent, key in candidate_pairs(tables, keys):
         checked = (
@@ -87,6 +94,8 @@ def discover_relationships(tables: dict[str, DataFrame], keys: dict[str, str]) -
                 F.coalesce(F.col("inclusion_ratio") == 1.0, F.lit(False)).alias("verified"),
             )
         )
+    if not rows:
+        return no_rows(first, RELATIONSHIP)
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -159,10 +168,10 @@ def schema_coverage(inventory: DataFrame, verified_keys: DataFrame, relationship
     )
     row = wide.agg(
         F.count("*").alias("tables"),
-        r6(F.avg(F.coalesce("key_verified", F.lit(False)).cast("double"))).alias("key_coverage"),
-        r6(F.avg((F.col("links") > 0).cast("double"))).alias("fk_coverage"),
-        r6(F.avg("column_count")).alias("avg_columns"),
-        r6(F.avg("links")).alias("links_per_table"),
+        as_double(F.avg(F.coalesce("key_verified", F.lit(False)).cast("double"))).alias("key_coverage"),
+        as_double(F.avg((F.col("links") > 0).cast("double"))).alias("fk_coverage"),
+        as_double(F.avg("column_count")).alias("avg_columns"),
+        as_double(F.avg("links")).alias("links_per_table"),
     )
     density = F.lit("low")
     for limit, label in reversed(DENSITY_STEPS):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import r6
+from auditlake.functions.exprs import as_double
 from auditlake.functions.text import GRAM, contains_any, containment_pairs, hit_count
 
 # Stop words of the two keyword extractors.
@@ -94,7 +94,7 @@ def rank_hits(hits: DataFrame, query: str, limit: int, key: str = "id") -> DataF
         score = score + F.when(F.coalesce(F.length("data_type"), F.lit(0)) > 0, TYPE_BOOST).otherwise(0.0)
     return (
         hits.filter(F.col("distance") <= DISTANCE_LIMIT)
-        .withColumn("relevance", r6(F.least(F.lit(1.0), score)))
+        .withColumn("relevance", as_double(F.least(F.lit(1.0), score)))
         .orderBy(F.desc("relevance"), key)
         .limit(limit)
     )
@@ -107,7 +107,7 @@ def rollup_hits(hits: DataFrame, parent: str, kind: str, score: str, n: int) ->
         weight = F.when(F.col(kind) == name, w).otherwise(weight)
     return (
         hits.groupBy(parent)
-        .agg(r6(F.max(F.col(score) * weight)).alias("score"))
+        .agg(as_double(F.max(F.col(score) * weight)).alias("score"))
         .orderBy(F.desc("score"), parent)
         .limit(n)
     )
@@ -122,7 +122,7 @@ def lexical_score(df: DataFrame, query: str, key: str, limit: int) -> DataFrame:
         score = score + WORD_COLUMN * F.size(F.filter("columns", lambda c: F.lower(c).contains(w)))
     score = score + WORD_TAG * F.size(F.filter("tags", lambda t: contains_any(t, words)))
     return (
-        df.withColumn("score", r6(F.least(score, F.lit(1.0))))
+        df.withColumn("score", as_double(F.least(score, F.lit(1.0))))
         .filter(F.col("score") > 0)
         .orderBy(F.desc("score"), key)
         .limit(limit)
@@ -142,7 +142,7 @@ def concept_scores(df: DataFrame, concepts: dict[str, list[str]]) -> DataFrame:
             score = score + F.when(name.contains(e), ENTITY_BONUS).otherwise(0.0)
     for a in concepts.get("attributes", []):
         score = score + ATTRIBUTE_COLUMN * F.size(F.filter("columns", lambda c: F.lower(c).contains(a)))
-    return df.withColumn("score", r6(F.least(score, F.lit(1.0))))
+    return df.withColumn("score", as_double(F.least(score, F.lit(1.0))))
 
 
 def concept_select(df: DataFrame, concepts: dict[str, list[str]], key: str) -> DataFrame:
@@ -153,7 +153,7 @@ def concept_select(df: DataFrame, concepts: dict[str, list[str]], key: str) -> D
     rest = scored.orderBy(F.desc("score"), key).limit(SELECT_REST).filter(~some)
     chosen = above.unionByName(rest)
     mean = chosen.agg((F.sum(F.col("score").cast("decimal(18,6)")).cast("double") / F.count("*")).alias("m")).scalar()
-    return chosen.withColumn("confidence", r6(F.least(F.lit(CONFIDENCE_CAP), mean)))
+    return chosen.withColumn("confidence", as_double(F.least(F.lit(CONFIDENCE_CAP), mean)))
 
 
 def match_names(left: DataFrame, name: str, right: DataFrame, other: str, ordinal: str) -> DataFrame:
@@ -336,7 +336,7 @@ def enriched_profile(profile: DataFrame, documents: DataFrame) -> DataFrame:
         fact("nulls", "null_count"),
         fact("min", "min_value"),
         fact("max", "max_value"),
-        fact("avg", "avg_value"),
+        F.concat(F.lit("avg="), F.round("avg_value", 6).cast("string")),
     )
     texts = documents.filter(F.col("kind") == "column").select("table_name", "column_name", "content")
     return profile.withColumn("facts", facts).join(texts, ["table_name", "column_name"], "left").select(

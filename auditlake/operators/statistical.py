@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import literal_table, r6, ratio
+from auditlake.functions.exprs import literal_table, as_double, ratio
 
 # Expected first-digit percentages and the verdict limits.
 BENFORD_PERCENT = {"1": 30.1, "2": 17.6, "3": 12.5, "4": 9.7, "5": 7.9, "6": 6.7, "7": 5.8, "8": 5.1, "9": 4.6}
@@ -21,22 +21,23 @@ ROW_LIMIT = 100
 
 
 def first_digit(amount: str) -> Column:
-    """First character of the fixed-point text, so no exponent gets in the way."""
-    return F.substring(F.abs(F.col(amount).cast("decimal(20,2)")).cast("string"), 1, 1)
+    """First digit of the value as written out: 0 below one, the leading digit from one on."""
+    size = F.abs(F.col(amount))
+    # From one on, a text with an exponent begins with the leading digit, too.
+    return F.when(size < 1, "0").otherwise(F.substring(size.cast("string"), 1, 1))
 
 
-def benford_distribution(df: DataFrame, amount: str, keep_zero: bool = False) -> DataFrame:
+def benford_distribution(df: DataFrame, amount: str) -> DataFrame:
     """First-digit counts of the positive amounts, with their share."""
     digits = (
         df.filter(F.col(amount) > 0)
         .groupBy(first_digit(amount).alias("digit"))
         .agg(F.count("*").alias("frequency"))
     )
-    if not keep_zero:
-        digits = digits.filter(F.col("digit").between("1", "9"))
+    digits = digits.filter(F.col("digit").between("1", "9"))
     # Ten rows at most: the whole-table window runs after the aggregation.
     share = F.col("frequency") * F.lit(100.0) / F.sum("frequency").over(Window.partitionBy())
-    return digits.withColumn("percentage", r6(share))
+    return digits.withColumn("percentage", as_double(share))
 
 
 def _p_value(chi: Column) -> Column:
@@ -56,7 +57,7 @@ def benford_statistics(df: DataFrame, amount: str) -> DataFrame:
     return seen.join(F.broadcast(expected), "digit").agg(
         F.count("*").alias("digits"),
         F.coalesce(F.sum("frequency"), F.lit(0)).alias("rows_tested"),
-        r6(F.sum((F.col("frequency") - e) * (F.col("frequency") - e) / e)).alias("chi_square"),
+        as_double(F.sum((F.col("frequency") - e) * (F.col("frequency") - e) / e)).alias("chi_square"),
     )
 
 
@@ -97,7 +98,7 @@ def zscore_summary(df: DataFrame, cols: list[str], flagged_only: bool = True) ->
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.count(F.when(out, 1)).alias("outlier_count"),
-                r6(F.max(F.when(out, z))).alias("max_z_score"),
+                as_double(F.max(F.when(out, z))).alias("max_z_score"),
                 F.min(F.when(out, F.col(c))).cast("double").alias("min_value"),
                 F.max(F.when(out, F.col(c))).cast("double").alias("max_value"),
                 F.count(c).alias("total_count"),
@@ -105,7 +106,7 @@ def zscore_summary(df: DataFrame, cols: list[str], flagged_only: bool = True) ->
         )
     rows = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cols))])))
     percent = F.coalesce(ratio(F.col("outlier_count") * 100, F.col("total_count")), F.lit(0.0))
-    judged = rows.withColumn("outlier_percent", r6(percent)).withColumn(
+    judged = rows.withColumn("outlier_percent", as_double(percent)).withColumn(
         "risk_level",
         F.when((F.col("outlier_count") <= OUTLIER_MIN_ROWS) | (percent <= OUTLIER_MIN_PERCENT), "none")
         .when(percent < OUTLIER_HIGH_PERCENT, "medium")
@@ -117,7 +118,7 @@ def zscore_summary(df: DataFrame, cols: list[str], flagged_only: bool = True) ->
 def zscore_rows(df: DataFrame, col: str, key: str, n: int = ROW_LIMIT) -> DataFrame:
     """The most extreme rows of a column."""
     spread = _spread(df, [col])
-    z = r6(F.abs(F.col(col) - spread["m0"]) / spread["s0"])
+    z = as_double(F.abs(F.col(col) - spread["m0"]) / spread["s0"])
     return (
         df.withColumn("z_score", z)
         .filter(F.col("z_score") > Z_LIMIT)

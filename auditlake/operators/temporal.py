@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import count_if, micros, r6, resolve_as_of, ts_lit, ts_text
+from auditlake.functions.exprs import count_if, micros, as_double, resolve_as_of, ts_lit, ts_text
 
 # Thresholds of the detectors.
 BACKDATED_DAYS, BACKDATED_MAX_DAYS, BACKDATED_MIN_ROWS = 7, 365, 10
@@ -22,7 +22,7 @@ def _days(a: Column, b: Column) -> Column:
 
 
 def _mean_days(total_micros: Column, n: Column, unit: float) -> Column:
-    return r6(total_micros.cast("double") / n / unit)
+    return as_double(total_micros.cast("double") / n / unit)
 
 
 def backdated_summary(
@@ -68,7 +68,7 @@ def backdated_rows(
     at = ts_lit(now, df.schema[created].dataType)
     return (
         df.filter((F.col(created) < old) & (F.col(inserted) >= fresh))
-        .withColumn("days_backdated", r6(_days(at, F.col(created))))
+        .withColumn("days_backdated", as_double(_days(at, F.col(created))))
         .orderBy(F.desc("days_backdated"), F.col(key))
         .limit(n)
     )
@@ -115,11 +115,3 @@ def tamper_summary(df: DataFrame, created: str, updated: str) -> DataFrame:
 def tamper_rows(df: DataFrame, created: str, updated: str, key: list[str], n: int = ROW_LIMIT) -> DataFrame:
     return df.filter(F.col(updated) < F.col(created)).orderBy(*key).limit(n)
 
-
-def time_order_counts(df: DataFrame, created: str, updated: str) -> DataFrame:
-    """Rows in order, out of order and undecidable, in one pass."""
-    return df.agg(
-        count_if(F.col(updated) >= F.col(created)).alias("in_order"),
-        count_if(F.col(updated) < F.col(created)).alias("out_of_order"),
-        count_if(F.col(updated).isNull() | F.col(created).isNull()).alias("unknown"),
-    )

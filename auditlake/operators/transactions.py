@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import (
-    count_if, day_text, exact_sum, micros, r6, ratio, resolve_as_of, ts_lit,
+    count_if, day_text, total_of, micros, as_double, ratio, resolve_as_of, ts_lit,
 )
 
 # Thresholds of the detectors.
@@ -45,14 +45,14 @@ def duplicates(
 
 def round_ratio(df: DataFrame, amount: str, small: int = 100, big: int = 1000) -> DataFrame:
     """Share of amounts divisible by ``small`` (and ``big``), with the verdict."""
-    value = F.col(amount).cast("decimal(20,4)")
+    value = F.col(amount)
     row = df.filter(F.col(amount).isNotNull()).agg(
         F.count("*").alias("total"),
         count_if(value % small == 0).alias("round_small"),
         count_if(value % big == 0).alias("round_big"),
     )
     share = F.coalesce(ratio(F.col("round_small") * 100, F.col("total")), F.lit(0.0))
-    return row.withColumn("round_percent", r6(share)).withColumn(
+    return row.withColumn("round_percent", as_double(share)).withColumn(
         "risk_level",
         F.when(share <= ROUND_FLAG_PERCENT, "none")
         .when(share < ROUND_HIGH_PERCENT, "medium")
@@ -64,7 +64,7 @@ def round_amounts(
     df: DataFrame, amount: str, min_freq: int = ROUND_MIN_FREQUENCY, modulus: int = 100
 ) -> DataFrame:
     """Round amounts that come up more than ``min_freq`` times."""
-    value = F.col(amount).cast("decimal(20,4)")
+    value = F.col(amount)
     return (
         df.filter(value % modulus == 0)
         .groupBy(amount)
@@ -86,7 +86,7 @@ def fast_users(
     span = (F.max(micros(ts)) - F.min(micros(ts))) / 60e6
     return (
         recent.groupBy(user)
-        .agg(F.count("*").alias("tx_count"), r6(span).alias("span_minutes"))
+        .agg(F.count("*").alias("tx_count"), as_double(span).alias("span_minutes"))
         .filter((F.col("tx_count") > min_n) & (F.col("span_minutes") < window.total_seconds() / 60))
     )
 
@@ -147,7 +147,7 @@ def structuring(
     return (
         df.filter(in_band)
         .groupBy(user, day_text(ts).alias("day"))
-        .agg(F.count("*").alias("tx_count"), exact_sum(amount).alias("total_amount"))
+        .agg(F.count("*").alias("tx_count"), total_of(amount).alias("total_amount"))
         .filter(F.col("tx_count") >= min_n)
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import (
-    count_if, day_text, exact_avg, r6, ratio, resolve_as_of, trunc, ts_lit,
+    count_if, day_text, fixed_part, mean_of, rest_part, as_double, ratio, resolve_as_of, trunc, ts_lit,
 )
 from auditlake.functions.ordering import bracket_sketch, exact_quantiles, prefix_sums
 from auditlake.functions.text import contains_any, hit_count
@@ -66,20 +66,20 @@ def top_share(log: DataFrame, key: str, n: int) -> DataFrame:
     counts = log.groupBy(key).agg(F.count("*").alias("n"))
     total = log.agg(F.count("*").alias("t")).scalar()
     top = counts.orderBy(F.desc("n"), F.col(key)).limit(n)
-    return top.withColumn("share", r6(ratio(F.col("n") * 100, total)))
+    return top.withColumn("share", as_double(ratio(F.col("n") * 100, total)))
 
 
 def type_mix(log: DataFrame, kind: str) -> DataFrame:
     """Rows per type with their share."""
     counts = log.groupBy(kind).agg(F.count("*").alias("n"))
     total = log.agg(F.count("*").alias("t")).scalar()
-    return counts.withColumn("share", r6(ratio(F.col("n") * 100, total)))
+    return counts.withColumn("share", as_double(ratio(F.col("n") * 100, total)))
 
 
 def hour_profile(log: DataFrame, ts: str, duration: str, hours: int = HOUR_BUCKET) -> DataFrame:
     """Count and mean duration per time of day."""
     slot = (F.floor(F.hour(ts) / hours) * hours).cast("bigint")
-    return log.groupBy(slot.alias("hour_of_day")).agg(F.count("*").alias("n"), exact_avg(duration).alias("avg_time"))
+    return log.groupBy(slot.alias("hour_of_day")).agg(F.count("*").alias("n"), mean_of(duration).alias("avg_time"))
 
 
 def latency(
@@ -90,14 +90,14 @@ def latency(
     if not exact:
         tail = F.percentile_approx("_d", [0.95, 0.99], 10_000)
         return rows.groupBy("bucket").agg(
-            F.count("*").alias("n"), exact_avg("_d").alias("avg_time"), tail[0].alias("p95"), tail[1].alias("p99")
+            F.count("*").alias("n"), mean_of("_d").alias("avg_time"), tail[0].alias("p95"), tail[1].alias("p99")
         )
     probs = {"p95": 0.95, "p99": 0.99}
     # One pass for the figures and the brackets, one for the values in them.
     base = materialize(
         rows.groupBy("bucket").agg(
             F.count("*").alias("n"),
-            exact_avg("_d").alias("avg_time"),
+            mean_of("_d").alias("avg_time"),
             F.count("_d").alias("_size"),
             bracket_sketch(F.col("_d"), probs).alias("_ends"),
         )
@@ -113,8 +113,8 @@ def latency_overall(log: DataFrame, duration: str, ok: Column) -> DataFrame:
     row = log.agg(
         F.min(duration).cast("double").alias("min_time"),
         F.max(duration).cast("double").alias("max_time"),
-        exact_avg(duration).alias("avg_time"),
-        r6(ratio(count_if(ok), F.count("*"))).alias("success_rate"),
+        mean_of(duration).alias("avg_time"),
+        as_double(ratio(count_if(ok), F.count("*"))).alias("success_rate"),
     )
     found = marks.select(F.struct("median", "p95").alias("m")).scalar()
     return row.withColumn("_m", found).select("*", "_m.median", "_m.p95").drop("_m")
@@ -135,18 +135,19 @@ def usage_summary(
         F.count("*").alias("total"),
         count_if(ok).alias("successful"),
         count_if(~ok).alias("failed"),
-        exact_avg(duration).alias("avg_time"),
-        r6(ratio(count_if(hit), F.count("*"))).alias("hit_ratio"),
-        r6(F.avg(rating)).alias("satisfaction"),
+        mean_of(duration).alias("avg_time"),
+        as_double(ratio(count_if(hit), F.count("*"))).alias("hit_ratio"),
+        as_double(F.avg(rating)).alias("satisfaction"),
     )
 
 
 def running_mean(log: DataFrame, ts: str, key: str, value: str, per: list[str] | None = None) -> DataFrame:
     """Mean of all entries so far, after each entry."""
     per = per or []
-    sums = {"_s": F.col(value).cast("decimal(18,4)"), "_n": F.col(value).isNotNull().cast("bigint")}
+    sums = {"_s": fixed_part(value), "_r": rest_part(value), "_n": F.col(value).isNotNull().cast("bigint")}
     out = prefix_sums(log, per, [F.col(ts), F.col(key)], sums)
-    return out.withColumn("running_mean", r6(ratio(F.col("_s"), F.col("_n")))).drop("_s", "_n")
+    whole = F.coalesce(F.col("_s").cast("double"), F.lit(0.0)) + F.col("_r")
+    return out.withColumn("running_mean", ratio(whole, F.col("_n"))).drop("_s", "_r", "_n")
 
 
 def keep_last(log: DataFrame, ts: str, key: str, n: int = KEEP_LAST, per: str | None = None) -> DataFrame:
@@ -162,7 +163,7 @@ def _change(buckets: DataFrame, value: str) -> DataFrame:
     # One row per time bucket: the calendar bounds the window.
     before = F.lag(value).over(Window.orderBy("bucket"))
     return buckets.withColumn("previous", before).withColumn(
-        "change_percent", r6(ratio((F.col(value) - F.col("previous")) * 100, F.col("previous")))
+        "change_percent", as_double(ratio((F.col(value) - F.col("previous")) * 100, F.col("previous")))
     )
 
 
@@ -176,7 +177,7 @@ def feedback_summary(df: DataFrame, rating: str, category: str) -> DataFrame:
     rows = df.rollup(category).agg(
         F.count("*").alias("n"),
         F.count(rating).alias("rated"),
-        exact_avg(rating).alias("avg_rating"),
+        mean_of(rating).alias("avg_rating"),
         count_if(F.col(rating) > 0).alias("positive"),
         F.grouping(category).alias("_g"),
     )
@@ -184,6 +185,11 @@ def feedback_summary(df: DataFrame, rating: str, category: str) -> DataFrame:
     return rows.select(name.alias("category"), "n", "rated", "avg_rating", "positive")
 
 
+def rating_counts(df: DataFrame, rating: str) -> DataFrame:
+    """How often each rating was given; no rating is a value of its own."""
+    return df.groupBy(F.col(rating).alias("rating")).agg(F.count("*").alias("n"))
+
+
 def intent_scores(
     df: DataFrame,
     text: str,
@@ -209,11 +215,11 @@ def intent_scores(
             score = score + F.when(in_bonus, DOMAIN_BONUS).otherwise(0.0)
         if intent == "visualization":
             score = score + F.when(any_domain & contains_any(low, REPORT_WORDS), REPORT_BONUS).otherwise(0.0)
-        out = out.withColumn(f"_{intent}", r6(score))
+        out = out.withColumn(f"_{intent}", as_double(score))
     names = list(patterns)
     top = F.greatest(*[F.col(f"_{i}") for i in names])
     out = out.withColumn("_top", top)
-    share = {i: r6(F.when(F.col("_top") > 0, F.col(f"_{i}") / F.col("_top")).otherwise(0.0)) for i in names}
+    share = {i: as_double(F.when(F.col("_top") > 0, F.col(f"_{i}") / F.col("_top")).otherwise(0.0)) for i in names}
     primary = F.when(F.col(f"_{names[0]}") == F.col("_top"), names[0])
     for i in names[1:]:
         primary = primary.when(F.col(f"_{i}") == F.col("_top"), i)
@@ -245,7 +251,7 @@ def audit_counts(audited: DataFrame) -> DataFrame:
 def statement_patterns(df: DataFrame, col: str, cost: str, n: int | None = None) -> DataFrame:
     """Texts with literals masked: frequency and mean cost per pattern."""
     masked = F.regexp_replace(F.regexp_replace(F.col(col), "'[^']*'", "?"), "[0-9]+", "?")
-    out = df.groupBy(masked.alias("pattern")).agg(F.count("*").alias("n"), exact_avg(cost).alias("avg_cost"))
+    out = df.groupBy(masked.alias("pattern")).agg(F.count("*").alias("n"), mean_of(cost).alias("avg_cost"))
     return out if n is None else out.orderBy(F.desc("n"), "pattern").limit(n)
 
 
@@ -292,8 +298,8 @@ def actor_performance(
     since = ts_lit(now - ACTOR_WINDOW, log.schema[ts].dataType)
     return log.groupBy(actor).agg(
         F.count("*").alias("total"),
-        r6(ratio(count_if(ok), F.count("*"))).alias("success_rate"),
-        exact_avg(duration).alias("avg_time"),
+        as_double(ratio(count_if(ok), F.count("*"))).alias("success_rate"),
+        mean_of(duration).alias("avg_time"),
         count_if(~ok).alias("errors"),
         count_if(F.col(ts) >= since).alias("last_day"),
     )
@@ -308,7 +314,7 @@ def alerts(
         F.col(key).cast("string").alias("subject"),
         F.col(duration).cast("double").alias("value"),
     )
-    means = log.groupBy(trunc(grain, ts).alias("bucket")).agg(exact_avg(duration).alias("mean"))
+    means = log.groupBy(trunc(grain, ts).alias("bucket")).agg(mean_of(duration).alias("mean"))
     risen = _change(means, "mean").filter(F.col("change_percent") >= rise).select(
         F.lit("rising_mean").alias("alert"), day_text("bucket").alias("subject"), F.col("change_percent").alias("value")
     )

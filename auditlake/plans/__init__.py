@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +18,15 @@ class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
+        self.unrounded: set[str] = set()
+
+    def add(self, key: str, sql: str | None = None, rounded: bool = True) -> Callable[[Query], Query]:
+        """``rounded=False``: the query rounds by itself, to more digits than others."""
 
-    def add(self, key: str, sql: str | None = None) -> Callable[[Query], Query]:
         def keep(fn: Query) -> Query:
             self.queries[key] = fn
+            if not rounded:
+                self.unrounded.add(key)
             if sql is not None:
                 self.sql[key] = sql.strip()
             return fn
@@ -26,8 +34,23 @@ class Registry:
         return keep
 
 
+def shown(value: Column) -> Column:
+    """A double as it is compared with SQL: six decimals."""
+    return F.round(value, 6)
+
+
+def _shown(fn: Query) -> Query:
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        kinds = dict(df.dtypes)
+        return df.select(*[shown(F.col(f"`{c}`")).alias(c) if kinds[c] == "double" else F.col(f"`{c}`") for c in df.columns])
+
+    return run
+
+
 def registry() -> Registry:
-    """All families in order."""
+    """All families in order. Operators do not round; the queries do, and so does their SQL."""
     from auditlake.plans import (
         access,
         charts,
@@ -46,6 +69,6 @@ def registry() -> Registry:
     for family in (
         access, shapes, profiles, fraud, findings, relations, fingerprints, retrieval, usage, charts, streams
     ):
-        merged.queries.update(family.REG.queries)
+        merged.queries.update({k: fn if k in family.REG.unrounded else _shown(fn) for k, fn in family.REG.queries.items()})
         merged.sql.update(family.REG.sql)
     return merged

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import exact_sum, trunc
+from auditlake.functions.exprs import total_of, trunc
 from auditlake.operators import inventory, sampling
 from auditlake.plans import Registry
 from auditlake.session import scratch_path
@@ -13,7 +13,8 @@ from auditlake.sources.tables import load
 
 REG = Registry()
 
-INVENTORY_TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+INVENTORY_TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+                    "region", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @REG.add("a1_load", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -78,7 +79,7 @@ def _monthly(spark, d):
     return (
         load(spark, d, "orders")
         .groupBy(trunc("month", "o_orderdate").alias("month"), "o_orderstatus")
-        .agg(exact_sum("o_totalprice").alias("total"), F.count("*").alias("n"))
+        .agg(total_of("o_totalprice").alias("total"), F.count("*").alias("n"))
     )
 
 
@@ -105,6 +106,7 @@ def _inventory(spark, d):
 
 _COLUMN_COUNTS = {
     "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
+    "region": 2, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
 }
 _INVENTORY_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, CAST({n} AS BIGINT) AS column_count, count(*) AS row_count FROM {t}"
@@ -134,12 +136,12 @@ def a5_storage(spark, d):
 @REG.add(
     "a6_capacity_report",
     f"""
-    SELECT table_name, column_count, row_count, row_count > 100000 AS is_large, column_count > 20 AS is_wide
-    FROM ({_INVENTORY_SQL}) WHERE row_count > 100000 OR column_count > 20
+    SELECT table_name, column_count, row_count, row_count > 10000 AS is_large, column_count > 5 AS is_wide
+    FROM ({_INVENTORY_SQL}) WHERE row_count > 10000 OR column_count > 5
     """,
 )
 def a6(spark, d):
-    return inventory.capacity_report(_inventory(spark, d)).select(
+    return inventory.capacity_report(_inventory(spark, d), large=10_000, wide=5).select(
         "table_name", "column_count", "row_count", "is_large", "is_wide"
     )
 

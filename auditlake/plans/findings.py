@@ -33,8 +33,9 @@ def found(spark, d):
                 docs, amount="n_chars", measures=["n_chars"],
                 fks=[("doc_id", "labels", load(spark, d, "labels"), "doc_id")],
             ),
-            "events": f.Roles(events, amount="value", user="user_id", ts="ts", measures=["value"], key=["event_id"]),
-            "labelled": f.Roles(labelled, critical=["quality", "toxic"]),
+            "events": f.Roles(events, amount="value", user="user_id", ts="ts", measures=["value"], key=["event_id"], clock="ts"),
+            "labelled": f.Roles(labelled, critical=["quality", "toxic"], audit=["quality", "toxic"]),
+            "stock": f.Roles(lines.select("l_orderkey", "l_partkey", "l_suppkey"), check_references=True),
         }
     )
 
@@ -97,6 +98,30 @@ def _round(table, column):
     )
 
 
+def _split(table, user, ts, amount):
+    body = f"""
+    SELECT count(*) AS n FROM (
+        SELECT {user} FROM {table} WHERE {amount} BETWEEN 9000 AND 9999 OR {amount} BETWEEN 4900 AND 4999
+        GROUP BY {user}, CAST({ts} AS DATE) HAVING count(*) >= 3) HAVING count(*) > 0
+    """
+    return _row(table, [user, amount], "split_transactions", "'critical'", "n", "NULL", body)
+
+
+NIGHT = _row(
+    "events", ["ts"], "off_hours_transactions", "'medium'", "n", "NULL",
+    "SELECT count(*) AS n FROM events WHERE hour(ts) BETWEEN 0 AND 5 OR hour(ts) BETWEEN 22 AND 23 HAVING count(*) > 0",
+)
+AUDIT = _row(
+    "labelled", ["quality", "toxic"], "missing_audit_fields", "'high'", "n", "round(100.0 * n / total, 6)",
+    """SELECT * FROM (SELECT count(*) FILTER (WHERE quality IS NULL OR toxic IS NULL) AS n, count(*) AS total
+       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) WHERE n > 0""",
+)
+LOOSE = _row(
+    "stock", ["l_orderkey", "l_partkey", "l_suppkey"], "missing_foreign_key_constraints", "'medium'", "n", "3",
+    "SELECT count(*) AS n FROM lineitem",
+)
+
+
 def _nulls(column):
     body = f"""
     SELECT count(*) - count({column}) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
@@ -108,6 +133,11 @@ def _nulls(column):
 FOUND = " UNION ALL ".join(
     f"({s})"
     for s in [
+        _split("orders", "o_custkey", "o_orderdate", "o_totalprice"),
+        _split("events", "user_id", "ts", "value"),
+        NIGHT,
+        AUDIT,
+        LOOSE,
         _round("orders", "o_totalprice"),
         _benford("orders", "o_totalprice"),
         _row(

@@ -64,13 +64,15 @@ def f1(spark, d):
 
 
 def row_md5(cols):
-    return "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols) + "))"
+    return "md5(concat(" + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols) + "))"
 
 
 @REG.add(
     "f2_content_fingerprint",
     f"""
-    SELECT count(*) AS row_count, CAST(sum(CAST('0x' || left({row_md5(ORDERS)}, 8) AS BIGINT)) AS VARCHAR) AS hash_sum
+    SELECT count(*) AS row_count, 
+           CAST(sum(CAST('0x' || left({row_md5(ORDERS)}, 16) AS UBIGINT)) AS VARCHAR) || ':' ||
+           CAST(sum(CAST('0x' || right({row_md5(ORDERS)}, 16) AS UBIGINT)) AS VARCHAR) AS hash_sum
     FROM orders
     """,
 )

@@ -95,6 +95,7 @@ def e3(spark, d):
            * (SELECT count(*) FROM orders)), 12) AS selectivity
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     """,
+    rounded=False,
 )
 def e4(spark, d):
     return r.join_selectivity(load(spark, d, "lineitem"), "l_orderkey", load(spark, d, "orders"), "o_orderkey")

@@ -169,7 +169,7 @@ def b12(spark, d):
     """,
 )
 def b13(spark, d):
-    return q.kpis(load(spark, d, "orders"), load(spark, d, "lineitem"))
+    return q.kpis(load(spark, d, "orders"), load(spark, d, "lineitem"), "l_extendedprice", "l_discount", "o_totalprice")
 
 
 @REG.add("b14_scalar_avg", f"SELECT {mean('l_quantity')} AS value FROM lineitem")

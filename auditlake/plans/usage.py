@@ -202,6 +202,15 @@ def h12(spark, d):
     return u.feedback_summary(docs.join(load(spark, d, "labels"), "doc_id", "left"), "quality", "lang")
 
 
+@REG.add(
+    "h12_rating_counts",
+    "SELECT quality AS rating, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY quality",
+)
+def h12_ratings(spark, d):
+    docs = load(spark, d, "documents").select("doc_id")
+    return u.rating_counts(docs.join(load(spark, d, "labels"), "doc_id", "left"), "quality")
+
+
 # Keywords that occur in the corpus, by intent and domain.
 PATTERNS = {
     "sql_generation": ["what", "and", "which"],
@@ -361,7 +370,7 @@ def h18(spark, d):
     "h19_alerts",
     f"""
     WITH b AS (SELECT user_id, date_trunc('day', ts) AS bucket, value FROM events),
-         m AS (SELECT bucket, {mean('value')} AS mean FROM b GROUP BY 1),
+         m AS (SELECT bucket, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS mean FROM b GROUP BY 1),
          p AS (SELECT bucket, (mean - lag(mean) OVER (ORDER BY bucket)) * 100 / lag(mean) OVER (ORDER BY bucket)
                    AS change_percent FROM m)
     SELECT 'slow_entry' AS alert, CAST(event_id AS VARCHAR) AS subject, value FROM events WHERE value > 300

@@ -45,8 +45,8 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests, local mode) is a
-    temporary folder made up.
+    Only in local mode is a temporary folder made up where
+    ``spark.checkpoint.dir`` is unset; executors elsewhere could not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -54,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="auditlake-")
 
 

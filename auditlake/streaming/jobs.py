@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.functions.exprs import count_if, exact_avg
+from auditlake.functions.exprs import count_if, mean_of
 from auditlake.operators.transactions import VELOCITY_MIN_ROWS
 
 DEDUPE_SALTS = 16
@@ -72,7 +72,7 @@ def usage_metrics(
         .agg(
             F.count("*").alias("requests"),
             count_if(~ok).alias("errors"),
-            exact_avg(duration).alias("avg_time"),
+            mean_of(duration).alias("avg_time"),
         )
         .select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "requests", "errors", "avg_time")
     )

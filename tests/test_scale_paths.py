@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from auditlake.functions import ordering
 from auditlake.functions.ordering import exact_quantiles, next_value, prefix_sums
 from auditlake.functions.text import containment_pairs
 from auditlake.operators import charts, fingerprint, profile, retrieve, search
@@ -78,21 +77,37 @@ def test_exact_quantiles(spark):
             assert got[k][name] == pytest.approx(np.quantile(v, p), abs=1e-6)
 
 
-@pytest.mark.parametrize("small", [0, 500, 10**6])
-def test_quantiles_of_large_groups(spark, monkeypatch, small):
-    """Brackets, built-in percentiles and a mix of both agree."""
-    monkeypatch.setattr(ordering, "SMALL_GROUP", small)
-    value = F.when(F.col("id") % 4 == 0, 50.0).otherwise(F.round(F.rand(7) * 1000, 2))
-    df = spark.range(60_000).select(
-        F.when(F.col("id") % 3 != 0, "hot").when(F.col("id") % 100 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("k"),
+@pytest.mark.parametrize("rows", [60_000, 300])
+def test_quantiles_of_groups_of_any_size(spark, rows):
+    """Groups of one row to 40,000 rows, half of the values infinite or alike."""
+    value = (
+        F.when(F.col("id") % 4 == 0, 50.0).when(F.col("id") % 7 == 0, float("-inf")).when(F.col("id") % 11 == 0, float("inf"))
+        .otherwise(F.round(F.rand(7) * 1000, 2))
+    )
+    df = spark.range(rows).select(
+        F.when(F.col("id") % 3 != 0, "hot").when(F.col("id") % 100 == 0, None).otherwise((F.col("id") % 97).cast("string")).alias("k"),
         value.alias("v"),
     ).checkpoint()
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
-    want = df.groupBy("k").agg(*[F.round(F.percentile("v", p), 6).alias(n) for n, p in probs.items()])
-    got = exact_quantiles(df, ["k"], "v", probs)
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
-    whole = exact_quantiles(df, [], "v", probs).first()
-    assert list(whole) == [df.agg(F.round(F.percentile("v", p), 6)).first()[0] for p in probs.values()]
+    seen: dict = {}
+    for r in df.collect():
+        seen.setdefault(r["k"], []).append(r["v"])
+    with np.errstate(invalid="ignore"):
+        for got, values in [
+            *((r, seen[r["k"]]) for r in exact_quantiles(df, ["k"], "v", probs).collect()),
+            (exact_quantiles(df, [], "v", probs).first(), sum(seen.values(), [])),
+        ]:
+            values = sorted(values)
+            for name, p in probs.items():
+                low, high = values[int(np.floor((len(values) - 1) * p))], values[int(np.ceil((len(values) - 1) * p))]
+                if np.isfinite([low, high]).all() or low == high:
+                    assert got[name] == pytest.approx(np.quantile(values, p) if low != high else low)
+
+
+def test_half_infinite_values_on_both_sides_of_the_old_limit(spark):
+    for rows in (10_000, 100_000):
+        df = spark.range(rows).select(F.when(F.col("id") % 5 < 3, float("-inf")).otherwise(F.col("id").cast("double")).alias("v"))
+        assert exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == float("-inf")
 
 
 def test_quantiles_of_nothing(spark):
