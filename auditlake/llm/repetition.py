@@ -30,7 +30,7 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 class Limits:
     """Percentages of word characters above which a text is rejected."""
 
-    ngrams: dict[int, int] = field(default_factory=lambda: {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20})
+    ngrams: dict[int, int] = field(default_factory=lambda: {5: 35, 6: 33, 7: 31, 8: 29, 9: 27, 10: 25})
     lines: int = 40
     #: A repeated line is a weak sign in short texts: the share is taken from this many words on.
     least_words: int = 10
