@@ -68,9 +68,10 @@ class Vocabulary:
         self.mixed = None if len(mixed) > MOST_MIXED else mixed
         mark = "".join(map(re.escape, sorted(self.marks)))
         self.fine = re.compile(f"{BLANK}*[^{mark}{BLANK}]+|{BLANK}*[{mark}]+|{BLANK}+")
+        self.characters = frozenset(p for p in normal if len(p) == 1)
         self.matcher = ahocorasick.Automaton()
         for piece, (i, score) in self.ids.items():
-            self.matcher.add_word(piece, (i, score, len(piece)))
+            self.matcher.add_word(piece, ((i,), score, len(piece)))
         self.matcher.make_automaton()
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == "b"}
         self.unknown = self.kinds.find("u")
@@ -102,47 +103,48 @@ class Vocabulary:
         rule = _COARSE if self.mixed is None or any(m in text for m in self.mixed) else self.fine
         return rule.findall(BLANK + text.replace(" ", BLANK))
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """Per end position the pieces that end there: (start, score, ids). Sorted by start and ids."""
-        found: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(word) + 1)]
-        for last, (i, score, n) in self.matcher.iter(word):
-            found[last + 1].append((last + 1 - n, score, (i,)))
-        ids = self.ids
+    def matches(self, word: str) -> Iterator[tuple[int, int, float, tuple[int, ...]]]:
+        """The pieces in a word as (end, start, score, ids), in order of their ends."""
+        if self.characters.issuperset(word):
+            return ((last + 1, last + 1 - n, score, ids) for last, (ids, score, n) in self.matcher.iter(word))
+        found = [(last + 1, last + 1 - n, score, ids) for last, (ids, score, n) in self.matcher.iter(word)]
         for i, c in enumerate(word):
-            if c not in ids:
+            if c not in self.characters:
                 raw = c.encode("utf-8", "surrogatepass")
                 fallback = tuple(self.bytes[b] for b in raw) if self.bytes else (self.unknown,)
-                found[i + 1].append((i, self.floor * len(fallback), fallback))
-        return found
+                found.append((i + 1, i, self.floor * len(fallback), fallback))
+        return iter(sorted(found))
+
+    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+        """Per end position the pieces that end there: (start, score, ids)."""
+        ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(word) + 1)]
+        for j, i, score, ids in self.matches(word):
+            ends[j].append((i, score, ids))
+        return ends
 
     def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
         """Best score, its ids, and what the second-best segmentation loses (infinite if there is none).
 
         Forward Viterbi with the two best scores of every position.
         """
-        ends = self.edges(word)
         n = len(word)
         first, second = [0.0] + [_NONE] * n, [_NONE] * (n + 1)
         came: list = [None] * (n + 1)
-        for j in range(1, n + 1):
-            top = next_ = _NONE
-            edge = None
-            for e in ends[j]:
-                i, score, _ = e
-                x = first[i] + score
-                if x > top:
-                    top, next_, edge = x, top, e
-                elif x > next_:
-                    next_ = x
-                x = second[i] + score
-                if x > next_:
-                    next_ = x
-            first[j], second[j], came[j] = top, next_, edge
-        ids: tuple[int, ...] = ()
+        # The matcher reports pieces in order of their ends, so what comes before an end is settled.
+        for j, i, score, ids in self.matches(word):
+            x, y = first[i] + score, second[i] + score
+            if x > first[j]:
+                first[j], y = x, max(first[j], y)
+                came[j] = i, ids
+            else:
+                y = max(x, y)
+            if y > second[j]:
+                second[j] = y
+        tail: tuple[int, ...] = ()
         while n:
-            ids = came[n][2] + ids
-            n = came[n][0]
-        return first[-1], ids, first[-1] - second[-1]
+            n, ids = came[n]
+            tail = ids + tail
+        return first[-1], tail, first[-1] - second[-1]
 
     def n_best(self, word: str, n: int) -> list[Path]:
         """The ``n`` best segmentations of one word, best first; ties in order of their ids from the end."""
@@ -186,9 +188,12 @@ class Vocabulary:
             losses.append(known[2])
         combined: list[tuple[float, dict[int, Path]]] = [(0.0, {})]
         if n > 1:
-            for loss, w in heapq.nsmallest(n - 1, zip(losses, range(len(losses)), strict=True)):
+            for _ in range(min(n - 1, len(losses))):
+                loss = min(losses)
                 if loss == float("inf"):
                     break
+                w = losses.index(loss)
+                losses[w] = float("inf")
                 paths = self.n_best(units[w], n)
                 first = memory.get(units[w]) or self.best(units[w])
                 # Among ties the path taken above goes first.
