@@ -46,7 +46,7 @@ def word_counts(column: pa.Array) -> np.ndarray:
     begins[1:] &= ~word[:-1]
     inner = ends[:-1][ends[:-1] < last] - first
     begins[inner] = word[inner]  # a text begins anew
-    return np.diff(np.concatenate(([0], np.cumsum(begins)))[ends - first])
+    return np.diff(np.concatenate(([0], np.cumsum(begins, dtype=np.int32)))[ends - first])
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, ceiling: float = COPIES) -> list[float]:
@@ -114,7 +114,7 @@ def plan(
     spark = docs.sparkSession
 
     def sized(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(iterator, 10_000, 16 << 20):
+        for batch in batches(iterator, 2000, 2 << 20):
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(word_counts(batch.column(3)))]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_source", "_block", "_size"])
 
@@ -143,7 +143,7 @@ def plan(
     units = drawn.select("_source", "_block", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy"))
     # Copies of one block lie far apart in the permuted order of draws.
     turn = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 2), "_source", "_block", "_copy"), "_block", "_copy")
-    units = materialize(units.withColumn("turn", F.row_number().over(turn)))
+    units = units.withColumn("turn", F.row_number().over(turn))
     counts = {r["_source"]: r["n"] for r in units.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
     split = splitting_tree(np.array([counts[n] for n in names], np.int64), shards, np.random.default_rng(seed))
