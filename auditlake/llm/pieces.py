@@ -18,6 +18,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -41,6 +43,7 @@ _COARSE = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 MOST_MIXED = 32
 
 _NONE = float("-inf")
+_BY_PROMISE = itemgetter(0, 1)
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -140,27 +143,39 @@ class Vocabulary:
                 y = max(x, y)
             if y > second[j]:
                 second[j] = y
-        tail: tuple[int, ...] = ()
+        steps: list[tuple[int, ...]] = []
         while n:
             n, ids = came[n]
-            tail = ids + tail
-        return first[-1], tail, first[-1] - second[-1]
+            steps.append(ids)
+        return first[-1], tuple(chain.from_iterable(reversed(steps))), first[-1] - second[-1]
 
     def n_best(self, word: str, n: int) -> list[Path]:
-        """The ``n`` best segmentations of one word, best first; ties in order of their ids from the end."""
+        """The ``n`` best segmentations of one word, best first; among ties those that got nearer to the start.
+
+        An entry is a path from the end, kept as a link to its first piece and the
+        rest. What its score and the exact heuristic promise is the score of a
+        segmentation, and no two entries share one, so no more entries are kept
+        than segmentations are still to be found.
+        """
         ends = self.edges(word)
         ahead = [0.0] + [_NONE] * len(word)  # forward Viterbi
         for j in range(1, len(word) + 1):
             ahead[j] = max((ahead[i] + s for i, s, _ in ends[j]), default=_NONE)
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-ahead[-1], (), len(word), 0.0)]
+        front: list[tuple[float, int, float, tuple | None]] = [(-ahead[-1], len(word), 0.0, None)]
         found: list[Path] = []
-        while heap and len(found) < n:
-            _, tail, at, score = heapq.heappop(heap)
+        while front and len(found) < n:
+            _, at, score, link = front.pop(0)
             if at == 0:
-                found.append((score, tail))
+                tail: list[int] = []
+                while link:
+                    ids, link = link
+                    tail += ids
+                found.append((score, tuple(tail)))
                 continue
-            for i, s, ids in ends[at]:
-                heapq.heappush(heap, (-(ahead[i] + s + score), ids + tail, i, s + score))
+            front += [(-(ahead[i] + s + score), i, s + score, (ids, link)) for i, s, ids in ends[at]]
+            if len(front) > 1:
+                front.sort(key=_BY_PROMISE)
+                del front[n - len(found) :]
         return found
 
     def encode(self, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, dict[int, Path]]]]:

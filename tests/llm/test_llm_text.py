@@ -226,6 +226,28 @@ def test_n_best_against_all_segmentations(text, n):
         assert [s for s, _ in backward] == pytest.approx(everything[:n])
 
 
+def test_unbroken_runs():
+    v = pieces.Vocabulary.load()
+    run = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"), 200_000))
+    best, ranked = v.encode(run, 4)
+    scores = [s for s, _ in ranked]
+    assert v.decode(best) == run and len(scores) == 4 and scores == sorted(scores, reverse=True)
+    assert scores[0] == pytest.approx(sum(v.scores[i] for i in best))
+    for score, picks in ranked:
+        ids = v.spell(run, picks)
+        assert v.decode(ids) == run and score == pytest.approx(sum(v.scores[i] for i in ids))
+
+
+@pytest.mark.parametrize("n", [1, 4, 20])
+def test_n_best_of_longer_runs(n):
+    word = "".join(np.random.default_rng(n).choice(list("abé."), 300))
+    best = [[0.0]]  # per position the n best scores
+    for ends in TOY.edges(word)[1:]:
+        best.append(sorted((x + s for i, s, _ in ends for x in best[i]), reverse=True)[:n])
+    found = TOY.n_best(word, n)
+    assert [s for s, _ in found] == pytest.approx(best[-1]) and len({ids for _, ids in found}) == len(found)
+
+
 def test_pieces_round_trip(spark, sf_dir, odd, frame):
     rows = Q.REG.queries["op9_sentencepiece"](spark, sf_dir).collect()
     assert len(rows) == 1000 and all(r.round_trip and len(r.scores) <= 4 and r.scores == sorted(r.scores, reverse=True) for r in rows)
