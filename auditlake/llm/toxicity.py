@@ -53,7 +53,8 @@ KINDS = tuple(PRIOR)
 NEGATION_SCOPE = 4
 _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"n't\b|\w+|[\"“”«»]|[,;:()]|[.!?\n]+")
-_SENTENCE_END = re.compile(r"[.!?\n]")
+SENTENCE_ENDS = ".!?\n"
+_SENTENCE_END = re.compile(f"[{SENTENCE_ENDS}]")
 _LEXEMES = {w: s for s, ws in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("T", THREATS), ("P", SPEAKERS)) for w in ws.split()}
 
 State = tuple
@@ -80,7 +81,7 @@ def _negated(state: int, symbol: str) -> tuple[int, str]:
     return max(0, state - 1), symbol + "n" if state and symbol[0] in "IT" else symbol
 
 
-#: How a clause is read: what it has so far, whether a target and a speaker are in it.
+#: How a clause is read: its strongest insult and threat so far, whether a target and a speaker are in it.
 _RANK = {"": 0, "In": 1, "Irn": 1, "Ir": 2, "I": 3, "Tn": 4, "Trn": 4, "Tr": 5, "T": 6}
 
 
@@ -94,12 +95,15 @@ def _clause(state: tuple[str, bool, bool], symbol: str) -> tuple[tuple[str, bool
     elif symbol == "P":
         speaker = True
     elif symbol[0] in "IT":
-        if symbol[0] == "I" or (target or speaker):
-            best = max(best, symbol, key=_RANK.__getitem__)
+        held = {x[0]: x for x in best.split()}
+        held[symbol[0]] = max(held.get(symbol[0], ""), symbol, key=_RANK.__getitem__)
+        best = " ".join(sorted(held.values()))
     return (best, target, speaker), ""
 
 
 def _kind(best: str, target: bool, speaker: bool) -> str:
+    """A threat needs a target or a speaker, before or after it."""
+    best = max((x for x in best.split() if x[0] == "I" or target or speaker), key=_RANK.__getitem__, default="")
     if not best:
         return ""
     name = "insult" if best[0] == "I" else "threat"
@@ -179,9 +183,11 @@ class Grammar:
                 continue
             if spans and first < spans[-1][1]:
                 continue
-            begin = max((m.end() for m in _SENTENCE_END.finditer(text, max(0, first - 2000), first)), default=max(0, first - 2000))
+            # From the last span on, so that no part of a text is searched twice.
+            after = spans[-1][1] if spans else 0
+            begin = max(after, *(text.rfind(c, after, first) + 1 for c in SENTENCE_ENDS))
             stop = _SENTENCE_END.search(text, end + 1)
-            spans.append((max(begin, spans[-1][1] if spans else 0), stop.end() if stop else len(text)))
+            spans.append((begin, stop.end() if stop else len(text)))
         return spans
 
     def clauses(self, text: str) -> list[tuple[str, float]]:

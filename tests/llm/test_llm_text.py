@@ -113,6 +113,18 @@ def test_grammar_reads_clauses():
     assert aimed > plain > g.score(np.array([g.features("nothing here")]))[0]
 
 
+def test_long_sentences_and_late_targets():
+    g = toxicity.Grammar({"idiot": 5.0}, {}, dict(toxicity.PRIOR), -3.0)
+    kinds = lambda t: [k for k, _ in g.clauses(t)]
+    long = "word " * 2_000
+    assert kinds(f"Fine. She said {long} idiot {long}. An idiot") == ["reported insult", "insult"]
+    assert kinds(f"You {long} idiot") == ["insult at target"] and kinds(f"You! {long} idiot") == ["insult"]
+    assert kinds(f'" {long} idiot " said one') == ["reported insult"]
+    assert kinds("Kill you") == ["threat"] and kinds("never hurt you") == ["negated threat"]
+    assert kinds("They kill an idiot") == ["insult"] and kinds("kill the idiot, you") == ["insult"]
+    assert kinds("kill the idiot in you") == ["threat"]
+
+
 def test_composed_machine_equals_the_cascade():
     start, machine = toxicity.compose()
     for word in itertools.product("ITNQRES", repeat=5):
