@@ -30,23 +30,31 @@ HASH_SEED = 42
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The fingerprint of one text as an unsigned number; 0 without words.
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of the word shingles of one text, in order and with repeats; none without words.
 
     A-Z are lower-cased, words are runs without ASCII blanks, shingles are joined
-    by one space and counted with repeats; fewer words make one shorter shingle.
-    A bit is set if it is set in over half of the shingle hashes.
+    by one space; fewer words make one shorter shingle.
     """
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], stops[:-1] + 1))
     spans = zip(starts[:n].tolist(), stops[min(shingle, len(words)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[i:j], HASH_SEED) for i, j in spans), np.uint64, n).astype(">u8")
+    return np.fromiter((digest(joined[i:j], HASH_SEED) for i, j in spans), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The fingerprint of one text as an unsigned number; 0 without words.
+
+    A bit is set if it is set in over half of the shingle hashes.
+    """
+    hashes = shingle_hashes(text, shingle).astype(">u8")
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65_536):  # bounded memory for very long texts
         ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
