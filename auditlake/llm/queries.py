@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import mixing, pieces, pii, pstable, quality, repetition, sharding, simhash, toxicity, warc
+from auditlake.llm import alignment, mixing, packing, pieces, pii, pstable, quality, repetition, sharding, simhash, survival, toxicity, warc
 from auditlake.llm.common import held_out, sized, work_dir
 from auditlake.plans import Registry
 
@@ -189,3 +189,55 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", "n_pieces", "ids_crc32", "scores", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip")
     )
+
+
+@REG.add("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
+@REG.add("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@REG.add(
+    "op13_filter_audit",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+    ), w AS (
+      SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d
+    ), l AS (
+      SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+    ), f AS (
+      SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+        'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+        'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)
+      } AS x FROM w LEFT JOIN l USING (doc_id)
+    ), g AS (
+      SELECT part, [k FOR k IN ['A', 'B', 'C', 'D', 'E'] IF struct_extract(x, 'A') AND k = 'A' OR struct_extract(x, 'B') AND k = 'B'
+        OR struct_extract(x, 'C') AND k = 'C' OR struct_extract(x, 'D') AND k = 'D' OR struct_extract(x, 'E') AND k = 'E'] AS failed,
+        count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM f GROUP BY ALL
+    ), k AS (
+      SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k
+    ), o AS (
+      SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM k a, k b, k c, k d, k e
+      WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+    ), s AS (
+      SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS k, string_split(substr(filter_order, 1, step - 1), '') AS before FROM o, range(1, 6) r(step)
+    ), j AS (
+      SELECT part, filter_order, step, k, n, good, toxic, failed, list_contains(failed, k) AS fails, list_has_any(failed, before) AS gone FROM s, g
+    ), r AS (
+      SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (failed = [k]), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+      FROM j GROUP BY part, filter_order, step, k
+    )
+    SELECT * EXCLUDE (k), (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM r
+    """,
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survival.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
