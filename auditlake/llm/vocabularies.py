@@ -28,7 +28,9 @@ _CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 #: How byte-level vocabularies split a text before merging (fixed values).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a task remembers before they become the old ones, and their bytes.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 16 << 20
+REMEMBERED, REMEMBERED_BYTES = 300_000, 24 << 20
+#: A mark behind a letter is a word of its own in the word-level vocabulary, so a blank may go between.
+_MARKS = r"(\p{L})([.,;:!?&#$%*()\"])"
 
 
 def parts(text: str, size: int = PART) -> list[str]:
@@ -111,22 +113,28 @@ class WordLevel:
             self.old, self.memory, self.held = self.memory, {}, 0
         found = [self.memory.get(w) for w in words]
         missing = [i for i, ids in enumerate(found) if ids is None]
-        new = [i for i in missing if words[i] not in self.old]
-        fresh = {}
-        for at in range(0, len(new), 4096):
-            some = [words[i] for i in new[at : at + 4096]]
-            fresh.update(zip(some, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        new = []
         for i in missing:
-            w = words[i]
-            found[i] = ids = self.old[w] if w in self.old else fresh[w]
-            if len(w) <= 64:
-                self.memory[w] = ids
-                self.held += len(w) + 4 * len(ids)
+            if (ids := self.old.get(words[i])) is None:
+                new.append(i)
+            else:
+                found[i] = ids
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                found[i] = tuple(e.ids)
+        known = [i for i in missing if len(words[i]) <= 64]
+        self.memory.update((words[i], found[i]) for i in known)
+        self.held += sum(len(words[i]) + 4 * len(found[i]) for i in known)
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts in a row, and where each text ends. A null text has none."""
-        split = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
+        column = column.cast(pa.large_string()).fill_null("")
+        if not pc.any(pc.match_substring(column, "<|")).as_py():
+            # The vocabulary is lower case, but for special tokens, which are found before letters are lowered.
+            column = pc.ascii_lower(pc.replace_substring_regex(column, _MARKS, r"\1 \2"))
+        split = pc.ascii_split_whitespace(column)
         offsets = np.asarray(split.offsets)
         words = split.flatten().dictionary_encode()
         known = self._words(words.dictionary.to_pylist())
