@@ -1,20 +1,7 @@
-"""The block-wise nearest-neighbour kernel and the directions of the approximate join."""
+"""The block-wise nearest-neighbour kernel."""
 
 from __future__ import annotations
 
-import math
-
-
-def planes(tables: int, bits: int, dims: int) -> list[list[list[float]]]:
-    """Fixed pseudo-random directions: table x bit x dimension."""
-    return [
-        [
-            [round(math.cos(1.0 + 12.9898 * i * (b + 1) + 78.233 * (t * bits + b)), 6) for i in range(dims)]
-            for b in range(bits)
-        ]
-        for t in range(tables)
-    ]
-
 
 def block_kernel(k: int, metric: str, chunk: int = 64):
     """``best(query ids, query matrix, ids, matrix)``: k nearest rows per query.

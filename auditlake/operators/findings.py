@@ -6,11 +6,11 @@ import datetime as dt
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import (
-    RISK_RANK, count_if, mean_of, as_double, no_rows, ratio, resolve_as_of, risk_rank, ts_lit,
+    RISK_RANK, as_datetime, as_double, count_if, mean_of, no_rows, ratio, risk_rank, ts_lit,
 )
 from auditlake.operators import integrity, statistical, temporal, transactions
 
@@ -86,7 +86,22 @@ def _finding(table: str, kind: str, columns: list[str], risk: Column | str, rows
     )
 
 
-def _scan_findings(name: str, t: Roles) -> DataFrame | None:
+def _first_look(t: Roles) -> tuple[Roles, dict[str, tuple[float | None, float | None]]]:
+    """What the verdicts are measured by, in one scan: the last time, and the moments of the measures."""
+    kinds = [F.lit(1).alias("_one")]
+    now = t.ts or t.created
+    if now and t.as_of is None:
+        kinds.append(F.max(now).alias("_now"))
+    for i, c in enumerate(t.measures):
+        kinds += [F.avg(c).alias(f"_m{i}"), F.nullif(F.stddev_samp(c), F.lit(0.0)).alias(f"_s{i}")]
+    row = t.df.agg(*kinds).first().asDict() if len(kinds) > 1 else {}
+    if now:
+        last = t.as_of if t.as_of is not None else row["_now"]
+        t = replace(t, as_of=None if last is None else as_datetime(last))
+    return t, {c: (row[f"_m{i}"], row[f"_s{i}"]) for i, c in enumerate(t.measures)}
+
+
+def _scan_findings(name: str, t: Roles, moments: dict[str, tuple[float | None, float | None]]) -> DataFrame | None:
     """Every verdict that is a sum over rows: one aggregate, one scan."""
     aggs: list[Column] = []
     out: list[Column] = []
@@ -177,6 +192,12 @@ def _scan_findings(name: str, t: Roles) -> DataFrame | None:
                 _finding(name, "critical_field_allows_null", [c], "medium", F.col(f"_null{i}"), none),
             )
         )
+    real = lambda x: F.lit(None if x is None else float(x)).cast("double")
+    aggs += statistical.outlier_counts(t.measures, [real(moments[c][0]) for c in t.measures], [real(moments[c][1]) for c in t.measures])
+    for i, c in enumerate(t.measures):
+        z = F.col(f"_z{i}")
+        risk = statistical.outlier_risk(z["outlier_count"], z["total_count"])
+        out.append(F.when(risk != "none", _finding(name, "statistical_outliers", [c], risk, z["outlier_count"], z["max_z_score"])))
     if not out:
         return None
     return df.agg(*aggs).select(F.inline(F.array_compact(F.array(*out))))
@@ -207,35 +228,13 @@ def _group_findings(name: str, t: Roles) -> list[DataFrame]:
         frames.append(count_rows(integrity.cycles(t.df, t.key[0], t.ref), "circular_references", [t.key[0], t.ref], "medium"))
     if t.key:
         frames.append(count_rows(integrity.key_violations(t.df, t.key), "duplicate_key", t.key, "high"))
-    if t.measures:
-        odd = statistical.zscore_summary(t.df, t.measures)
-        for c in t.measures:
-            hit = odd.filter(F.col("column_name") == c) if len(t.measures) > 1 else odd
-            frames.append(
-                hit.select(
-                    F.inline(
-                        F.array(
-                            _finding(
-                                name, "statistical_outliers", [c], F.col("risk_level"),
-                                F.col("outlier_count"), F.col("max_z_score"),
-                            )
-                        )
-                    )
-                )
-            )
-    for column, parent_name, parent, key in t.fks:
-        lost = integrity.orphan_counts(name, t.df, [(column, parent_name, parent, key)])
-        frames.append(
-            lost.filter(F.col("orphan_count") > 0).select(
-                F.inline(
-                    F.array(
-                        _finding(
-                            name, "orphaned_records", [column], F.col("risk_level"), F.col("orphan_count"), none
-                        )
-                    )
-                )
-            )
-        )
+    if t.fks:
+        lost = integrity.orphan_counts(name, t.df, t.fks)
+        hits = [
+            F.when(F.col("child_column") == c, _finding(name, "orphaned_records", [c], F.col("risk_level"), F.col("orphan_count"), none))
+            for c in dict.fromkeys(column for column, *_ in t.fks)
+        ]
+        frames.append(lost.filter(F.col("orphan_count") > 0).select(F.inline(F.array_compact(F.array(*hits)))))
     return frames
 
 
@@ -245,12 +244,18 @@ def findings(
     min_confidence: float = MIN_CONFIDENCE,
     min_risk: str = MIN_RISK,
 ) -> DataFrame:
-    """Run the detectors each table has roles for; one row per verdict that fires."""
+    """Run the detectors each table has roles for; one row per verdict that fires.
+
+    A table is read twice for all verdicts on single rows and values (what they are
+    measured by, then the verdicts), once for all its references, and once for
+    each verdict on groups.
+    """
+    if not tables:
+        return no_rows(SparkSession.active().range(0), FINDING)
     frames = []
     for name, t in tables.items():
-        if t.ts or t.created:
-            t = replace(t, as_of=resolve_as_of(t.df, t.ts or t.created, t.as_of))
-        scan = _scan_findings(name, t)
+        t, moments = _first_look(t)
+        scan = _scan_findings(name, t, moments)
         frames += ([scan] if scan is not None else []) + _group_findings(name, t)
     if not frames:
         return no_rows(next(iter(tables.values())).df, FINDING)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.exprs import count_if, as_double, ratio
+from auditlake.functions.exprs import count_if, as_double, melt, ratio
+from auditlake.functions.membership import holds, memberships
 from auditlake.operators.profile import missing_values
 from auditlake.session import materialize
 
@@ -38,31 +39,34 @@ def permissive_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
     return critical_nulls(df, cols).filter(F.col("null_count") > 0).withColumn("risk_level", F.lit("medium"))
 
 
-def _orphan_counts(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    # One row per distinct child value: a hot value weighs nothing in the join.
-    values = (
-        child.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    lost = values.join(parent.select(F.col(key).alias("_v")), "_v", "left_anti")
-    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("orphan_count"))
-
-
 def orphan_counts(
     child_name: str, child: DataFrame, fks: list[tuple[str, str, DataFrame, str]]
 ) -> DataFrame:
-    """Orphans per foreign key ``(column, parent name, parent, parent key)``, with severity."""
+    """Orphans per foreign key ``(column, parent name, parent, parent key)``, with severity.
+
+    The child is read once for all its keys, and so is each parent; a null is no orphan.
+    """
+    tables, columns, ends = {"child": child}, [], []
+    for column, _, parent, key in fks:
+        same = next((n for n, df in tables.items() if df is parent and n != "child"), None)
+        name = same or f"parent{len(tables)}"
+        tables[name] = parent
+        ends.append((("child", column), (name, key)))
+        columns += [c for c in ends[-1] if c not in columns]
+    place = {c: i for i, c in enumerate(columns)}
+    lost = [
+        F.coalesce(F.sum(F.when(holds(place[a]) & ~holds(place[b]), F.col(f"_n{place[a]}"))), F.lit(0)).cast("bigint").alias(f"_l{i}")
+        for i, (a, b) in enumerate(ends)
+    ]
     rows = [
-        _orphan_counts(child, column, parent, key).select(
-            F.lit(child_name).alias("child_table"),
-            F.lit(column).alias("child_column"),
-            F.lit(parent_name).alias("parent_table"),
-            "orphan_count",
+        F.struct(
+            F.lit(child_name).alias("child_table"), F.lit(column).alias("child_column"), F.lit(parent_name).alias("parent_table"),
+            F.col(f"_l{i}").alias("orphan_count"),
         )
-        for column, parent_name, parent, key in fks
+        for i, (column, parent_name, *_) in enumerate(fks)
     ]
-    return reduce(DataFrame.unionByName, rows).withColumn(
+    counted = melt(memberships(tables, columns, {place[a] for a, _ in ends}).agg(*lost), rows)
+    return counted.withColumn(
         "risk_level",
         F.when(F.col("orphan_count") == 0, "none")
         .when(F.col("orphan_count") < ORPHANS_HIGH, "medium")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import as_double, no_rows, ratio
+from auditlake.functions.exprs import as_double, count_if, melt, no_rows, ratio
+from auditlake.functions.membership import holds, memberships
 from auditlake.operators.integrity import is_reference_like
 
 NAME_CONFIDENCE = 0.8  # fixed value: confidence of a match by name alone
@@ -67,36 +68,42 @@ RELATIONSHIP = (
 
 
 def discover_relationships(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
-    """Candidate links with the share of child values the parent holds."""
-    first = next(iter(tables.values()))
-    spark = first.sparkSession
-    rows = []
-    for name, column, parent, key in candidate_pairs(tables, keys):
-        checked = (
-            spark.range(1).select(
-                F.lit(None).cast("bigint").alias("child_values"),
-                F.lit(None).cast("bigint").alias("matched_values"),
-                F.lit(None).cast("double").alias("inclusion_ratio"),
-            )
-            if parent is None
-            else inclusion(tables[name], column, tables[parent], key)
-        )
+    """Candidate links with the share of child values the parent holds.
+
+    All candidates are checked together: each table is read once, and one shuffle
+    brings equal values of all columns together.
+    """
+    pairs = candidate_pairs(tables, keys)
+    if not pairs:
+        return no_rows(next(iter(tables.values())), RELATIONSHIP)
+    linked = [p for p in pairs if p[2] is not None]
+    columns = list(dict.fromkeys([(t, c) for t, c, *_ in linked] + [(p, k) for *_, p, k in linked]))
+    place = {c: i for i, c in enumerate(columns)}
+    none = lambda kind: F.lit(None).cast(kind)
+    aggs, rows = [F.lit(1).alias("_one")], []
+    for n, (name, column, parent, key) in enumerate(pairs):
+        values = matched = none("bigint")
+        if parent is not None:
+            child, known = place[name, column], place[parent, key]
+            aggs += [count_if(holds(child)).alias(f"_a{n}"), count_if(holds(child) & holds(known)).alias(f"_b{n}")]
+            values, matched = F.col(f"_a{n}"), F.col(f"_b{n}")
+        share = as_double(ratio(matched, values)) if parent is not None else none("double")
         rows.append(
-            checked.select(
+            F.struct(
                 F.lit(name).alias("source_table"),
                 F.lit(column).alias("source_column"),
                 F.lit(parent).cast("string").alias("target_table"),
                 F.lit(key).cast("string").alias("target_column"),
                 F.lit(NAME_CONFIDENCE if parent else None).cast("double").alias("confidence"),
-                "child_values",
-                "matched_values",
-                "inclusion_ratio",
-                F.coalesce(F.col("inclusion_ratio") == 1.0, F.lit(False)).alias("verified"),
+                values.alias("child_values"),
+                matched.alias("matched_values"),
+                share.alias("inclusion_ratio"),
+                F.coalesce(share == 1.0, F.lit(False)).alias("verified"),
             )
         )
-    if not rows:
-        return no_rows(first, RELATIONSHIP)
-    return reduce(DataFrame.unionByName, rows)
+    if not linked:
+        return melt(next(iter(tables.values())).sparkSession.range(1), rows)
+    return melt(memberships(tables, columns).agg(*aggs), rows)
 
 
 def _key_counts(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -142,6 +149,8 @@ def unique_keys(tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> Dat
                 F.lit(name).alias("table_name"), (F.col("_bad") == 0).alias("key_verified")
             )
         )
+    if not rows:
+        return no_rows(SparkSession.active().range(0), "table_name string, key_verified boolean")
     return reduce(DataFrame.unionByName, rows)
 
 

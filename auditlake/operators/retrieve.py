@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.functions.vectors import block_kernel, planes
+from auditlake.functions.exprs import no_rows
+from auditlake.functions.inverted import learn, list_order, nearest_lists
+from auditlake.functions.vectors import block_kernel
+from auditlake.session import materialize
 
 # More queries than this are not held by every task; they are joined in blocks instead.
 QUERY_ROWS_IN_TASK = 4096
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 20_000
+#: Lists of an inverted file: the root of the corpus, up to this many.
+MOST_LISTS = 16_384
+#: Queries whose true neighbours tell how many lists to visit, and the share of them to be found.
+CALIBRATING, PERCENT_FOUND = 256, 95
 
 
 def knn(
@@ -192,47 +201,49 @@ def ann_join(
     qemb: str = "embedding",
     cemb: str = "embedding",
     metric: str = "cosine",
-    tables: int = 4,
-    bits: int = 3,
+    lists: int | None = None,
+    probes: int | None = None,
+    percent: int = PERCENT_FOUND,
     qblock: int = QUERY_BLOCK,
     cblock: int = CORPUS_BLOCK,
 ) -> DataFrame:
-    """Approximate k nearest rows: only rows on the same side of random planes are compared.
-
-    Candidates agree with the query in all bits of at least one table;
-    ``tables * 2**bits`` buckets in all.
+    """Approximate k nearest rows from an inverted file: a query is compared with the rows of its nearest lists.
+
+    Every corpus row is in the list of its nearest centroid; the centroids are
+    learnt on a bounded sample (``inverted.learn``). There are as many lists as the
+    root of the corpus, ``MOST_LISTS`` at most, and larger lists are cut into
+    blocks. How many lists a query visits is measured unless ``probes`` says it:
+    so many that ``percent`` of the true neighbours of up to ``CALIBRATING`` queries
+    are found. Vectors of other dimensions, and such as have no direction (zero,
+    or not finite), are nobody's neighbours.
     """
     left, right = _sides(queries, corpus, qid, cid, qemb, cemb)
+    usable = (F.size("vec") == dims) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if metric == "cosine":
+        usable &= F.exists("vec", lambda x: x != 0)
+    left, right = left.filter(usable), right.filter(usable)
+    rows = right.count()
+    lists = lists or min(MOST_LISTS, max(1, math.ceil(math.sqrt(rows))))
+    centres = learn(right, lists, rows, metric)
+    if not len(centres):
+        return no_rows(queries, RESULT + ", place bigint")
+    probes = min(probes or _measured(left, right, centres, k, metric, percent), len(centres))
+    # Read by the plan twice: the sizes of the lists, and their rows.
+    placed = materialize(nearest_lists(right, "item_id", centres, metric, 1))
+    pairs = _in_blocks(nearest_lists(left, "query_id", centres, metric, probes), placed, k, metric, qblock, cblock)
+    return _closest(pairs, k)
 
-    directions = [d for table in planes(tables, bits, dims) for d in table]
-
-    def marker(key: str):
-        def mark(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            lines = np.array(directions)
-            weights, offsets = 1 << np.arange(bits), np.arange(tables) << bits
-            for batch in batches:
-                n = batch.num_rows
-                vectors = batch.column("vec")
-                m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
-                side = (m @ lines.T >= 0).reshape(n, tables, bits)
-                bucket = ((side * weights).sum(axis=2) + offsets).ravel()
-                again = pa.array(np.repeat(np.arange(n), tables))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).take(again), vectors.take(again), pa.array(bucket.astype("int32"))],
-                    names=[key, "vec", "bucket"],
-                )
-
-        return mark
-
-    def bucketed(df: DataFrame, key: str) -> DataFrame:
-        fitting = df.filter(F.size("vec") == dims)
-        return fitting.mapInArrow(marker(key), f"{key} bigint, vec array<double>, bucket int")
-
-    pairs = _in_blocks(
-        bucketed(left, "query_id"), bucketed(right, "item_id"), k, metric, qblock, cblock
-    )
-    once = pairs.groupBy("query_id", "item_id").agg(F.min("distance").alias("distance"))
-    return _closest(once, k)
+
+def _measured(left: DataFrame, right: DataFrame, centres, k: int, metric: str, percent: int) -> int:
+    """The lists to visit, so that ``percent`` of the neighbours of some queries are found: at most ``CALIBRATING`` of them."""
+    some = materialize(left.orderBy(F.md5(F.col("query_id").cast("string")), "query_id").limit(CALIBRATING))
+    if some.isEmpty():
+        return 1
+    # At most CALIBRATING * k rows from here on.
+    true = materialize(_closest(_in_task(some, right, k, metric), k))
+    wanted = F.broadcast(true.select("item_id").distinct())
+    held = nearest_lists(right.join(wanted, "item_id", "left_semi"), "item_id", centres, metric, 1)
+    homes = {r["item_id"]: r["bucket"] for r in held.select("item_id", "bucket").collect()}
+    order = {r["query_id"]: list_order(r["vec"], centres, metric) for r in some.collect()}
+    ranks = sorted(order[r["query_id"]].index(homes[r["item_id"]]) + 1 for r in true.collect())
+    return ranks[(percent * len(ranks) + 99) // 100 - 1] if ranks else 1

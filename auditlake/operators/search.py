@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import as_double
-from auditlake.functions.text import GRAM, contains_any, containment_pairs, hit_count
+from auditlake.functions.substrings import MOST_CHARACTERS, occurrences
+from auditlake.functions.text import contains_any, hit_count
 
 # Stop words of the two keyword extractors.
 QUERY_STOP_WORDS = [
@@ -27,7 +28,7 @@ ENTITY_NAME, ENTITY_COLUMN, ENTITY_DESCRIPTION, ATTRIBUTE_COLUMN, ENTITY_BONUS =
 BONUS_ENTITIES = ["customer", "product", "order", "employee", "payment"]
 SELECT_ABOVE, SELECT_REST, CONFIDENCE_CAP = 0.3, 3, 0.8
 MENTION_LIMIT, INDEX_LIMIT, INDEX_MIN = 3, 10, 1
-NAMES_IN_PLAN = 200
+CONTAINED_FROM = 4  # fixed value: letters of a name that may be part of another
 
 
 def contains_search(df: DataFrame, fields: list[str], q: str, key: str, any_word: bool = False) -> DataFrame:
@@ -156,7 +157,9 @@ def concept_select(df: DataFrame, concepts: dict[str, list[str]], key: str) -> D
     return chosen.withColumn("confidence", as_double(F.least(F.lit(CONFIDENCE_CAP), mean)))
 
 
-def match_names(left: DataFrame, name: str, right: DataFrame, other: str, ordinal: str) -> DataFrame:
+def match_names(
+    left: DataFrame, name: str, right: DataFrame, other: str, ordinal: str, most: int = MOST_CHARACTERS
+) -> DataFrame:
     """The known name for each given one: the exact one, else the first (by ordinal) that
     is equal but for case or contains the other, when the contained one has over 3 letters."""
     given = left.select(F.col(name).alias("given")).distinct()
@@ -170,9 +173,10 @@ def match_names(left: DataFrame, name: str, right: DataFrame, other: str, ordina
     first = known.groupBy(F.lower("known").alias("_r")).agg(F.min(F.struct("_ord", "known")).alias("_first"))
     texts = first.select("_r")
     equal = lows.join(texts, F.col("_l") == F.col("_r")).select("_l", "_r")
+    long = lambda df, c: df.filter(F.length(c) >= CONTAINED_FROM).withColumn("_p", F.col(c))
     # Pairs stream into the minimum; they are never collected or made distinct.
-    pairs = equal.unionByName(containment_pairs(lows, "_l", texts, "_r")).unionByName(
-        containment_pairs(texts, "_r", lows, "_l").select("_l", "_r")
+    pairs = equal.unionByName(occurrences(texts, ["_r"], "_r", long(lows, "_l"), "_l", "_p", most=most)).unionByName(
+        occurrences(lows, ["_l"], "_l", long(texts, "_r"), "_r", "_p", most=most)
     )
     best = pairs.join(first, "_r").groupBy("_l").agg(F.min("_first").alias("_first"))
     loose = open_names.join(best, "_l").select(
@@ -266,41 +270,16 @@ def link_summary(edges: DataFrame, keep: DataFrame, source: str, target: str, na
 
 
 def mentions(
-    texts: DataFrame, key: str, text: str, names: DataFrame, name: str, n: int = MENTION_LIMIT,
-    in_plan: int = NAMES_IN_PLAN,
+    texts: DataFrame, key: str, text: str, names: DataFrame, name: str, n: int = MENTION_LIMIT, most: int = MOST_CHARACTERS
 ) -> DataFrame:
     """The first n names (in order) that occur in each text, ignoring case.
 
-    A short list of names rides in the plan and needs no shuffle; a long one is
-    joined through rare substrings.
+    All names are looked for at once while the texts are read; a task passes on n
+    names per text. Texts with the same key count as one.
     """
-    wanted = names.select(F.col(name).alias("name")).filter(F.length("name") > 0).distinct()
-    few = wanted.limit(in_plan + 1).collect()
-    if len(few) <= in_plan:
-        listed = sorted((r["name"] for r in few), key=str.encode)
-        lowered = texts.select(key, F.lower(F.col(text)).alias("_low"))
-        marks = [F.when(F.col("_low").contains(F.lower(F.lit(w))), F.lit(w)) for w in listed]
-        found = F.slice(F.array_compact(F.array(*marks)), 1, n) if marks else F.array().cast("array<string>")
-        return lowered.select(key, F.posexplode(found).alias("place", "name")).select(
-            key, "name", (F.col("place") + 1).cast("bigint").alias("place")
-        )
-    lows = wanted.select("name", F.lower("name").alias("_l"))
+    wanted = names.select(F.col(name).alias("name")).distinct().withColumn("_l", F.lower("name"))
     bodies = texts.select(key, F.lower(F.col(text)).alias("_text"))
-    long_pairs = containment_pairs(lows.select("_l").distinct(), "_l", bodies, key, "_text")
-    # Names too short for the lookup have few distinct spellings: match them piece by piece.
-    short = lows.filter(F.length("_l") < GRAM).select("_l").distinct()
-
-    def pieces_of(size: int) -> Column:
-        spots = F.sequence(F.lit(1), F.greatest(F.length("_text") - (size - 1), F.lit(1)))
-        return F.transform(spots, lambda i: F.substring(F.col("_text"), i, F.lit(size)))
-
-    pieces = [pieces_of(size) for size in range(1, GRAM)]
-    short_pairs = (
-        bodies.select(key, F.explode(F.array_distinct(F.flatten(F.array(*pieces)))).alias("_l"))
-        .join(short, "_l", "left_semi")
-        .select("_l", key)
-    )
-    pairs = long_pairs.unionByName(short_pairs).join(lows, "_l")
+    pairs = occurrences(bodies, [key], "_text", wanted, "name", "_l", n, most).distinct()
     place = F.row_number().over(Window.partitionBy(key).orderBy("name"))
     top = pairs.withColumn("place", place).filter(F.col("place") <= n)
     return top.select(key, "name", F.col("place").cast("bigint").alias("place"))

@@ -84,15 +84,11 @@ def _spread(df: DataFrame, cols: list[str]) -> Column:
     return df.agg(F.struct(*parts)).scalar()
 
 
-def zscore_summary(df: DataFrame, cols: list[str], flagged_only: bool = True) -> DataFrame:
-    """Outlier count, largest score, outlier range and share per column.
-
-    Two scans for any number of columns: one for the moments, one for the outliers.
-    """
-    spread = _spread(df, cols)
+def outlier_counts(cols: list[str], mean: list[Column], deviation: list[Column]) -> list[Column]:
+    """Aggregates ``_z0``, ``_z1`` ...: outliers per column, given its mean and its deviation (null if there is none)."""
     aggs = []
     for i, c in enumerate(cols):
-        z = F.abs(F.col(c) - spread[f"m{i}"]) / spread[f"s{i}"]
+        z = F.abs(F.col(c) - mean[i]) / deviation[i]
         out = z > Z_LIMIT
         aggs.append(
             F.struct(
@@ -102,15 +98,32 @@ def zscore_summary(df: DataFrame, cols: list[str], flagged_only: bool = True) ->
                 F.min(F.when(out, F.col(c))).cast("double").alias("min_value"),
                 F.max(F.when(out, F.col(c))).cast("double").alias("max_value"),
                 F.count(c).alias("total_count"),
-            ).alias(f"_{i}")
+            ).alias(f"_z{i}")
         )
-    rows = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cols))])))
+    return aggs
+
+
+def outlier_risk(outliers: Column, total: Column) -> Column:
+    percent = F.coalesce(ratio(outliers * 100, total), F.lit(0.0))
+    return (
+        F.when((outliers <= OUTLIER_MIN_ROWS) | (percent <= OUTLIER_MIN_PERCENT), "none")
+        .when(percent < OUTLIER_HIGH_PERCENT, "medium")
+        .otherwise("high")
+    )
+
+
+def zscore_summary(df: DataFrame, cols: list[str], flagged_only: bool = True) -> DataFrame:
+    """Outlier count, largest score, outlier range and share per column.
+
+    Two scans for any number of columns: one for the moments, one for the outliers.
+    """
+    spread = _spread(df, cols)
+    places = range(len(cols))
+    aggs = outlier_counts(cols, [spread[f"m{i}"] for i in places], [spread[f"s{i}"] for i in places])
+    rows = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"_z{i}") for i in places])))
     percent = F.coalesce(ratio(F.col("outlier_count") * 100, F.col("total_count")), F.lit(0.0))
     judged = rows.withColumn("outlier_percent", as_double(percent)).withColumn(
-        "risk_level",
-        F.when((F.col("outlier_count") <= OUTLIER_MIN_ROWS) | (percent <= OUTLIER_MIN_PERCENT), "none")
-        .when(percent < OUTLIER_HIGH_PERCENT, "medium")
-        .otherwise("high"),
+        "risk_level", outlier_risk(F.col("outlier_count"), F.col("total_count"))
     )
     return judged.filter(F.col("risk_level") != "none") if flagged_only else judged
 

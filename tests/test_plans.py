@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from auditlake.operators.findings import Roles, findings
 
 QUERIES = entry.queries()
 
@@ -51,3 +52,25 @@ def test_only_needed_columns_are_read(spark, sf_dir, key, columns):
 @pytest.mark.parametrize("key", ["b3_top_k", "d6b_off_hours", "d16_zscore_rows", "h10_keep_last"])
 def test_top_k_does_not_sort_everything(spark, sf_dir, key):
     assert "TakeOrderedAndProject" in plan(QUERIES[key](spark, sf_dir))
+
+
+def scans(df) -> int:
+    return len(re.findall(r"(?m)^.*Scan parquet", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_each_table_is_read_once_for_all_its_links(spark, sf_dir):
+    df = QUERIES["e1_discover_relationships"](spark, sf_dir)
+    assert scans(df) == len({"region", "nation", "customer", "supplier", "part", "orders", "documents", "lineitem", "labels"})
+    # Three references of one table and one of another, with their parents.
+    assert scans(QUERIES["d19_orphan_counts"](spark, sf_dir)) == 6
+
+
+def test_findings_read_a_table_once_for_all_row_verdicts(spark, sf_dir):
+    """The first look is a job of its own; here are the verdicts: one scan, one a group verdict, one for all references."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    roles = Roles(
+        lines, amount="l_extendedprice", ts="l_shipdate", measures=["l_quantity", "l_tax", "l_discount"], audit=["l_tax"], critical=["l_tax"],
+        fks=[("l_partkey", "part", parts, "p_partkey"), ("l_suppkey", "part", parts, "p_partkey")], duplicate_of=["l_quantity", "l_shipdate"],
+    )
+    assert scans(findings({"lineitem": roles})) == 1 + 1 + 2

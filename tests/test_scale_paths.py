@@ -10,7 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.ordering import exact_quantiles, next_value, prefix_sums
-from auditlake.functions.text import containment_pairs
+from auditlake.functions import inverted
+from auditlake.functions.substrings import occurrences
 from auditlake.operators import charts, fingerprint, profile, retrieve, search
 from auditlake.operators import query as q
 from auditlake.sources.tables import load
@@ -156,14 +157,47 @@ def test_knn_skips_unusable_vectors(spark):
     assert [r["id"] for r in retrieve.knn(df, [1.0, 0.0], 9, key="id").collect()] == [1]
 
 
-def test_ann_recall(spark, sf_dir):
-    df = load(spark, sf_dir, "embeddings")
-    exact = retrieve.knn_join(df, df, 5, "vec_id", "vec_id").select("query_id", "item_id")
-    near = retrieve.ann_join(df, df, 5, "vec_id", "vec_id", 64, tables=8, bits=3, qblock=64, cblock=100)
-    hits = near.select("query_id", "item_id").intersect(exact).count()
-    assert hits / exact.count() > 0.6
-    own = near.filter("query_id = item_id AND place = 1 AND distance = 0").count()
-    assert own == df.count()
+def recall(near, exact):
+    return near.select("query_id", "item_id").intersect(exact.select("query_id", "item_id")).count() / exact.count()
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_ann_recall_at_its_defaults(spark, sf):
+    """Every twentieth vector against all rows; the vectors of these tables have little structure."""
+    df = load(spark, f"/root/testdata/sf{sf}", "embeddings")
+    some = df.filter("vec_id % 20 = 0")
+    exact = retrieve.knn_join(some, df, 5, "vec_id", "vec_id")
+    near = retrieve.ann_join(some, df, 5, "vec_id", "vec_id", 64)
+    assert recall(near, exact) >= 0.9
+    assert near.filter("query_id = item_id AND place = 1 AND distance = 0").count() == some.count()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_ann_compares_few_pairs_where_vectors_cluster(spark, metric):
+    """Compared pairs per query grow with the root of the rows, and one list may hold most rows."""
+    rng = np.random.default_rng(9)
+    visited = []
+    for n in (900, 3600):
+        middle = rng.normal(size=(int(n**0.5), 8)) * 4
+        of = np.where(rng.random(n) < 0.3, 0, rng.integers(0, len(middle), n))
+        points = middle[of] + rng.normal(size=(n, 8)) * 0.1
+        rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(-1, [0.0] * 8), (-2, None), (-3, [float("nan")] * 8), (-4, [1.0])]
+        df = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+        some = df.filter("id % 30 = 0 OR id < 0")
+        near = retrieve.ann_join(some, df, 4, "id", "id", 8, metric=metric, qblock=16, cblock=100)
+        exact = retrieve.knn_join(some.filter("id >= 0"), df.filter("id >= 0"), 4, "id", "id", metric=metric)
+        assert recall(near, exact) >= 0.9
+        left, right = (x.select(F.col("id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vec")).filter("id >= 0") for x in (some, df))
+        centres = inverted.learn(right, int(n**0.5), n, metric)
+        probes = retrieve._measured(left.withColumnRenamed("item_id", "query_id"), right, centres, 4, metric, 95)
+        visited.append(probes / len(centres))
+    assert visited[1] < 0.3 and visited[1] <= visited[0]
+
+
+def test_ann_join_of_nothing(spark):
+    df = spark.createDataFrame([], "id bigint, embedding array<float>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, embedding array<float>")
+    assert retrieve.ann_join(one, df, 2, "id", "id", 2).count() == 0 and retrieve.ann_join(df, one, 2, "id", "id", 2).count() == 0
 
 
 def words(seed, n, lo, hi):
@@ -171,22 +205,35 @@ def words(seed, n, lo, hi):
     return sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(lo, hi))) for _ in range(n)})
 
 
-def test_containment_pairs(spark):
-    needles, hay = words(1, 80, 4, 6), words(2, 60, 3, 30)
-    got = containment_pairs(
-        spark.createDataFrame([(w,) for w in needles], "n string"), "n",
-        spark.createDataFrame([(w,) for w in hay], "h string"), "h",
-    )
-    want = {(a, b) for a in needles for b in hay if a in b}
-    assert want and {tuple(r) for r in got.collect()} == want
+@pytest.mark.parametrize("most", [10**6, 60])
+def test_occurrences(spark, most):
+    """One automaton, and many small ones."""
+    needles, hay = words(1, 80, 1, 6), words(2, 60, 3, 30)
+    names = spark.createDataFrame([(w, w) for w in needles] + [("none", None), ("empty", "")], "n string, p string")
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(hay)] + [(-1, None), (-2, "")], "h bigint, t string")
+    got = occurrences(rows, ["h"], "t", names, "n", "p", most=most).collect()
+    want = {(i, a) for a in needles for i, b in enumerate(hay) if a in b}
+    assert want and len(got) == len(want) and {tuple(r) for r in got} == want
+    assert occurrences(rows, ["h"], "t", names.filter("n = 'none'"), "n", "p").count() == 0
+
+
+def test_a_name_in_every_text(spark):
+    """A common name is found once per text and makes no group of its own."""
+    texts = spark.range(20_000).select("id", F.concat(F.lit("the the "), F.col("id").cast("string")).alias("t"))
+    names = spark.createDataFrame([("THE",), ("the",), ("199",), ("x",)], "name string")
+    out = search.mentions(texts, "id", "t", names, "name", n=2)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.groupBy("name").count().orderBy("name").collect() == [
+        ("199", sum("199" in str(i) for i in range(20_000))), ("THE", 20_000), ("the", sum("199" not in str(i) for i in range(20_000))),
+    ]
 
 
-@pytest.mark.parametrize("in_plan", [1000, 0])
-def test_mentions(spark, in_plan):
+@pytest.mark.parametrize("most", [10**6, 20])
+def test_mentions(spark, most):
     names, texts = words(3, 30, 1, 6), words(4, 40, 2, 40)
     out = search.mentions(
         spark.createDataFrame(list(enumerate(texts)), "id bigint, t string"), "id", "t",
-        spark.createDataFrame([(n.upper(),) for n in names], "name string"), "name", in_plan=in_plan,
+        spark.createDataFrame([(n.upper(),) for n in names], "name string"), "name", most=most,
     )
     want = {
         (i, n.upper(), p + 1)
@@ -206,12 +253,13 @@ def match_one(name, known):
     return None
 
 
-def test_match_names(spark):
+@pytest.mark.parametrize("most", [10**6, 50])
+def test_match_names(spark, most):
     known = [w.upper() if i % 3 else w for i, w in enumerate(words(5, 40, 2, 9))]
     given = words(6, 60, 2, 9) + known[:5]
     got = search.match_names(
         spark.createDataFrame([(g,) for g in given], "g string"), "g",
-        spark.createDataFrame(list(enumerate(known)), "o bigint, k string"), "k", "o",
+        spark.createDataFrame(list(enumerate(known)), "o bigint, k string"), "k", "o", most=most,
     )
     want = {(g, match_one(g, known)) for g in given if match_one(g, known)}
     assert {(r["given"], r["known"]) for r in got.collect()} == want
