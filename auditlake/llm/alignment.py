@@ -19,17 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from auditlake.llm.common import batches, write_once
-from auditlake.llm.vocabularies import BYTE_LEVEL, PIECES, ByteLevel, SentencePieces, loaded, parts
+from auditlake.llm.vocabularies import BYTE_LEVEL, PIECES, ByteLevel, SentencePieces, loaded
 
 #: Bytes of text in a block of documents, a longer document being a block of its own.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 6 << 20
+#: Characters of a unit that is encoded together with others.
+SHORT = 200
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
+_LINKS = ("pair_ends", "pair_at", "times", "ends", "at")
+#: A space behind one of these parts two units, for a while marked by a character that texts hardly hold.
+_BEFORE_CUT, _CUT_MARK = r"([\p{L}\p{N}!-~]) ", "\x00"
 
 
 def coalesce(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -49,7 +55,12 @@ def overlaps(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
 
 
 class Aligner:
-    """Two vocabularies with the byte lengths and the decimal spellings of their ids."""
+    """Two vocabularies with the byte lengths and the decimal spellings of their ids.
+
+    Both tokenizers begin a token at a single space behind a letter, digit or mark,
+    so texts fall apart there into units that no token and no group crosses. The
+    distinct units of a block are encoded and aligned once.
+    """
 
     def __init__(self, a: str = BYTE_LEVEL, b: str = PIECES) -> None:
         self.a, self.b = loaded(ByteLevel, a), loaded(SentencePieces, b)
@@ -59,65 +70,140 @@ class Aligner:
         spelled = lambda n, mark: [b"%d%s" % (i, mark) for i in range(n)]
         self.decimals = spelled(self.size_a, b",") + spelled(self.size_a, b"|") + spelled(self.size_b, b",") + spelled(self.size_b, b";")
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides, or none if one of them does not spell a space and the text."""
-        found_a, found_b = [], []
-        for part in parts(text) if text else []:
-            want = b" " + part.encode()
-            a, b = self.a.encode(" " + part), self.b.encode(part)
-            for ids, spelling in ((a, self.a.spelling), (b, self.b.spelling)):
-                if b"".join(map(spelling.__getitem__, ids.tolist())) != want:
-                    return np.empty(0, np.int64), np.empty(0, np.int64)
-            found_a.append(a)
-            found_b.append(b)
-        if not found_a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(found_a).astype(np.int64), np.concatenate(found_b).astype(np.int64)
-
-    def align(self, texts: list[str | None]) -> dict:
+    def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct units, the units of all texts in a row as places in that list, and where each text ends."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        holding = pc.match_substring(texts, _CUT_MARK)
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.if_else(holding, "", texts), _BEFORE_CUT, "\\1" + _CUT_MARK), _CUT_MARK)
+        offsets = np.asarray(cut.offsets)
+        coded = cut.flatten().dictionary_encode()
+        units, at = coded.dictionary.to_pylist(), np.array(coded.indices)
+        for i in np.flatnonzero(np.asarray(holding)).tolist():  # a text that holds the mark itself is one unit
+            at[offsets[i] - offsets[0]] = len(units)
+            units.append(texts[i].as_py())
+        ends = offsets[1:] - offsets[0]
+        # A space that ends a text parts nothing: it goes back to the unit before it.
+        nothing = np.array([not u for u in units], bool)
+        tails = ends[(np.diff(ends, prepend=0) > 1) & nothing[at[ends - 1]]] - 1 if len(ends) else ends
+        joined: dict[str, int] = {}
+        for i in tails.tolist():
+            unit = units[at[i - 1]] + " "
+            at[i - 1] = joined.setdefault(unit, len(units))
+            if at[i - 1] == len(units):
+                units.append(unit)
+        kept = np.ones(len(at), bool)
+        kept[tails] = False
+        return units, at[kept], ends - np.searchsorted(tails, ends)
+
+    def _spells(self, vocabulary, ids: np.ndarray, text: str) -> bool:
+        return b"".join(map(vocabulary.spelling.__getitem__, ids.tolist())) == text.encode()
+
+    def _together(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Per side the ids of units that end in no blank and the ids per unit; none if they cannot be told apart."""
+        text = " ".join(units)
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        out = []
+        for vocabulary, sizes, ids in ((self.a, self.bytes_a, self.a.encode_short(" " + text)), (self.b, self.bytes_b, self.b.encode(text))):
+            stops = np.cumsum(sizes[ids])
+            last = np.searchsorted(stops, ends)
+            if not len(stops) or stops[-1] != ends[-1] or (stops[last] != ends).any() or not self._spells(vocabulary, ids, " " + text):
+                return None
+            out.append((ids.astype(np.int64), np.diff(last, prepend=-1)))
+        return out
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """(order, ((ids, ids per unit) of A and of B), bad): in the new order of the units.
+
+        A unit is bad if it is empty or a side does not spell a space and the unit; it has no ids.
+        """
+        plain = [i for i, u in enumerate(units) if u and len(u) <= SHORT and not u[-1].isspace()]
+        rest = sorted(set(range(len(units))) - set(plain))
+        order, found, bad = [], [], []
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            if (both := self._together([units[i] for i in some])) is None:
+                rest += some
+            else:
+                order += some
+                found.append(both)
+                bad += [False] * len(some)
+        for i in rest:
+            a, b = (self.a.encode(" " + units[i]), self.b.encode(units[i])) if units[i] else (np.empty(0, np.int64),) * 2
+            fails = not units[i] or not self._spells(self.a, a, " " + units[i]) or not self._spells(self.b, b, " " + units[i])
+            found.append([(x[:0] if fails else x, np.array([0 if fails else len(x)])) for x in (a.astype(np.int64), b.astype(np.int64))])
+            order.append(i)
+            bad.append(fails)
+        none = np.empty(0, np.int64)
+        sides = [tuple(np.concatenate([none, *(x[side][k] for x in found)]) for k in (0, 1)) for side in (0, 1)]
+        return np.array(order, np.int64), sides, np.array(bad, bool)
+
+    def align(self, texts: pa.Array) -> dict:
         """Alignments of the texts of a block; see ``blocks`` for the fields."""
-        found = [self.tokens(t or "") for t in texts]
-        n_a, n_b = (np.array([len(x[side]) for x in found], np.int64) for side in (0, 1))
-        a, b = (np.concatenate([x[side] for x in found]) for side in (0, 1))
+        units, at, text_ends = self.units(texts)
+        order, ((a, n_a), (b, n_b)), bad = self.encode(units)
+        place = np.empty(len(units), np.int64)
+        place[order] = np.arange(len(units))
+        at = place[at]
+        doc = np.repeat(np.arange(len(texts)), np.diff(text_ends, prepend=0))
+        good = np.ones(len(texts), bool)
+        good[doc[bad[at]]] = False
+        at, doc = at[good[doc]], doc[good[doc]]
+
         end_a, end_b = np.cumsum(self.bytes_a[a]), np.cumsum(self.bytes_b[b])
         start_a, start_b = end_a - self.bytes_a[a], end_b - self.bytes_b[b]
-        # Texts stand one behind the other, so no group or link leaves its text.
+        # Units stand one behind the other, so no group or link leaves its unit.
         start, end = np.concatenate((start_a, start_b)), np.concatenate((end_a, end_b))
-        order = np.lexsort((np.arange(len(start)), start))
+        by_start = np.lexsort((np.arange(len(start)), start))
         group = np.empty(len(start), np.int64)
-        group[order] = coalesce(start[order], end[order])
+        group[by_start] = coalesce(start[by_start], end[by_start])
         group_a, group_b = group[: len(a)], group[len(a) :]
-        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
-        last = np.concatenate(([0], group_a + 1))[ends_a]  # groups up to the end of each text
-        n_groups = np.where(n_a > 0, np.diff(np.maximum.accumulate(last), prepend=0), 0)
+        unit_a = np.repeat(np.arange(len(units)), n_a)
+        begins_group = np.diff(group_a, prepend=-1) > 0
         at_a, at_b = overlaps(start_a, end_a, start_b, end_b)
-        doc = np.repeat(np.arange(len(texts)), n_a)
-        n_links = np.bincount(doc[at_a], minlength=len(texts))
-        # (document, pair) in one number, so one sort gives the distinct pairs of every document.
-        links = doc[at_a] * (self.size_a * self.size_b) + a[at_a] * self.size_b + b[at_b]
-        links.sort()
-        begins = np.flatnonzero(np.concatenate(([True], links[1:] != links[:-1]))) if len(links) else np.empty(0, np.int64)
-        times = np.diff(np.concatenate((begins, [len(links)])))
-        holder, pair = np.divmod(links[begins], self.size_a * self.size_b)
-        pairs, held = np.unique(pair, return_counts=True)
+        n_of = lambda x: np.bincount(x, minlength=len(units))
+        measures = {"n_a": n_a, "n_b": n_b, "n_groups": n_of(unit_a[begins_group]), "n_links": n_of(unit_a[at_a])}
+
+        # (unit, pair) in one number, so one sort gives the distinct pairs of every unit.
+        base = self.size_a * self.size_b
+        holder, pair, times = _distinct(unit_a[at_a] * base + a[at_a] * self.size_b + b[at_b], base)
+        pairs, pair_at = np.unique(pair, return_inverse=True)
+        pair_ends = np.searchsorted(holder, np.arange(len(units)), "right")
+        # Documents per pair: each document's distinct units, then its distinct pairs.
+        one_doc, one_unit, _ = _distinct(doc * len(units) + at, max(1, len(units)))
+        n = np.diff(pair_ends, prepend=0)[one_unit]
+        first = (pair_ends - np.diff(pair_ends, prepend=0))[one_unit]
+        listed = pair_at[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        _, held_pair, _ = _distinct(np.repeat(one_doc, n) * max(1, len(pairs)) + listed, max(1, len(pairs)))
+
+        texts_of = self.spelled(a, b, group_a, group_b, np.cumsum(n_a), np.cumsum(n_b))
+        ends = np.searchsorted(doc, np.arange(len(texts)), "right")
+        whole = at.tolist()
+        cuts = zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)
         return {
-            "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": self.spelled(a, b, group_a, group_b, ends_a, ends_b),
-            "pairs": pairs, "held": held, "pair_at": np.searchsorted(pairs, pair), "times": times, "pair_ends": np.searchsorted(holder, np.arange(len(texts)), "right"),
+            **{c: np.bincount(doc, weights=x[at], minlength=len(texts)).astype(np.int64) for c, x in measures.items()},
+            "groups": [b";".join(map(texts_of.__getitem__, whole[i:j])) for i, j in cuts],
+            "pairs": pairs, "held": np.bincount(held_pair, minlength=len(pairs)), "pair_ends": pair_ends, "pair_at": pair_at, "times": times,
+            "ends": ends, "at": at,
         }
 
     def spelled(self, a, b, group_a, group_b, ends_a, ends_b) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` per text, empty without tokens."""
+        """``a1,a2|b1;a3|b2,b3`` per unit, empty without tokens."""
         same_a = np.diff(group_a, append=-1) == 0
         same_b = np.diff(group_b, append=-1) == 0
         # An A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its own.
         code = np.empty(len(a) + len(b), np.int64)
         code[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = a + np.where(same_a, 0, self.size_a)
         code[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * self.size_a + b + np.where(same_b, 0, self.size_b)
-        texts, start = [], 0
-        for stop in (ends_a + ends_b).tolist():
-            texts.append(b"".join(map(self.decimals.__getitem__, code[start:stop].tolist()))[:-1])
-            start = stop
-        return texts
+        parts = list(map(self.decimals.__getitem__, code.tolist()))
+        stops = (ends_a + ends_b).tolist()
+        return [b"".join(parts[i:j])[:-1] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+
+
+def _distinct(numbers: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in order as (number // base, number % base, times)."""
+    numbers = np.sort(numbers)
+    begins = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1]))) if len(numbers) else np.empty(0, np.int64)
+    return *np.divmod(numbers[begins], base), np.diff(np.concatenate((begins, [len(numbers)])))
 
 
 def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str = BYTE_LEVEL, b: str = PIECES, with_groups: bool = False) -> DataFrame:
@@ -126,28 +212,27 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str =
     ``docs``: the documents with their counts and the digest of their groups (the
     groups themselves on request). ``pairs`` and ``held``: the id pairs linked in
     the block, as A id times the size of B plus B id, with the number of documents.
-    ``links``: compressed, per document its pairs as places in ``pairs`` and how
-    often each is linked.
+    ``links``: compressed whole numbers, ``sizes`` tells how many of each kind: per
+    unit where its pairs end, the pairs as places in ``pairs`` and how often each
+    is linked; per document where its units end, and its units.
     """
 
     def read(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = loaded(Aligner, a) if b == PIECES else Aligner(a, b)
         number = TaskContext.get().partitionId() << 32
-        for batch in batches(iterator, 2000, BLOCK_BYTES):
-            got = aligner.align(batch.column(1).to_pylist())
+        for batch in batches(iterator, 4000, BLOCK_BYTES):
+            got = aligner.align(batch.column(1))
             digests = [hashlib.sha256(g).hexdigest() if g else "" for g in got["groups"]]
             fields = [batch.column(0), *(pa.array(got[c], pa.int64()) for c in _MEASURES), pa.array(digests)]
             if with_groups:
                 fields.append(pa.array([g.decode() for g in got["groups"]]))
             listed = pa.StructArray.from_arrays(fields, fields=list(schema.field("docs").type.value_type))
-            packed = pa.compress(
-                b"".join(got[c].astype("<i4").tobytes() for c in ("pair_ends", "pair_at", "times")), codec="zstd", asbytes=True
-            )
+            packed = pa.compress(b"".join(got[c].astype("<i4").tobytes() for c in _LINKS), codec="zstd", asbytes=True)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()), one(listed), one(pa.array(got["pairs"], pa.int64())), one(pa.array(got["held"], pa.int64())),
-                    pa.array([len(got["pair_at"])], pa.int32()), pa.array([packed], pa.binary()),
+                    one(pa.array([len(got[c]) for c in _LINKS], pa.int32())), pa.array([packed], pa.binary()),
                 ],
                 schema=schema,
             )
@@ -159,7 +244,7 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str =
     kind = StructType([rows.schema["_id"]])
     for f in StructType.fromDDL(", ".join(f"{c} long" for c in _MEASURES) + ", groups_sha256 string" + ", groups string" * with_groups):
         kind = kind.add(f)
-    out = StructType.fromDDL("block long, pairs array<long>, held array<long>, n_pairs int, links binary")
+    out = StructType.fromDDL("block long, pairs array<long>, held array<long>, sizes array<int>, links binary")
     out = StructType([out["block"], StructType().add("docs", _listed(kind))["docs"], *out.fields[1:]])
     schema = to_arrow_schema(out)
     return rows.mapInArrow(read, out)
@@ -193,24 +278,24 @@ def alignments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: s
     table = pair_counts(found, size_b)
     asked = found.select("block", F.posexplode("pairs").alias("at", "pair"))
     told = asked.join(table, "pair").groupBy("block").agg(F.collect_list(F.struct("at", "n", "top")).alias("told"))
-    rows = found.select("block", "docs", "n_pairs", "links").join(told, "block", "left")
+    rows = found.select("block", "docs", "sizes", "links").join(told, "block", "left")
 
     def summed(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in iterator:
             for i in range(batch.num_rows):
-                listed, n_pairs = batch.column(1)[i].values, batch.column(2)[i].as_py()
-                n = len(listed)
-                raw = pa.decompress(batch.column(3)[i].as_buffer(), 4 * (n + 2 * n_pairs), codec="zstd", asbytes=True)
-                ends, at, times = np.split(np.frombuffer(raw, "<i4").astype(np.int64), [n, n + n_pairs])
-                best = sums = np.zeros(n, np.int64)
-                if n_pairs:
+                listed, sizes = batch.column(1)[i].values, np.asarray(batch.column(2)[i].values)
+                raw = pa.decompress(batch.column(3)[i].as_buffer(), 4 * int(sizes.sum()), codec="zstd", asbytes=True)
+                pair_ends, pair_at, times, ends, at = np.split(np.frombuffer(raw, "<i4").astype(np.int64), np.cumsum(sizes)[:-1])
+                best = sums = np.zeros(len(listed), np.int64)
+                if len(pair_at):
                     answer = batch.column(4)[i].values
                     place = np.asarray(answer.field("at"))
                     count, top = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
                     count[place] = np.asarray(answer.field("n"))
                     top[place] = np.asarray(answer.field("top").cast(pa.int8()))
-                    upto = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[ends], prepend=0)
-                    best, sums = upto(times * top[at]), upto(times * count[at])
+                    upto = lambda x, stops: np.diff(np.concatenate(([0], np.cumsum(x)))[stops], prepend=0)
+                    # From pairs to units, from units to documents.
+                    best, sums = (upto(upto(times * x[pair_at], pair_ends)[at], ends) for x in (top, count))
                 yield pa.RecordBatch.from_arrays([*listed.flatten(), pa.array(best), pa.array(sums)], names)
 
     kind = StructType([*found.schema["docs"].dataType.elementType.fields]).add("n_best", "long").add("count_sum", "long")

@@ -109,7 +109,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
             next_id += len(rooms(int(first[-1]), length))
 
-        for batch in batches(iterator, 10_000, 6 << 20):
+        for batch in batches(iterator, 10_000, 12 << 20):
             raw, ends = words.encode(batch.column(1))
             # The end token goes in behind each document.
             ids = np.insert(raw, ends, END).astype("<u4")

@@ -1,9 +1,4 @@
-"""Public tokenizers over Arrow columns: whole texts, in bounded memory.
-
-The vocabulary files lie on every machine at the paths given; nothing is trained.
-Long texts are read in parts, cut where no token can cross: at a single space
-between two ASCII letters or digits.
-"""
+"""Public tokenizers: three vocabularies whose files lie on every machine at the paths given. Nothing is trained."""
 
 from __future__ import annotations
 
@@ -20,11 +15,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_LEVEL = f"{FOLDER}/byte_bpe_50k.json"
 PIECES = f"{FOLDER}/piece_bpe_32k.model"
 WORD_LEVEL = f"{FOLDER}/word_bpe_49k.json"
-#: Characters of a part of a long text, at least.
-PART = 1 << 16
 #: The fast encoder takes quadratic time over a run of letters or blanks; texts with longer ones go the other way.
 LONG_RUN = re.compile(r"\S{400}|\s{400}")
-_CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 #: How byte-level vocabularies split a text before merging (fixed values).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a task remembers before they become the old ones, and their bytes.
@@ -33,15 +25,6 @@ REMEMBERED, REMEMBERED_BYTES = 300_000, 24 << 20
 _MARKS = r"(\p{L})([.,;:!?&#$%*()\"])"
 
 
-def parts(text: str, size: int = PART) -> list[str]:
-    """The text in parts of ``size`` characters or more, the space between two parts left out."""
-    found, start = [], 0
-    while len(text) - start > size and (cut := _CUT.search(text, start + size)):
-        found.append(text[start : cut.start()])
-        start = cut.end()
-    return [*found, text[start:]]
-
-
 def _byte_alphabet() -> dict[str, int]:
     """Characters by which byte-level vocabularies spell bytes: printable ones themselves, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -72,6 +55,10 @@ class ByteLevel:
     def encode(self, text: str) -> np.ndarray:
         if LONG_RUN.search(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.int32)
+        return self.encode_short(text)
+
+    def encode_short(self, text: str) -> np.ndarray:
+        """For texts without long runs of letters or blanks."""
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=())).astype(np.int32)
 
 
@@ -104,6 +91,9 @@ class WordLevel:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memory: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.held = 0
@@ -111,23 +101,43 @@ class WordLevel:
     def _words(self, words: list[str]) -> list[tuple[int, ...]]:
         if len(self.memory) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.old, self.memory, self.held = self.memory, {}, 0
-        found = [self.memory.get(w) for w in words]
+        found = list(map(self.memory.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
-        new = []
-        for i in missing:
-            if (ids := self.old.get(words[i])) is None:
-                new.append(i)
-            else:
-                found[i] = ids
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
-                found[i] = tuple(e.ids)
-        known = [i for i in missing if len(words[i]) <= 64]
-        self.memory.update((words[i], found[i]) for i in known)
-        self.held += sum(len(words[i]) + 4 * len(found[i]) for i in known)
+        if not missing:
+            return found
+        asked = [words[i] for i in missing]
+        known = list(map(self.old.get, asked))
+        new = [w for w, ids in zip(asked, known, strict=True) if ids is None]
+        fresh = iter(self._new(new))
+        known = [next(fresh) if ids is None else ids for ids in known]
+        for i, ids in zip(missing, known, strict=True):
+            found[i] = ids
+        self.memory.update(pair for pair in zip(asked, known, strict=True) if len(pair[0]) <= 64)
+        self.held += 4 * sum(map(len, known)) + sum(n for n in map(len, asked) if n <= 64)
         return found
 
+    def _new(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words not seen before. Words of letters go together: each ends with the first token that ends a word."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        rest = [i for i, w in enumerate(words) if not w.isalpha()]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in some])], add_special_tokens=False)[0].ids
+            ends = (np.flatnonzero(self.final[np.array(ids, np.int64)]) + 1).tolist()
+            if len(ends) == len(some):
+                start = 0
+                for i, end in zip(some, ends, strict=True):
+                    out[i] = tuple(ids[start:end])
+                    start = end
+            else:  # letters to one side, marks to the other: tables of characters differ
+                rest += some
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = tuple(e.ids)
+        return out
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts in a row, and where each text ends. A null text has none."""
         column = column.cast(pa.large_string()).fill_null("")
@@ -138,14 +148,17 @@ class WordLevel:
         offsets = np.asarray(split.offsets)
         words = split.flatten().dictionary_encode()
         known = self._words(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        sizes = np.fromiter(map(len, known), np.int32, len(known))
         values = np.fromiter(chain.from_iterable(known), np.uint32, int(sizes.sum()))
         at = np.asarray(words.indices)
         n = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        first = (np.cumsum(sizes) - sizes)[at]
-        ids = values[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[offsets[1:] - offsets[0]]
+        ends = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=ends[1:])
+        first = np.cumsum(sizes, dtype=np.int64) - sizes
+        # Each word's ids stand together: where they begin, less where they go, plus the place.
+        place = np.repeat((first[at] - ends[:-1]).astype(np.int32), n)
+        place += np.arange(ends[-1], dtype=np.int32)
+        return values[place], ends[offsets[1:] - offsets[0]]
 
 
 @lru_cache(maxsize=4)

@@ -39,15 +39,24 @@ def _noise(n, seed):
     return ["".join(rng.choice(alphabet, int(rng.integers(0, 60)))) for _ in range(n)]
 
 
-def test_long_texts_fall_apart_where_no_token_crosses():
-    a, b = vocabularies.ByteLevel(), vocabularies.SentencePieces()
+def test_units_are_what_no_token_crosses():
+    aligner = alignment.Aligner()
     rng = np.random.default_rng(1)
-    text = "".join(rng.choice(["the", " ", " a", "\n", "  ", "don't", "é", "12", " x", "."], 4000))
-    cut = vocabularies.parts(text, 50)
-    assert len(cut) > 20 and " ".join(cut) == text
-    assert np.concatenate([a.encode(" " + p) for p in cut]).tolist() == a.exact.encode(" " + text, add_special_tokens=False).ids
-    assert np.concatenate([b.encode(p) for p in cut]).tolist() == b.model.encode(text)
-    assert vocabularies.parts("") == [""] and vocabularies.parts("x" * 10**6) == ["x" * 10**6]
+    texts = ["".join(rng.choice(["the", " ", " a", "\n", "  ", "don't", "é", "12", " x", ".", "\t ", "\x00"], 300)) for _ in range(30)]
+    texts = [*texts, *_noise(200, 7), *STRANGE, "", " ", "x" * 5000 + " b", "a" + " " * 900 + "b", "tail ", " head"]
+    units, at, ends = aligner.units(pa.array(texts))
+    order, sides, bad = aligner.encode(units)
+    assert sorted(order.tolist()) == list(range(len(units))) and len(units) > 200
+    stops = [np.cumsum(n) for _, n in sides]
+    place = {u: i for i, u in enumerate(order.tolist())}
+    for t, i, j in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert " ".join(units[u] for u in at[i:j]) == t
+        if not t:
+            assert all(bad[place[u]] for u in at[i:j])
+            continue
+        for side, (ids, n), vocabulary, text in zip((0, 1), sides, (aligner.a, aligner.b), (" " + t, t), strict=True):
+            got = [x for u in at[i:j] for x in ids[stops[side][place[u]] - n[place[u]] : stops[side][place[u]]].tolist()]
+            assert any(bad[place[u]] for u in at[i:j]) or got == vocabulary.encode(text).tolist()
 
 
 def test_fast_and_remembered_ids_are_the_files_ids():
