@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import mixing, pieces, pii, quality, shingles
+from auditlake.llm import mixing, pieces, pii, quality, simhash
 from auditlake.llm.common import write_once
 
 QUALITY_LIMIT = 0.7
@@ -23,12 +23,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier scores at the limit or above."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model, keep=True)
-    return scored.filter(F.col("_score") >= QUALITY_LIMIT).select(*docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) >= QUALITY_LIMIT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
-    return shingles.deduplicate(docs)
+    """One document of each group of near-duplicates: fingerprints of three-word shingles, at most two bits apart."""
+    return simhash.deduplicate(docs, shingle=3, bits=2)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
