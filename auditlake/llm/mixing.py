@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,6 +29,8 @@ from auditlake.session import materialize
 BLOCKS, SHARDS, SHARE, COPIES = 1024, 32, 1.5, 2
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_SOURCES = 100_000
+#: Words of a slice of a shard that one task shuffles, some 64 MB of text.
+SLICE_WORDS = 10_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
@@ -94,9 +96,9 @@ class Mix:
     targets: DataFrame
 
 
-def _keyed(docs: DataFrame, source: str, keys: Sequence[str], blocks: int, seed: int) -> DataFrame:
+def _keyed(docs: DataFrame, source: Column, keys: Sequence[Column], blocks: int, seed: int) -> DataFrame:
     """``_source`` (null last, marked) and ``_block`` beside the columns of ``docs``."""
-    marked = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("~"))
+    marked = F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("~"))
     return docs.withColumns({"_source": marked, "_block": F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)).cast("int")})
 
 
@@ -118,8 +120,8 @@ def plan(
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(word_counts(batch.column(3)))]
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_source", "_block", "_size"])
 
-    keyed = _keyed(docs.select(doc_id, text, source), source, [doc_id, text], blocks, seed)
-    chosen = keyed.select(F.col(doc_id).alias("_id"), "_source", "_block", text)
+    narrow = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_from"))
+    chosen = _keyed(narrow, F.col("_from"), [F.col("_id"), F.col("_text")], blocks, seed).select("_id", "_source", "_block", "_text")
     schema = StructType([chosen.schema["_id"]]).add("_source", "string").add("_block", "integer").add("_size", "long")
     rows = materialize(chosen.mapInArrow(sized, schema))
     held = materialize(rows.groupBy("_source", "_block").agg(F.sum("_size").alias("words")))
@@ -173,14 +175,25 @@ def taken(mix: Mix) -> DataFrame:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 23, **options) -> DataFrame:
     """The mixture: all columns of ``docs`` and ``_shard``, one row per draw, shuffled within each shard.
 
-    The options are those of ``plan``. Rows of one shard stand together.
+    The options are those of ``plan``. Rows of one shard stand together, cut into
+    slices of some 64 MB. Nulls, empty texts and repeated rows are those of
+    ``plan``; columns may have any name (the shard gets another underscore where
+    its name is taken).
     """
     mix = plan(docs, doc_id, text, source, seed=seed, **options)
-    keyed = _keyed(docs, source, [doc_id, text], options.get("blocks", BLOCKS), seed)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keys = [F.col(f"row.{c}") for c in (doc_id, text)]
+    keyed = _keyed(docs.select(row), F.col(f"row.{source}"), keys, options.get("blocks", BLOCKS), seed)
     out = keyed.join(mix.draws, ["_source", "_block"])
-    out = out.withColumn("_turn", F.xxhash64(F.lit(seed + 3), doc_id, text, "_copy"))
-    # Few shards of many rows: each is spread over tasks by a further hash and shuffled there.
-    return out.repartition("_shard", F.pmod("_turn", F.lit(64))).sortWithinPartitions("_shard", "_turn").select(*docs.columns, "_shard")
+    out = out.withColumn("_turn", F.xxhash64(F.lit(seed + 3), *keys, "_copy"))
+    # A shard is spread over tasks by a further hash and shuffled there.
+    words = mix.targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    slices = max(64, int(words / (options.get("shards", SHARDS) * SLICE_WORDS)))
+    name = "_shard"
+    while name in docs.columns:
+        name += "_"
+    spread = out.repartition("_shard", F.pmod("_turn", F.lit(slices))).sortWithinPartitions("_shard", "_turn")
+    return spread.select("row.*", F.col("_shard").alias(name))
 
 
 def document_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -156,22 +156,26 @@ def fit(
 
 
 def score(docs: DataFrame, model: KernelRidge, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, score) per document, or with ``keep`` all columns of ``docs`` and ``_score``.
+    """(doc_id, score) per document, or with ``keep`` all columns of ``docs`` and, last, ``_score``.
 
-    Whole texts are read. A null text counts as empty; texts without a word share
+    A column of that name in ``docs`` keeps it; the score then gets another
+    underscore. Whole texts are read. A null text counts as empty; texts without a word share
     one score. Repeated rows give repeated results, an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs if keep else docs.select(F.col(doc_id), F.col(text).alias("_text"))
     at = rows.columns.index(text) if keep else 1
     wanted = list(range(len(rows.columns))) if keep else [0]
+    name = "_score"
+    while keep and name in rows.columns:
+        name += "_"
 
     def scored(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(iterator):
             x = np.array([statistics(t) for t in byte_texts(batch.column(at))])
             names = [batch.schema.names[i] for i in wanted]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in wanted), pa.array(shared.value.score(x))], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in wanted), pa.array(shared.value.score(x))], [*names, name])
 
-    schema = StructType([rows.schema[i] for i in wanted]).add("_score", "double")
+    schema = StructType([rows.schema[i] for i in wanted]).add(name, "double")
     out = rows.mapInArrow(scored, schema)
     return out if keep else out.withColumnRenamed("_score", "score")

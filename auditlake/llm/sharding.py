@@ -24,8 +24,10 @@ def write_shards(
     ``record`` is a struct of the columns of ``records``, so names cannot clash.
     ``slot`` counts from 0 in each shard. ``size`` names the column whose bytes
     dominate; buckets are planned by it. Null values and empty texts are records
-    like any other; equal rows share a bucket and stay separate records. An empty
-    table writes no record; with fewer records than shards some shards are empty.
+    like any other. Equal rows stay separate records; where a row has more copies
+    than a part of a bucket holds, the copies are counted, numbered and scattered by
+    their numbers. An empty table writes no record; with fewer records than shards
+    some shards are empty.
     """
     spark = records.sparkSession
     hashed = records.select(F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("record"))
@@ -33,6 +35,7 @@ def write_shards(
     weight = F.coalesce(F.octet_length(F.col("record")[size].cast("string")), F.lit(0)) + 64
     total, rows = hashed.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-int(total) // bucket_bytes))
+    hashed = _scattered_copies(hashed.withColumn("w", weight), seed, bucket_bytes).drop("w")
     placed = hashed.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     # One row per bucket: where it starts. It travels with the bucket, so no join is needed.
     starts = placed.groupBy("bucket").agg(F.count("*").alias("n")).select(
@@ -62,6 +65,24 @@ def write_shards(
     return spark.read.schema(schema).parquet(path).select("shard", "slot", "record")
 
 
+def _scattered_copies(hashed: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
+    """``hashed`` with a hash of its own for each copy of rows whose copies would fill an eighth of a bucket.
+
+    Such rows are counted per task, so a copy is moved once per task only; a table
+    holds few of them, and none at all if its rows differ.
+    """
+    many = hashed.groupBy("h").agg((F.count("*") * F.max("w")).alias("bytes"), F.count("*").alias("n"))
+    hot = many.filter((F.col("n") > 1) & (F.col("bytes") > bucket_bytes // 8)).select("h", F.lit(True).alias("hot"))
+    marked = hashed.join(hot, "h", "left")
+    counted = marked.filter("hot").groupBy("h", F.xxhash64(F.lit(seed + 1), "record").alias("h2")).agg(
+        F.first("record").alias("record"), F.first("w").alias("w"), F.count("*").alias("n")
+    )
+    copies = counted.select("record", "w", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"), "h", "h2").select(
+        "record", F.xxhash64(F.lit(seed), "h", "h2", "copy").alias("h"), "w"
+    )
+    return marked.filter("hot IS NULL").select("record", "h", "w").unionByName(copies)
+
+
 def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 40) -> DataFrame:
     """``write_shards`` of documents into a fresh shared folder."""
     return write_shards(docs, work_dir(spark, "shards"), shards)

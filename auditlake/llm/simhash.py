@@ -61,16 +61,26 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(_id, fp) per row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, keys: bool = False) -> DataFrame:
+    """(_id, fp) per row; ``fp`` holds the 64 bits as a signed long. With ``keys`` also the two halves of ``row_key``."""
 
     def hashed(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(iterator):
             found = np.array([fingerprint(t, shingle) for t in byte_texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["_id", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(hashed, f"_id {rows.schema[0].dataType.simpleString()}, fp long")
+    more = [k.alias(n) for n, k in zip(("k1", "k2"), row_key(F.col(doc_id), F.col(text)), strict=True)] if keys else []
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *more)
+    schema = StructType([rows.schema["_id"]]).add("fp", "long")
+    for k in rows.columns[2:]:
+        schema = schema.add(k, "long")
+    return rows.mapInArrow(hashed, schema)
+
+
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows with different ids or texts apart."""
+    return F.xxhash64(F.lit(1), doc_id, text), F.xxhash64(F.lit(2), doc_id, text)
 
 
 def segments(bits: int) -> list[tuple[int, int, int]]:
@@ -125,13 +135,16 @@ def linked(classes: DataFrame, bits: int = 2) -> DataFrame:
     return p.join(t, on & near).select("a", "b")
 
 
-def component_of(rows: DataFrame, bits: int) -> DataFrame:
-    """(fp, component_id) per fingerprint of ``rows`` (_id, fp)."""
+def _rooted(rows: DataFrame, bits: int) -> DataFrame:
+    """(fp, first, root) per fingerprint of ``rows`` (_id, fp): its smallest id, and the fingerprint that names its component."""
     classes = rows.groupBy("fp").agg(F.min("_id").alias("first"))
     roots = components(linked(classes.select("fp"), bits))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def component_of(rows: DataFrame, bits: int) -> DataFrame:
+    """(fp, component_id) per fingerprint of ``rows`` (_id, fp)."""
+    rooted = _rooted(rows, bits)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
 
@@ -160,22 +173,21 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that with the smallest id.
 
-    A repeated row of that document goes too. Documents without an id stay only
-    where no linked document has one, one for each fingerprint.
+    Groups are components of links of at most ``bits`` differing bits; null and
+    empty texts are one group. Rows are told apart by id and text: where an id
+    stands for several texts, each group that it is the smallest id of keeps one of
+    its texts. Of rows that share id and text one stays, and a document without an
+    id only where its group has none. Names of other columns do not matter; an
+    empty table gives none.
     """
-    rows = materialize(fingerprints(docs, doc_id, text, shingle))
-    named = component_of(rows, bits)
-    kept = rows.join(named, "fp").filter("_id = component_id").select(F.col("_id").alias("_kept")).distinct()
-    known = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    nameless = docs.filter(F.col(doc_id).isNull())
-    lone = named.filter("component_id IS NULL").select(F.col("fp").alias("_lone"))
-    wide = StructType([*docs.schema.fields]).add("_fp", "long")
-    at = docs.columns.index(text)
-
-    def hashed(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(iterator):
-            found = np.array([fingerprint(t, shingle) for t in byte_texts(batch.column(at))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], wide.names)
-
-    rest = nameless.mapInArrow(hashed, wide).join(lone, F.col("_fp") == F.col("_lone"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return known.unionByName(rest)
+    rows = materialize(fingerprints(docs, doc_id, text, shingle, keys=True))
+    roots = _rooted(rows, bits).select("fp", "root")
+    chosen = rows.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "k1", "k2")).alias("c"))
+    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    kept = chosen.select("c.k1", "c.k2").join(copies, ["k1", "k2"])
+    k1, k2 = row_key(F.col(f"row.{doc_id}"), F.col(f"row.{text}"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", k1.alias("k1"), k2.alias("k2"))
+    found = whole.join(kept, ["k1", "k2"])
+    # Only rows that do have copies are brought together once more.
+    one = found.filter("n > 1").groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return found.filter("n = 1").select("row").unionByName(one.select("row")).select("row.*")

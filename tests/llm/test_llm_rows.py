@@ -83,6 +83,21 @@ def test_shards(spark, frame):
     assert len(few) == 3 and sharding.write_shards(frame(DOCS, []), work_dir(spark, "t"), 7).count() == 0
 
 
+def test_copies_of_a_row_spread_over_buckets(spark):
+    """20,000 equal rows of 5 kB, far more than a bucket holds, and as many others."""
+    rows = spark.range(22_000).select(
+        F.when(F.col("id") < 20_000, 0).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") < 20_000, F.lit("x" * 5000)).otherwise(F.concat(F.lit("y"), "id")).alias("text"),
+    )
+    out = sharding.write_shards(rows, work_dir(spark, "t"), 7, bucket_bytes=1 << 20)
+    per = out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.count_if(F.col("record.doc_id") == 0).alias("copies"))
+    found = per.collect()
+    assert sum(r.n for r in found) == 22_000 and max(r.n for r in found) - min(r.n for r in found) <= 1
+    assert all(r.slots == r.n == r.last + 1 for r in found) and sum(r.copies for r in found) == 20_000
+    assert max(r.copies for r in found) < 1.05 * min(r.copies for r in found)
+    assert out.select("record.doc_id").distinct().count() == 2001
+
+
 def test_shards_plan_has_no_python(spark, sf_dir):
     for key in ("op3_sharding", "op4_pii"):
         plan = Q.REG.queries[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
@@ -193,6 +208,10 @@ def test_mix_meets_targets(spark, frame):
         got[s] = got.get(s, 0) + r.taken
     assert len(out) == 3000 and all(abs(got[s] - want[s]) <= 60 for s in names)
     assert sorted(map(str, out)) == sorted(map(str, mixing.taken(mixing.plan(docs)).collect()))
+    clash = docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in ("_source", "_block", "_turn", "_copy", "_shard", "row", "_id", "_text", "_from")})
+    mixed = mixing.mixed(clash)
+    rows = mixed.collect()
+    assert mixed.columns == [*clash.columns, "_shard_"] and all(r["_source"] == f"_source{r.doc_id}" and r["_shard"] == f"_shard{r.doc_id}" for r in rows)
     mixed = mixing.mixed(docs)
     rows = mixed.collect()
     assert mixed.columns == [*docs.columns, "_shard"]

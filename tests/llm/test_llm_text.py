@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from auditlake.llm import pieces, quality, repetition, shingles, simhash, toxicity
+from auditlake.llm import pieces, quality, repetition, simhash, toxicity
 from auditlake.llm import queries as Q
 from auditlake.llm.components import components
 
@@ -89,6 +89,8 @@ def test_classifiers_take_odd_rows(odd, frame):
     assert quality.score(frame(DOCS, []), model).count() == 0 and toxicity.score(frame(DOCS, []), grammar).count() == 0
     wide = quality.score(odd, model, keep=True)
     assert wide.columns == [*odd.columns, "_score"] and wide.count() == len(ODD)
+    again = quality.score(wide, quality.fit(docs, empty), keep=True)
+    assert again.columns == [*wide.columns, "_score_"] and {r["_score_"] for r in again.collect()} == {0.5}
 
 
 def test_held_out_rows_teach_nothing(frame):
@@ -210,33 +212,17 @@ TOY = pieces.Vocabulary(
 )
 
 
-def _one_of_each(rows):
-    """Ids kept when all pairs are compared."""
-    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in rows}
-    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    return sorted(set(_reach(list(sets), pairs).values()))
-
-
-@pytest.mark.parametrize("few", [4, 0])
-def test_edited_copies_leave_one_text(odd, frame, few):
-    assert shingles.band_chance(0.8) > 0.9999
-    rng = np.random.default_rng(8)
-    texts = []
-    for _ in range(6):
-        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
-        for _ in range(9):
-            texts.append(" ".join(words))
-            for at in rng.integers(0, 200, rng.integers(1, 6)):
-                words[at] = f"w{rng.integers(0, 5000)}"
-    rows = list(enumerate(texts))
-    docs = frame(DOCS, [(i, t, "en", "a", len(t)) for i, t in rows])
-    want = _one_of_each(rows)
-    assert len(want) < simhash.deduplicate(docs).count()
-    assert sorted(r.doc_id for r in shingles.deduplicate(docs, few=few).collect()) == want
-    kept = shingles.deduplicate(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5]
-    lone = frame(DOCS, [(None, texts[0], "en", "a", 1), (None, texts[0] + " x", "en", "a", 1), (None, "other", "en", "a", 1)])
-    assert shingles.deduplicate(lone).count() == 2
+def test_one_text_of_each_group_stays(frame):
+    a, b = "one two three four five " * 9, "an other text of words altogether " * 9
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (2, a, "en", "s", 3), (3, b, "x", None, 4), (3, b, "x", None, 4), (None, a, "q", "s", 5)]
+    docs = frame(DOCS, rows)
+    kept = simhash.deduplicate(docs).collect()
+    # The id 1 stands for two texts; each is the smallest of its group.
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b)])
+    alone = simhash.deduplicate(docs.filter("doc_id = 3 OR doc_id IS NULL")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in alone) == sorted([(0, a), (3, b)])
+    clash = docs.withColumns({c: F.lit(c) for c in ("_kept", "_lone", "_k", "_fp", "fp", "row", "k1", "k2", "root", "n", "_id")})
+    assert simhash.deduplicate(clash).columns == clash.columns and simhash.deduplicate(clash).count() == 2
 
 
 def _segmentations(v, s):
