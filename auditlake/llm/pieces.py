@@ -6,9 +6,11 @@ for an A-star search that runs backward from the end, so its first N arrivals at
 the start are the N best segmentations, in order.
 
 No piece holds a blank after another character, and hardly any both letters and
-marks, so the lattice falls apart into units: their best two scores are found
-once per task and remembered, and the N best of a text are put together from the
-N best of those units that lose least, which is exact as scores add up.
+marks, so the lattice falls apart into units. The distinct units of a batch of
+texts go through the forward pass together, position by position, and the N best
+of a text are put together from the N best of those units that lose least, which
+is exact as scores add up. Nothing is remembered from batch to batch, so memory
+is bounded by the batch and the longest text.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,8 +35,8 @@ from auditlake.llm.common import batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Units that a task remembers before they become the old ones, which are kept until the next change.
-REMEMBERED = 400_000
+#: Characters of units that go through the forward pass together with others, and such characters at a time.
+SHORT, TOGETHER = 64, 200_000
 #: A byte stands for a character without a piece, at this much below the worst piece.
 BYTE_PENALTY = 10.0
 #: Scores below this mark pieces that are not for segmentation.
@@ -44,6 +47,7 @@ MOST_MIXED = 32
 
 _NONE = float("-inf")
 _BY_PROMISE = itemgetter(0, 1)
+_LOST = itemgetter(0)
 
 Path = tuple[float, tuple[int, ...]]
 
@@ -55,8 +59,6 @@ class Vocabulary:
     pieces: list[str]
     scores: list[float]
     kinds: str  # per id: n normal, b byte, c control, u unknown
-    memory: dict[str, tuple[float, tuple[int, ...], float]] = field(default_factory=dict)
-    old: dict[str, tuple[float, tuple[int, ...], float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         normal = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == "n"}
@@ -71,7 +73,11 @@ class Vocabulary:
         self.mixed = None if len(mixed) > MOST_MIXED else mixed
         mark = "".join(map(re.escape, sorted(self.marks)))
         self.fine = re.compile(f"{BLANK}*[^{mark}{BLANK}]+|{BLANK}*[{mark}]+|{BLANK}+")
+        self.classes = np.ones(0x110000, np.int8)  # of a character: 0 blank, 1 of words, 2 mark
+        self.classes[[ord(c) for c in self.marks]] = 2
+        self.classes[ord(BLANK)] = 0
         self.characters = frozenset(p for p in normal if len(p) == 1)
+        self._grow_tree()
         self.matcher = ahocorasick.Automaton()
         for piece, (i, score) in self.ids.items():
             self.matcher.add_word(piece, ((i,), score, len(piece)))
@@ -83,6 +89,27 @@ class Vocabulary:
             bytes([int(p[3:5], 16)]) if k == "b" else b"" if k == "c" else " ⁇ ".encode() if k == "u" else p.replace(BLANK, " ").encode()
             for p, k in zip(self.pieces, self.kinds, strict=True)
         ]
+        self.spelled = pa.array(self.parts, pa.large_binary())
+
+    def _grow_tree(self) -> None:
+        """The prefixes of all pieces as nodes of a tree; from a node by a character to a node, as a sorted table."""
+        children: dict[int, int] = {}
+        self.piece_at = [-1]
+        for piece, (i, _) in self.ids.items():
+            node = 0
+            for c in piece:
+                step = node << 21 | ord(c)
+                if (node := children.get(step, -1)) < 0:
+                    node = children[step] = len(self.piece_at)
+                    self.piece_at.append(-1)
+            self.piece_at[node] = i
+        self.piece_at = np.array(self.piece_at, np.int32)
+        steps = np.array(sorted(children), np.int64)
+        self.steps, self.nodes = steps, np.array([children[x] for x in steps.tolist()], np.int32)
+        self.first_step = np.full(0x110000, -1, np.int32)
+        from_root = np.array([x for x in steps.tolist() if x < 1 << 21], np.int64)
+        self.first_step[from_root] = self.nodes[: len(from_root)]
+        self.score_of = np.array(self.scores)
 
     def __getstate__(self) -> dict:
         return {"pieces": self.pieces, "scores": self.scores, "kinds": self.kinds}
@@ -178,47 +205,180 @@ class Vocabulary:
                 del front[n - len(found) :]
         return found
 
-    def encode(self, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, dict[int, Path]]]]:
-        """Best ids, and the n best as (score, {word: its other path}).
-
-        A word that takes another path loses at least its second path, so the n best
-        differ from the best in the n - 1 words that lose least by that, at most.
-        Only these words are searched for their n best.
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """``units`` of many texts: the distinct ones, all in a row as places among these, and where each text ends."""
+        ready = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+        whole = "".join(ready)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        if not len(points):
+            return [], np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+        kind = self.classes[points]
+        stops = np.cumsum([len(t) for t in ready])
+        for t, stop in zip(ready, stops.tolist(), strict=True):
+            if self.mixed is None or any(m in t for m in self.mixed):  # cut at blanks only
+                np.minimum(kind[stop - len(t) : stop], 1, out=kind[stop - len(t) : stop])
+        blank, before = kind == 0, np.concatenate(([0], kind[:-1]))
+        starts = (before != 0) & (blank | (kind != before))
+        starts[np.concatenate(([0], stops[:-1]))[stops > np.concatenate(([0], stops[:-1]))]] = True
+        at = np.flatnonzero(starts)
+        raw = whole.encode()
+        size = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+        begin = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        offsets = pa.py_buffer(np.append(begin[at], len(raw)).astype(np.int64))
+        coded = pa.LargeStringArray.from_buffers(len(at), offsets, pa.py_buffer(raw)).dictionary_encode()
+        return coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64), np.searchsorted(at, stops)
+
+    def best_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` of many units: scores, losses, and ids in a row with the place of the first and the number per unit."""
+        scores, losses = np.zeros(len(units)), np.zeros(len(units))
+        first, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        flat, filled = [np.empty(0, np.int32)], 0
+        short: list[int] = []
+        for i, u in enumerate(units):
+            if len(u) <= SHORT and self.characters.issuperset(u):
+                short.append(i)
+            else:
+                scores[i], found, losses[i] = self.best(u)
+                first[i], size[i] = filled, len(found)
+                flat.append(np.array(found, np.int32))
+                filled += len(found)
+        start, total = 0, 0
+        for k, i in enumerate(short):
+            total += len(units[i])
+            if total >= TOGETHER or k + 1 == len(short):
+                some = short[start : k + 1]
+                scores[some], losses[some], found, many = self._together([units[x] for x in some])
+                first[some], size[some] = filled + np.cumsum(many) - many, many
+                flat.append(found)
+                filled += len(found)
+                start, total = k + 1, 0
+        return scores, losses, np.concatenate(flat), first, size
+
+    def _together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, losses, ids in a row and their number per unit: forward Viterbi with the two best scores of every position, for units side by side.
+
+        Pieces are found by walking the tree from all places at once. Then all
+        pieces that end at the first character of their unit are looked at, those
+        that end at the second, and so on; the longest first, as in ``best``.
         """
-        units = self.units(text)
-        if len(self.memory) > REMEMBERED:
-            self.old, self.memory = self.memory, {}
-        memory, old = self.memory, self.old
-        best: list[int] = []
-        losses: list[float] = []
-        total = 0.0
-        for u in units:
-            known = memory.get(u)
-            if known is None:
-                known = old.get(u) or self.best(u)
-                if len(u) < 64:
-                    memory[u] = known
-            total += known[0]
-            best += known[1]
-            losses.append(known[2])
-        combined: list[tuple[float, dict[int, Path]]] = [(0.0, {})]
-        if n > 1:
-            for _ in range(min(n - 1, len(losses))):
-                loss = min(losses)
-                if loss == float("inf"):
-                    break
-                w = losses.index(loss)
-                losses[w] = float("inf")
-                paths = self.n_best(units[w], n)
-                first = memory.get(units[w]) or self.best(units[w])
-                # Among ties the path taken above goes first.
-                paths = [(paths[0][0], first[1]), *[p for p in paths if p[1] != first[1]]][:n]
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(u) for u in units], np.int64)
+        stop = np.cumsum(size)
+        left = np.repeat(stop, size) - np.arange(len(points))  # characters to the end of the unit
+        inside = np.repeat(size, size) - left
+        place = np.arange(len(points))
+        node = self.first_step[points]
+        begin, length, piece = [], [], []
+        depth = 1
+        while len(place):
+            found = self.piece_at[node]
+            hit = found >= 0
+            begin.append(place[hit])
+            piece.append(found[hit])
+            length.append(np.full(len(begin[-1]), depth, np.int64))
+            on = left[place] > depth
+            place, node = place[on], node[on].astype(np.int64)
+            step = node << 21 | points[place + depth]
+            spot = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            on = self.steps[spot] == step
+            place, node = place[on], self.nodes[spot[on]]
+            depth += 1
+        begin, length, piece = np.concatenate(begin), np.concatenate(length), np.concatenate(piece)
+        wave = (inside[begin] + length) * (depth + 1) + depth - length
+        order = np.argsort(wave.astype(np.uint16), kind="stable")
+        begin, length, piece, wave = begin[order], length[order], piece[order], wave[order]
+        # Every unit has one place more than characters.
+        own = np.repeat(np.arange(len(units)), size)
+        source = begin + own[begin]
+        target = source + length
+        zero = stop - size + np.arange(len(units))
+        first, second = np.full(len(points) + len(units), _NONE), np.full(len(points) + len(units), _NONE)
+        came = np.zeros(len(first), np.int64)
+        first[zero] = 0.0
+        gain = self.score_of[piece]
+        cuts = np.flatnonzero(np.diff(wave, prepend=-1, append=-1))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            s, t, g = source[i:j], target[i:j], gain[i:j]
+            x, y, old = first[s] + g, second[s] + g, first[t]
+            better = x > old
+            second[t] = np.maximum(second[t], np.maximum(np.where(better, old, x), y))
+            first[t] = np.where(better, x, old)
+            came[t[better]] = np.arange(i, j)[better]
+        end = zero + size
+        # Back from the ends, one piece of every unit at a time.
+        at, who, steps = end.copy(), np.arange(len(units)), []
+        while len(who):
+            edge = came[at]
+            steps.append((who, piece[edge]))
+            at = source[edge]
+            on = at > zero[who]
+            at, who = at[on], who[on]
+        many = np.zeros(len(units), np.int64)
+        for who, _ in steps:
+            many[who] += 1
+        ends = np.cumsum(many)
+        flat = np.empty(ends[-1], np.int32)
+        for k, (who, p) in enumerate(steps):
+            flat[ends[who] - 1 - k] = p
+        return first[end], first[end] - second[end], flat, many
+
+    def encode_all(self, texts: list[str], n: int = 1) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, dict[int, Path]]]]]:
+        """(ids of all texts in a row, where each text ends, per text the n best as (score, {unit: its other path})).
+
+        A unit that takes another path loses at least its second path, so the n best
+        differ from the best in the n - 1 units that lose least by that, at most.
+        Only these units are searched for their n best.
+        """
+        units, at, ends = self.cut(texts)
+        scores, losses, flat, first, size = self.best_of(units)
+        here = size[at]
+        stops = np.concatenate(([0], np.cumsum(here)))
+        spelled = flat[np.repeat(first[at] - stops[:-1], here) + np.arange(stops[-1])]
+        least = self._least(losses[at], ends, n - 1)
+        known: dict[int, list[Path]] = {}
+        ranked = []
+        for k, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            total = float(np.cumsum(scores[at[i:j]])[-1]) if j > i else 0.0
+            combined: list[tuple[float, dict[int, Path]]] = [(0.0, {})]
+            for w in least[k]:
+                u = at[w]
+                if u not in known:
+                    paths, taken = self.n_best(units[u], n), tuple(flat[first[u] : first[u] + size[u]].tolist())
+                    # Among ties the path taken above goes first.
+                    known[u] = [(paths[0][0], taken), *[p for p in paths if p[1] != taken]][:n]
+                paths = known[u]
                 combined = heapq.nsmallest(
                     n,
-                    [(lost + paths[0][0] - p[0], {**picks, w: p} if c else picks) for lost, picks in combined for c, p in enumerate(paths)],
-                    key=lambda x: x[0],
+                    [(lost + paths[0][0] - p[0], {**picks, int(w) - i: p} if c else picks) for lost, picks in combined for c, p in enumerate(paths)],
+                    key=_LOST,
                 )
-        return best, [(total - lost, picks) for lost, picks in combined]
+            ranked.append([(total - lost, picks) for lost, picks in combined])
+        return spelled, stops[ends], ranked
+
+    @staticmethod
+    def _least(losses: np.ndarray, ends: np.ndarray, n: int) -> list[list[int]]:
+        """Per text the places of its n smallest finite losses, the smallest first, among ties the first."""
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        out: list[list[int]] = [[] for _ in ends]
+        full = np.flatnonzero(ends > starts)
+        if not len(full):
+            return out
+        losses, own = losses.copy(), np.repeat(np.arange(len(ends)), ends - starts)
+        for _ in range(n):
+            low = np.full(len(ends), np.inf)
+            low[full] = np.minimum.reduceat(losses, starts[full])
+            spots = np.flatnonzero((losses == low[own]) & np.isfinite(losses))
+            spot = np.full(len(ends), -1)
+            spot[own[spots][::-1]] = spots[::-1]
+            for k in np.flatnonzero(spot >= 0).tolist():
+                out[k].append(int(spot[k]))
+            losses[spot[spot >= 0]] = np.inf
+        return out
+
+    def encode(self, text: str, n: int = 1) -> tuple[list[int], list[tuple[float, dict[int, Path]]]]:
+        """Best ids of one text, and its n best; see ``encode_all``."""
+        ids, _, ranked = self.encode_all([text], n)
+        return ids.tolist(), ranked[0]
 
     def spell(self, text: str, picks: dict[int, Path]) -> list[int]:
         """The ids of one of the n best of a text."""
@@ -227,8 +387,22 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a piece sequence. Bytes that form no character are replaced, the first blank goes."""
-        out = b"".join([self.parts[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+        return _text(b"".join([self.parts[i] for i in ids]))
+
+    def decode_all(self, lists: pa.ListArray) -> list[str | None]:
+        """``decode`` of a column of sequences; null stays null."""
+        spelled = self.spelled.take(lists.flatten())
+        ends = np.frombuffer(spelled.buffers()[1], np.int64)[: len(spelled) + 1]
+        raw = memoryview(spelled.buffers()[2] or b"")
+        # Null lists hold nothing of what ``flatten`` gives.
+        stops = ends[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))].tolist()
+        there = lists.is_valid().to_pylist()
+        return [_text(bytes(raw[i:j])) if ok else None for ok, i, j in zip(there, stops[:-1], stops[1:], strict=True)]
+
+
+def _text(raw: bytes) -> str:
+    out = raw.decode("utf-8", "replace")
+    return out[1:] if out.startswith(" ") else out
 
 
 def encode(
@@ -247,22 +421,18 @@ def encode(
 
     def encoded(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for batch in batches(iterator, 500, 2 << 20):
-            ids, scores, crcs, paths = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                best, ranked = vocabulary.encode(t or "", n_best)
-                row = np.array(best, np.int32)
-                ids.append(row)
-                crcs.append(zlib.crc32(row.astype("<i4").tobytes()))
-                scores.append([s for s, _ in ranked])
-                if alternatives:
-                    paths.append([vocabulary.spell(t or "", picks) for _, picks in ranked])
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        for batch in batches(iterator, 4000, 4 << 20):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids, ends, ranked = vocabulary.encode_all(texts, n_best)
+            starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+            raw = ids.astype("<i4")
+            crcs = [zlib.crc32(raw[i:j].tobytes()) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
             columns = [
-                batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
-                pa.array(crcs, pa.int64()), pa.array(scores, pa.list_(pa.float64())), batch.column(2),
+                batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(ids)),
+                pa.array(crcs, pa.int64()), pa.array([[s for s, _ in r] for r in ranked], pa.list_(pa.float64())), batch.column(2),
             ]
             if alternatives:
+                paths = [[vocabulary.spell(t, picks) for _, picks in r] for t, r in zip(texts, ranked, strict=True)]
                 columns.append(pa.array(paths, pa.list_(pa.list_(pa.int32()))))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -275,13 +445,16 @@ def encode(
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """``rows`` with the column ``ids`` replaced by ``text``; null ids give a null text."""
+    """``rows`` with the column ``ids`` replaced by ``text``; null ids give a null text, no ids an empty one.
+
+    Repeated rows give repeated results, an empty table gives none.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     at = rows.columns.index(ids)
 
     def decoded(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(iterator, 500, 4 << 20):
-            texts = [None if x is None else shared.value.decode(x) for x in batch.column(at).to_pylist()]
+            texts = shared.value.decode_all(batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], out.names
             )
