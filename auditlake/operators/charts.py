@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import total_of, micros, as_double, ratio
+from auditlake.functions.exprs import as_double, kind_of, micros, ratio, total_of
 from auditlake.functions.ordering import exact_quantiles, next_value
 
 SALTS = 16
@@ -15,15 +15,15 @@ SALTS = 16
 
 def series_matrix(df: DataFrame, label: str, series: str, measure: str, values: list[str]) -> DataFrame:
     """Labels down, series across; cells without rows are 0. The series are named, so no extra pass."""
-    cells = df.groupBy(label).pivot(series, values).agg(total_of(measure))
+    cells = df.groupBy(label).pivot(series, values).agg(total_of(measure, kind_of(df, measure)))
     return cells.fillna(0.0, subset=[str(v) for v in values])
 
 
 def shares(df: DataFrame, label: str, measure: str) -> DataFrame:
     """Total per label and its share of the whole."""
-    totals = df.groupBy(label).agg(total_of(measure).alias("total"))
-    # One row per label: the whole is the sum of these, not another scan.
-    whole = F.sum("total").over(Window.partitionBy())
+    totals = df.groupBy(label).agg(total_of(measure, kind_of(df, measure)).alias("total"))
+    # A sum over the grouped rows: Spark reads their shuffle twice, not the table, and no task holds all labels.
+    whole = totals.agg(F.sum("total").alias("w")).scalar()
     return totals.withColumn("share", as_double(ratio(F.col("total") * 100, whole)))
 
 
@@ -65,7 +65,7 @@ def box(df: DataFrame, key: str, col: str) -> DataFrame:
 def hierarchy(df: DataFrame, levels: list[str], measure: str) -> DataFrame:
     """Totals at every level of a hierarchy, with the depth of each row."""
     rows = df.rollup(*levels).agg(
-        total_of(measure).alias("total"), F.count("*").alias("n"), F.grouping_id().alias("_g")
+        total_of(measure, kind_of(df, measure)).alias("total"), F.count("*").alias("n"), F.grouping_id().alias("_g")
     )
     depth = reduce(
         lambda a, i: F.when(F.col("_g") == (1 << i) - 1, len(levels) - i).otherwise(a),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.exprs import (
-    FRACTIONAL, NUMERIC, TEMPORAL, as_col, distinct_form, literal_table, melt, numeric_columns, as_double, ratio,
+    FRACTIONAL, NUMERIC, TEMPORAL, as_col, distinct_form, kind_of, literal_table, melt, numeric_columns, as_double, ratio,
     string_columns,
     temporal_columns, trunc, ts_text, mean_of, total_of, flattened, no_rows,
 )
@@ -91,23 +91,21 @@ def column_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def numeric_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Min, max and mean per numeric column."""
+    """Min, max and mean per numeric column; the extremes as doubles, and exact as text."""
     cols = cols or numeric_columns(df)
     if not cols:
-        return no_rows(df, "column_name string, min_value double, max_value double, avg_value double")
+        return no_rows(df, "column_name string, min_value double, max_value double, avg_value double, min_exact string, max_exact string")
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [
-            F.min(c).cast("double").alias(f"_a{i}"),
-            F.max(c).cast("double").alias(f"_b{i}"),
-            mean_of(c).alias(f"_m{i}"),
-        ]
+        aggs += [F.min(c).alias(f"_a{i}"), F.max(c).alias(f"_b{i}"), mean_of(c, kind_of(df, c)).alias(f"_m{i}")]
     entries = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.col(f"_a{i}").alias("min_value"),
-            F.col(f"_b{i}").alias("max_value"),
+            F.col(f"_a{i}").cast("double").alias("min_value"),
+            F.col(f"_b{i}").cast("double").alias("max_value"),
             F.col(f"_m{i}").alias("avg_value"),
+            F.col(f"_a{i}").cast("string").alias("min_exact"),
+            F.col(f"_b{i}").cast("string").alias("max_exact"),
         )
         for i, c in enumerate(cols)
     ]
@@ -183,7 +181,7 @@ def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) ->
             text = ts_text if isinstance(kind, TEMPORAL) else lambda x: F.col(x).cast("string")
             low, high = text(f"_a{i}"), text(f"_b{i}")
         if isinstance(kind, NUMERIC):
-            aggs.append(mean_of(c).alias(f"_m{i}"))
+            aggs.append(mean_of(c, kind).alias(f"_m{i}"))
             avg = F.col(f"_m{i}")
         entries.append(
             F.struct(
@@ -215,7 +213,7 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             F.count(c).alias(f"_nn{i}"),
             F.min(c).cast("double").alias(f"_a{i}"),
             F.max(c).cast("double").alias(f"_b{i}"),
-            mean_of(c).alias(f"_m{i}"),
+            mean_of(c, kind_of(df, c)).alias(f"_m{i}"),
             as_double(F.stddev_samp(c)).alias(f"_s{i}"),
             bracket_sketch(F.col(c), probs).alias(f"_k{i}"),
         ]
@@ -304,7 +302,7 @@ STABLE_R2 = 0.1
 
 def trend(df: DataFrame, ts: str, measure: str, grain: str = "month") -> DataFrame:
     """Least-squares line through the bucket sums; strength is its r squared."""
-    buckets = df.groupBy(trunc(grain, ts).alias("bucket")).agg(total_of(measure).alias("total"))
+    buckets = df.groupBy(trunc(grain, ts).alias("bucket")).agg(as_double(total_of(measure, kind_of(df, measure))).alias("total"))
     # One row per bucket of time: the number of buckets is bounded by the calendar.
     numbered = buckets.withColumn("x", (F.row_number().over(Window.orderBy("bucket")) - 1).cast("double"))
     line = numbered.agg(
@@ -318,29 +316,3 @@ def trend(df: DataFrame, ts: str, measure: str, grain: str = "month") -> DataFra
         .when(F.col("slope") > 0, "increasing")
         .otherwise("decreasing"),
     )
-
-
-def approx_profile(df: DataFrame, cols: list[str] | None = None, rsd: float = 0.02) -> DataFrame:
-    """The profile for wide and large tables: sketches, one pass, no value shuffle."""
-    cols = cols or numeric_columns(df)
-    aggs = [F.count("*").alias("_total")]
-    for i, c in enumerate(cols):
-        x = as_col(c).cast("double")
-        aggs += [
-            F.count(c).alias(f"_nn{i}"),
-            F.approx_count_distinct(c, rsd).alias(f"_d{i}"),
-            F.percentile_approx(x, 0.5, 10_000).alias(f"_p{i}"),
-            F.kll_sketch_agg_double(x).alias(f"_k{i}"),
-        ]
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col("_total").alias("total_count"),
-            F.col(f"_nn{i}").alias("non_null_count"),
-            F.col(f"_d{i}").alias("approx_distinct"),
-            F.col(f"_p{i}").alias("approx_median"),
-            F.kll_sketch_get_quantile_double(f"_k{i}", F.lit(0.95)).alias("approx_p95"),
-        )
-        for i, c in enumerate(cols)
-    ]
-    return melt(df.agg(*aggs), entries)

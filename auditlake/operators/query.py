@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.exprs import as_datetime, fixed_part, rest_part, mean_of, total_of, as_double, ratio, resolve_as_of, ts_lit, trunc
+from auditlake.functions.exprs import (
+    as_datetime, as_double, kind_of, mean_of, ratio, resolve_as_of, sum_parts, total_of, total_parts, trunc, ts_lit,
+)
 from auditlake.functions.ordering import row_numbers_split
 
 RESULT_CAP = 1000  # fixed value: rows shown when a query names no limit
@@ -35,7 +37,7 @@ def filtered_group_agg(df: DataFrame, pred: Column, key: str, measure: str) -> D
     return (
         df.filter(pred)
         .groupBy(key)
-        .agg(F.count("*").alias("n"), mean_of(measure).alias("avg_value"))
+        .agg(F.count("*").alias("n"), mean_of(measure, kind_of(df, measure)).alias("avg_value"))
     )
 
 
@@ -43,7 +45,7 @@ def monthly_sum(df: DataFrame, ts: str, measure: str, pred: Column) -> DataFrame
     return (
         df.filter(pred)
         .groupBy(trunc("month", ts).alias("month"))
-        .agg(total_of(measure).alias("total"))
+        .agg(total_of(measure, kind_of(df, measure)).alias("total"))
         .orderBy("month")
     )
 
@@ -56,14 +58,11 @@ def join_agg(
     The fact side is summed per join key before it meets the dimension: a hot
     key shrinks to one row per task, and only distinct keys are shuffled.
     """
-    per_key = fact.groupBy(F.col(fact_key).alias("_k")).agg(
-        F.count("*").alias("_n"),
-        F.count(measure).alias("_m"),
-        F.sum(fixed_part(measure)).alias("_s"),
-        F.sum(rest_part(measure)).alias("_r"),
-    )
+    kind = kind_of(fact, measure)
+    parts = [F.sum(part).alias(f"_s{i}") for i, part in enumerate(sum_parts(measure, kind))]
+    per_key = fact.groupBy(F.col(fact_key).alias("_k")).agg(F.count("*").alias("_n"), F.count(measure).alias("_m"), *parts)
     joined = per_key.join(dim.select(F.col(dim_key).alias("_k"), group), "_k")
-    total = F.coalesce(F.sum("_s").cast("double"), F.lit(0.0)) + F.sum("_r")
+    total = total_parts([F.sum(f"_s{i}") for i in range(len(parts))], kind)
     return joined.groupBy(group).agg(
         F.sum("_n").alias("n"), total.alias("total"), as_double(ratio(total, F.sum("_m"))).alias("avg_value")
     )
@@ -74,7 +73,7 @@ def where_lt(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def group_avg(df: DataFrame, key: str, measure: str) -> DataFrame:
-    return df.groupBy(key).agg(mean_of(measure).alias("avg_value"))
+    return df.groupBy(key).agg(mean_of(measure, kind_of(df, measure)).alias("avg_value"))
 
 
 def semi_in(df: DataFrame, other: DataFrame, col: str, other_col: str) -> DataFrame:
@@ -92,7 +91,9 @@ def top_k_per_group(
     fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, group: str, measure: str, k: int
 ) -> DataFrame:
     """The k dimension members with the largest summed measure, per group of the dimension."""
-    per_key = fact.groupBy(F.col(fact_key).alias(dim_key)).agg(total_of(measure).alias("total"))
+    per_key = fact.groupBy(F.col(fact_key).alias(dim_key)).agg(
+        total_of(measure, kind_of(fact, measure)).alias("total")
+    )
     joined = per_key.join(dim.select(dim_key, group), dim_key)
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), F.col(dim_key)))
     return (
@@ -111,11 +112,13 @@ def kpis(orders: DataFrame, lines: DataFrame, price: str, discount: str, order_v
 
 
 def scalar_agg(df: DataFrame, fn: str, col: str) -> DataFrame:
+    """One figure of a column: sums and extremes in the column's own kind of number, the rest as doubles."""
+    kind = kind_of(df, col)
     out = {
-        "sum": total_of(col),
-        "avg": mean_of(col),
-        "min": F.min(col).cast("double"),
-        "max": F.max(col).cast("double"),
+        "sum": total_of(col, kind),
+        "avg": mean_of(col, kind),
+        "min": F.min(col),
+        "max": F.max(col),
         "count": F.count(col).cast("double"),
     }[fn]
     return df.agg(out.alias("value"))
@@ -123,8 +126,9 @@ def scalar_agg(df: DataFrame, fn: str, col: str) -> DataFrame:
 
 def cohort_compare(df: DataFrame, flag: Column, measure: str) -> DataFrame:
     """Count, mean and sum of a measure for the rows inside and outside a cohort."""
+    kind = kind_of(df, measure)
     return df.groupBy(F.coalesce(flag, F.lit(False)).alias("in_cohort")).agg(
-        F.count("*").alias("n"), mean_of(measure).alias("avg_value"), total_of(measure).alias("total")
+        F.count("*").alias("n"), mean_of(measure, kind).alias("avg_value"), total_of(measure, kind).alias("total")
     )
 
 

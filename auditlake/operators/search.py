@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.exprs import as_double
 from auditlake.functions.substrings import MOST_CHARACTERS, occurrences
 from auditlake.functions.text import contains_any, hit_count
+from auditlake.session import materialize
 
 # Stop words of the two keyword extractors.
 QUERY_STOP_WORDS = [
@@ -148,7 +149,8 @@ def concept_scores(df: DataFrame, concepts: dict[str, list[str]]) -> DataFrame:
 
 def concept_select(df: DataFrame, concepts: dict[str, list[str]], key: str) -> DataFrame:
     """Items above the threshold, else the best three; with the confidence of the choice."""
-    scored = concept_scores(df, concepts).filter(F.col("score") > 0).select(key, "name", "score")
+    # Read four times below: the table is scanned once, for the items that score at all.
+    scored = materialize(concept_scores(df, concepts).filter(F.col("score") > 0).select(key, "name", "score"))
     above = scored.filter(F.col("score") > SELECT_ABOVE)
     some = scored.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("m")).scalar() > SELECT_ABOVE
     rest = scored.orderBy(F.desc("score"), key).limit(SELECT_REST).filter(~some)

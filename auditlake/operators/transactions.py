@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import (
-    count_if, day_text, total_of, micros, as_double, ratio, resolve_as_of, ts_lit,
+    count_if, day_text, kind_of, total_of, micros, as_double, ratio, resolve_as_of, ts_lit,
 )
 
 # Thresholds of the detectors.
@@ -147,7 +147,7 @@ def structuring(
     return (
         df.filter(in_band)
         .groupBy(user, day_text(ts).alias("day"))
-        .agg(F.count("*").alias("tx_count"), total_of(amount).alias("total_amount"))
+        .agg(F.count("*").alias("tx_count"), total_of(amount, kind_of(df, amount)).alias("total_amount"))
         .filter(F.col("tx_count") >= min_n)
     )
 

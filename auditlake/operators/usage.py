@@ -294,8 +294,9 @@ def actor_performance(
     log: DataFrame, actor: str, ts: str, ok: Column, duration: str, as_of: dt.datetime | str | None = None
 ) -> DataFrame:
     """Per actor: success rate, mean time, errors, and rows in the last day."""
-    now = resolve_as_of(log, ts, as_of)
-    since = ts_lit(now - ACTOR_WINDOW, log.schema[ts].dataType)
+    now, kind = resolve_as_of(log, ts, as_of), log.schema[ts].dataType
+    # An empty log has no last day.
+    since = F.lit(None).cast(kind) if now is None else ts_lit(now - ACTOR_WINDOW, kind)
     return log.groupBy(actor).agg(
         F.count("*").alias("total"),
         as_double(ratio(count_if(ok), F.count("*"))).alias("success_rate"),

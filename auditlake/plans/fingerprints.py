@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.operators import fingerprint as fp
+from auditlake.operators import state as st
 from auditlake.plans import Registry
-from auditlake.plans.profiles import CONTENT, CUSTOMER, ORDERS, PAGES
-from auditlake.session import materialize
+from auditlake.plans.profiles import CONTENT, CUSTOMER, EXACT, ORDERS, PAGES, exact_figures_sql
+from auditlake.session import materialize, scratch_path
+from auditlake.sources.sinks import replace_partition
 from auditlake.sources.tables import load
 
 REG = Registry()
@@ -191,3 +193,88 @@ def f5(spark, d):
     new = fp.fingerprints({"orders": load(spark, d, "orders"), "customer": _new_customer(spark, d)})
     # One row per table, read twice by the plan: compute it once.
     return fp.recompute_plan(materialize(fp.snapshot_changes(old, new, "table_name", "fingerprint")))
+
+
+# Key and links per table, as a caller states them.
+STATED_KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "pages": ["page_id"]}
+STATED_LINKS = {"orders": ["o_custkey->customer.c_custkey"], "customer": ["c_nationkey->nation.n_nationkey"]}
+
+
+def _leaves_sql(families: dict[str, dict[str, str]], keys, links, sources: dict[str, str] | None = None) -> str:
+    parts = []
+    for t, columns in families.items():
+        source = (sources or {}).get(t, t)
+        body = components_sql(t, columns, source)
+        parts += [
+            f"SELECT '{t}' AS table_name, 'structural' AS component, column_name AS part, type_family AS value FROM ({body})",
+            f"""SELECT '{t}', 'data_patterns', column_name, concat_ws('|', cardinality_class, null_class, length_class, content_class)
+                FROM ({body})""",
+            f"SELECT '{t}', 'metadata', 'size', {SIZE} FROM {source}",
+            f"SELECT '{t}', 'relational', 'key', '{','.join(sorted(keys.get(t, [])))}'",
+            *[f"SELECT '{t}', 'relational', 'link', '{x}'" for x in sorted(links.get(t, []))],
+        ]
+    return " UNION ALL ".join(parts)
+
+
+def tree_sql(leaves: str) -> str:
+    short = lambda x: f"left(sha256({x}), 16)"
+    over = "string_agg(fingerprint, chr(10) ORDER BY fingerprint)"
+    return f"""
+    WITH l AS (SELECT *, {short("concat_ws('=', component, part, value)")} AS fingerprint FROM ({leaves})),
+         c AS (SELECT table_name, component, {short(over)} AS fingerprint FROM l GROUP BY ALL),
+         t AS (SELECT table_name, {short(f"concat_ws(chr(10), table_name, {short(over)})")} AS fingerprint FROM c GROUP BY table_name)
+    SELECT 'schema' AS level, CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS component, CAST(NULL AS VARCHAR) AS part,
+           {short(f"concat_ws(chr(10), CAST(count(*) AS VARCHAR), {over})")} AS fingerprint FROM t
+    UNION ALL SELECT 'table', table_name, NULL, NULL, fingerprint FROM t
+    UNION ALL SELECT 'component', table_name, component, NULL, fingerprint FROM c
+    UNION ALL SELECT 'leaf', table_name, component, part, fingerprint FROM l
+    """
+
+
+@REG.add("f1_schema_fingerprint", tree_sql(_leaves_sql(FAMILIES, STATED_KEYS, STATED_LINKS)))
+def f1_schema(spark, d):
+    return fp.fingerprint_tree({t: load(spark, d, t) for t in FAMILIES}, STATED_KEYS, STATED_LINKS)
+
+
+# Orders lose a link, customers change as above, pages go, and regions come.
+LATER_FAMILIES = {"orders": FAMILIES["orders"], "customer": NEW_FAMILIES, "region": {"r_regionkey": "integer", "r_name": "text"}}
+
+
+@REG.add(
+    "f4_tree_diff",
+    f"""
+    WITH old AS ({_leaves_sql(FAMILIES, STATED_KEYS, STATED_LINKS)}),
+         new AS ({_leaves_sql(LATER_FAMILIES, STATED_KEYS, {"customer": STATED_LINKS["customer"]}, {"customer": NEW_CUSTOMER})}),
+         d AS ((SELECT * FROM old EXCEPT ALL SELECT * FROM new) UNION ALL (SELECT * FROM new EXCEPT ALL SELECT * FROM old))
+    SELECT table_name, CASE WHEN table_name NOT IN (SELECT table_name FROM old) THEN 'added'
+                            WHEN table_name NOT IN (SELECT table_name FROM new) THEN 'removed' ELSE 'changed' END AS status,
+           bool_or(component = 'structural') AS structural_changed, bool_or(component = 'relational') AS relational_changed,
+           bool_or(component = 'data_patterns') AS data_patterns_changed, bool_or(component = 'metadata') AS metadata_changed,
+           CASE WHEN bool_or(component IN ('structural', 'relational')) THEN 'high' ELSE 'low' END AS impact,
+           string_agg(DISTINCT component || '.' || part, ',' ORDER BY component || '.' || part) AS changed_parts
+    FROM d GROUP BY table_name
+    """,
+)
+def f4_tree(spark, d):
+    old = fp.fingerprint_tree({t: load(spark, d, t) for t in FAMILIES}, STATED_KEYS, STATED_LINKS)
+    later = {"orders": load(spark, d, "orders"), "customer": _new_customer(spark, d), "region": load(spark, d, "region")}
+    new = fp.fingerprint_tree(later, STATED_KEYS, {"customer": STATED_LINKS["customer"]})
+    return fp.tree_diff(old, new).withColumn("changed_parts", F.array_join("changed_parts", ","))
+
+
+# The orders in progress are ingested anew, their totals raised by one and their urgent ones left out.
+INGESTED = """(SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders
+    WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'))"""
+
+
+@REG.add("f5_reprofile", exact_figures_sql("orders", FAMILIES["orders"], INGESTED))
+def f5_reprofile(spark, d):
+    """A table of files by status, its states, an ingest of one status, and the profile from old and new states."""
+    path = scratch_path(spark, "orders")
+    orders = load(spark, d, "orders")
+    replace_partition(orders, path, "o_orderstatus")
+    before = materialize(st.refresh(spark, path))
+    part = orders.filter("o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT'").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    replace_partition(part, path, "o_orderstatus")
+    after = st.refresh(spark, path, before)
+    return st.reprofile(spark, path, after).select(*EXACT)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from auditlake.functions.exprs import micros
 from auditlake.operators import profile as p
 from auditlake.operators import quality as q
+from auditlake.operators import state as st
 from auditlake.plans import Registry
 from auditlake.plans.shapes import mean, total
 from auditlake.sources.tables import load
@@ -41,7 +45,7 @@ def c1(spark, d):
     "c2_numeric_range",
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, "
-        f"{mean(c)} AS avg_value FROM lineitem"
+        f"{mean(c)} AS avg_value, CAST(min({c}) AS VARCHAR) AS min_exact, CAST(max({c}) AS VARCHAR) AS max_exact FROM lineitem"
         for c in LINES[:8]
     ),
 )
@@ -328,4 +332,56 @@ def c17(spark, d):
 
 @REG.add("c18_approx_profile")
 def c18(spark, d):
-    return p.approx_profile(load(spark, d, "lineitem"))
+    return st.approx_profile(load(spark, d, "lineitem"))
+
+
+def exact_figures_sql(table: str, families: dict[str, str], source: str | None = None) -> str:
+    """What a merged profile knows exactly, column by column."""
+    parts = []
+    for c, family in families.items():
+        number, time = family in ("integer", "numeric"), family == "temporal"
+        edge = lambda f: (
+            f"CAST({f}({c}) AS VARCHAR)" if number else f"strftime({f}({c}), '%Y-%m-%d %H:%M:%S.%f')" if time else "CAST(NULL AS VARCHAR)"
+        )
+        parts.append(
+            f"""SELECT '{c}' AS column_name, '{family}' AS data_type, count(*) AS total_count, count({c}) AS non_null_count,
+                count(*) - count({c}) AS null_count, {edge('min')} AS min_value, {edge('max')} AS max_value,
+                {mean(c) if number else 'CAST(NULL AS DOUBLE)'} AS avg_value FROM {source or table}"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+EXACT = ["column_name", "data_type", "total_count", "non_null_count", "null_count", "min_value", "max_value", "avg_value"]
+LINE_FAMILIES = dict(zip(LINES, ["integer"] * 4 + ["numeric"] * 4 + ["text"] * 2 + ["temporal"], strict=True))
+
+
+@REG.add("c18_exact_figures", exact_figures_sql("lineitem", LINE_FAMILIES))
+def c18_exact(spark, d):
+    return st.approx_profile(load(spark, d, "lineitem")).select(*EXACT)
+
+
+@REG.add(
+    "c18_sketch_bounds",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, true AS distinct_close, true AS median_close, true AS common_close" for c in LINES),
+)
+def c18_bounds(spark, d):
+    """The sketches against exact figures: distinct values within 5 %, medians within 1 % of the ranks, counts of frequent values within 1/1000 of the rows."""
+    lines = load(spark, d, "lineitem")
+    near = st.approx_profile(lines)
+    exact = p.column_counts(lines).select("column_name", "distinct_count")
+    sizes = lines.select(*[F.col(c) if LINE_FAMILIES[c] != "text" else F.length(c).alias(c) for c in LINES])
+    pairs = [F.struct(F.lit(c).alias("column_name"), (micros(c) if LINE_FAMILIES[c] == "temporal" else F.col(c)).cast("double").alias("v")) for c in LINES]
+    middle = F.coalesce("approx_median", micros(F.to_timestamp_ntz("approx_median_time")).cast("double")).alias("m")
+    ranks = sizes.select(F.inline(F.array(*pairs))).join(F.broadcast(near.select("column_name", middle)), "column_name").groupBy("column_name").agg(
+        F.avg((F.col("v") < F.col("m")).cast("double")).alias("below"), F.avg((F.col("v") > F.col("m")).cast("double")).alias("above")
+    )
+    counts = p.long_form(lines, LINES, "string").groupBy("column_name", "value").agg(F.count("*").alias("exact_n"))
+    told = near.select("column_name", "total_count", F.inline("common_values"))
+    common = told.join(counts, ["column_name", "value"]).groupBy("column_name").agg(
+        F.bool_and(F.abs(F.col("n") - F.col("exact_n")) <= F.col("total_count") / 1000).alias("common_close")
+    )
+    off = F.abs(F.col("approx_distinct") - F.col("distinct_count")) / F.col("distinct_count")
+    return near.join(exact, "column_name").join(ranks, "column_name").join(common, "column_name", "left").select(
+        "column_name", (off <= 0.05).alias("distinct_close"), ((F.col("below") <= 0.51) & (F.col("above") <= 0.51)).alias("median_close"),
+        F.coalesce("common_close", F.lit(True)).alias("common_close"),
+    )

@@ -22,11 +22,12 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> str:
 def replace_partition(df: DataFrame, path: str, group: str) -> str:
     """Replace the groups that occur in ``df`` and keep every other group at ``path``.
 
-    No shuffle on the group: each task writes its own file per group, so a
-    group holding most rows is still written by all tasks.
+    Rows are brought together by group in partitions of Spark's advisory size:
+    small groups share a task, a large one is spread over several, so a group has
+    as many files as its size asks for.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", group).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(group)
         .parquet(path)

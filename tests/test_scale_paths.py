@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -9,11 +10,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from auditlake.functions import exprs, inverted
 from auditlake.functions.ordering import exact_quantiles, next_value, prefix_sums
-from auditlake.functions import inverted
 from auditlake.functions.substrings import occurrences
-from auditlake.operators import charts, fingerprint, profile, retrieve, search
+from auditlake.operators import charts, fingerprint, profile, query, retrieve, search, state, usage
 from auditlake.operators import query as q
+from auditlake.sources import sinks
 from auditlake.sources.tables import load
 
 
@@ -292,11 +294,106 @@ def test_distinct_samples_over_many_batches(spark):
 def test_approx_profile_is_close(spark, sf_dir):
     df = load(spark, sf_dir, "lineitem")
     exact = {r["column_name"]: r["distinct_count"] for r in profile.column_counts(df).collect()}
-    for r in profile.approx_profile(df).collect():
-        assert r["approx_distinct"] == pytest.approx(exact[r["column_name"]], rel=0.08)
+    rows = {r["column_name"]: r for r in state.approx_profile(df).collect()}
+    assert len(rows) == 11
+    for c, r in rows.items():
+        assert r["approx_distinct"] == pytest.approx(exact[c], rel=0.05)
     median = profile.numeric_summary(df, ["l_extendedprice"]).first()["median"]
-    near = profile.approx_profile(df, ["l_extendedprice"]).first()
-    assert near["approx_median"] == pytest.approx(median, rel=0.02)
+    assert rows["l_extendedprice"]["approx_median"] == pytest.approx(median, rel=0.02)
+    for c in ("l_returnflag", "l_linestatus"):
+        top = {(r["value"], r["n"]) for r in profile.categorical_summary(df, 5, [c]).collect()}
+        assert {(v["value"], v["n"]) for v in rows[c]["common_values"]} == top
+
+
+def test_approx_profile_of_any_kind(spark):
+    df = spark.sql("""
+        SELECT id, if(id % 3 = 0, NULL, cast(id AS decimal(30, 2)) + 123456789012345678901234.5) AS d, id % 2 = 0 AS b, array(id, 1) AS a,
+               repeat('x', int(id)) AS t, date_add(date'2020-01-01', int(id)) AS day, cast(NULL AS string) AS empty, (1L << 60) + id AS big
+        FROM range(200)""")
+    rows = {r["column_name"]: r for r in state.approx_profile(df).collect()}
+    assert rows["big"]["max_value"] == str((1 << 60) + 199) and rows["d"]["min_value"] == "123456789012345678901235.50"
+    assert rows["d"]["null_count"] == 67 and rows["day"]["approx_median_time"].startswith("2020-04-0")
+    assert rows["t"]["approx_median"] == pytest.approx(100, abs=2) and rows["a"]["approx_distinct"] == 200
+    assert rows["empty"]["non_null_count"] == 0 and rows["empty"]["common_values"] is None and rows["empty"]["approx_distinct"] == 0
+    assert {(v["value"], v["n"]) for v in rows["b"]["common_values"]} == {("true", 100), ("false", 100)}
+    assert state.approx_profile(df.filter("false")).filter("total_count = 0 AND approx_median IS NULL").count() == 8
+
+
+def test_only_changed_files_are_profiled_again(spark, tmp_path):
+    path = str(tmp_path / "t a+b")
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"), F.concat(F.lit("n"), F.col("id") % 7).alias("s"))
+    sinks.replace_partition(rows, path, "g")
+    first = state.refresh(spark, path)
+    known = spark.createDataFrame(first.collect(), first.schema)
+    again = state.refresh(spark, path, known)
+    assert "ObjectHashAggregate" not in again._jdf.queryExecution().executedPlan().toString()
+    sinks.replace_partition(rows.filter("g = 1").withColumn("v", F.col("v") + 10_000), path, "g")
+    after = state.refresh(spark, path, known)
+    fresh = {r["_file"] for r in after.select("_file").collect()} - {r["_file"] for r in known.select("_file").collect()}
+    assert fresh and all("/g=1/" in f for f in fresh)
+    table = spark.read.parquet(path)
+    exact = ["column_name", "total_count", "non_null_count", "min_value", "max_value", "avg_value"]
+    a = state.reprofile(spark, path, after).select(*exact, "approx_distinct").orderBy("column_name").collect()
+    b = state.approx_profile(table).select(*exact, "approx_distinct").orderBy("column_name").collect()
+    assert a == b
+
+
+def test_sums_by_type(spark):
+    big = spark.createDataFrame([((1 << 60) + 1, "a"), ((1 << 60) + 2, "a"), (-3, "b")], "v bigint, k string")
+    assert query.scalar_agg(big, "sum", "v").first()["value"] == (1 << 61)
+    assert query.scalar_agg(big, "max", "v").first()["value"] == (1 << 60) + 2
+    row = profile.numeric_range(big, ["v"]).first()
+    assert (row["min_exact"], row["max_exact"]) == ("-3", str((1 << 60) + 2))
+    money = spark.sql("SELECT 'a' AS k, cast(v AS decimal(30, 2)) AS v FROM VALUES ('12345678901234567890.12'), ('0.01') AS t(v)")
+    assert str(charts.shares(money, "k", "v").first()["total"]) == "12345678901234567890.13"
+    joined = query.join_agg(money, spark.sql("SELECT 'a' AS k, 'g' AS g"), "k", "k", "g", "v").first()
+    assert str(joined["total"]) == "12345678901234567890.13"
+
+
+def test_double_sums_do_not_depend_on_order(spark):
+    rnd = random.Random(4)
+    values = [rnd.uniform(-1e9, 1e9) for _ in range(3000)] + [round(rnd.uniform(-1e5, 1e5), 2) for _ in range(3000)] + [1e-13, -0.00000001, 3e14 + 0.25]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    sums = {df.repartition(n).orderBy(F.xxhash64("v", F.lit(n))).agg(exprs.total_of("v").alias("t")).first()["t"] for n in (1, 3, 7)}
+    assert len(sums) == 1 and sums.pop() == pytest.approx(math.fsum(values), rel=1e-15)
+    odd = spark.createDataFrame([(float("inf"),), (1.0,), (None,)], "v double")
+    assert odd.agg(exprs.total_of("v")).first()[0] == float("inf") and odd.filter("v IS NULL").agg(exprs.total_of("v")).first()[0] is None
+
+
+def test_snapshots_with_null_and_repeated_keys(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "x"), (None, None), (2, "c"), (3, "d")]
+    old = spark.createDataFrame(rows, "k bigint, h string")
+    same = fingerprint.snapshot_changes(old, old, "k", "h").collect()
+    assert len(same) == len(rows) and {r["status"] for r in same} == {"unchanged"}
+    new = spark.createDataFrame([(1, "a"), (1, "z"), (None, "x"), (2, "q"), (4, "e")], "k bigint, h string")
+    got = sorted((str(r["k"]), r["status"]) for r in fingerprint.snapshot_changes(old, new, "k", "h").collect())
+    assert got == sorted([
+        ("1", "unchanged"), ("1", "changed"), ("1", "removed"), ("None", "unchanged"), ("None", "removed"), ("2", "changed"), ("3", "removed"), ("4", "added"),
+    ])
+
+
+def test_a_changed_link_is_relational_and_weighs_high(spark, sf_dir):
+    tables = {t: load(spark, sf_dir, t) for t in ("nation", "region")}
+    tree = lambda **kw: fingerprint.fingerprint_tree(tables, {"nation": ["n_nationkey"]}, kw.get("links", {"nation": ["n_regionkey->region.r_regionkey"]}))
+    plain = tree()
+    assert fingerprint.tree_diff(plain, tree()).count() == 0
+    row = fingerprint.tree_diff(plain, tree(links={})).collect()
+    assert [(r["table_name"], r["impact"], r["relational_changed"], r["structural_changed"], r["changed_parts"]) for r in row] == [
+        ("nation", "high", True, False, ["relational.link"])
+    ]
+    top = lambda t: t.filter("level = 'schema'").first()["fingerprint"]
+    assert top(plain) != top(tree(links={}))
+
+
+def test_one_file_per_small_group(spark, tmp_path):
+    df = spark.range(4000).select((F.col("id") % 5).alias("g"), "id").repartition(16)
+    path = sinks.replace_partition(df, str(tmp_path / "t"), "g")
+    assert len(spark.read.parquet(path).inputFiles()) <= 8 and spark.read.parquet(path).count() == 4000
+
+
+def test_actors_of_an_empty_log(spark):
+    log = spark.createDataFrame([], "a string, ts timestamp_ntz, ok boolean, d double")
+    assert usage.actor_performance(log, "a", "ts", F.col("ok"), "d").count() == 0
 
 
 def test_funnel_with_a_hot_entity(spark):
