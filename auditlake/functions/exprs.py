@@ -200,14 +200,6 @@ def risk_rank(level: str | Column) -> Column:
     return out
 
 
-def distinct_form(field: T.StructField) -> Column:
-    """A value to count distinct: long texts by their SHA-256, so that a key stays short."""
-    c = F.col(field.name)
-    if isinstance(field.dataType, T.StringType):
-        return F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c)
-    return c
-
-
 def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
     """A table of constants the caller passed in, without a Python worker."""
     entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from auditlake.functions.exprs import as_double, kind_of, micros, ratio, total_of
+from auditlake.functions.exprs import as_double, count_if, kind_of, melt, micros, ratio, total_of
 from auditlake.functions.ordering import exact_quantiles, next_value
-
-SALTS = 16
+from auditlake.session import shuffle_width
 
 
 def series_matrix(df: DataFrame, label: str, series: str, measure: str, values: list[str]) -> DataFrame:
@@ -87,29 +87,85 @@ def flows(df: DataFrame, entity: str, ts: str, key: str, state: str) -> DataFram
 
 
 def funnel(df: DataFrame, entity: str, ts: str, state: str, steps: list[str]) -> DataFrame:
-    """Entities that reach each step after the steps before it.
+    """Entities that reach each step after the steps before it, each strictly later than the one before.
 
-    The first time per entity is found by salted partial minima, so an entity
-    with most rows is spread over ``SALTS`` tasks.
+    Rows are split by ranges of (entity, time). A stretch of an entity's rows says,
+    for each number of steps done before it, how many are done after it; these
+    answers are put together in order of time. So one shuffle moves the rows, an
+    entity with most rows is spread over many tasks, and nothing is joined. Rows
+    without an entity or a time count for nothing.
     """
-    rows = df.filter(F.col(state).isin(steps)).select(
-        F.col(entity).alias("_e"), micros(ts).alias("_t"), F.col(state).alias("_s")
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = list(dict.fromkeys(steps))
+    number = reduce(lambda a, i: F.when(F.col(state) == names[i], i).otherwise(a), range(len(names)), F.lit(None).cast("int"))
+    rows = df.filter(F.col(state).isin(names) & F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(
+        F.col(entity).alias("_e"), micros(ts).alias("_t"), number.cast("int").alias("_s")
+    )
+    wanted = [names.index(s) for s in steps]
+
+    def stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Per entity of a sorted batch: its first time, and the steps done after it for 0, 1, ... done before."""
+        e, t, s = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        n = len(t)
+        begins = np.concatenate(([True], pc.not_equal(e.slice(1), e.slice(0, n - 1)).to_numpy(zero_copy_only=False)))
+        own = np.cumsum(begins) - 1
+        # Times as ranks, so that (entity, time) is one number.
+        moment = np.unique(t, return_inverse=True)[1]
+        base = n + 1
+        key = own * base + moment + 1
+        at_step = [key[s == w] for w in wanted]
+        first = np.flatnonzero(begins)
+        ends = np.empty((len(first), len(wanted) + 1), np.int32)
+        ends[:, len(wanted)] = len(wanted)
+        for done in range(len(wanted)):
+            here = np.arange(len(first)) * base  # before any time of the entity
+            reached = np.full(len(first), done, np.int32)
+            alive = np.ones(len(first), bool)
+            for j in range(done, len(wanted)):
+                spot = np.searchsorted(at_step[j], here, "right")
+                found = np.append(at_step[j], np.iinfo(np.int64).max)[spot]
+                alive &= found < (np.arange(len(first)) + 1) * base
+                reached[alive] = j + 1
+                here = np.where(alive, found, here)
+            ends[:, done] = reached
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * (len(wanted) + 1)), pa.array(ends.ravel()))
+        return pa.RecordBatch.from_arrays([e.take(pa.array(first)), pa.array(t[first]), lists], names=["_e", "_t", "_ends"])
+
+    def walk(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            # Rows of one entity and time stay together: the last such rows wait for the next batch.
+            t, e = batch.column(1).to_numpy(), batch.column(0)
+            last = (t == t[-1]) & pc.equal(e, e[-1]).to_numpy(zero_copy_only=False)
+            cut = batch.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+            held = batch.slice(cut)
+            if cut:
+                yield stretches(batch.slice(0, cut))
+        if held is not None:
+            yield stretches(held)
+
+    width = shuffle_width(df.sparkSession)
+    # Equal (entity, time) are in one range, so a stretch is strictly later than the one before.
+    ordered = rows.repartitionByRange(width, "_e", "_t").sortWithinPartitions("_e", "_t")
+    schema = StructType([rows.schema["_e"]]).add("_t", "long").add("_ends", ArrayType(IntegerType()))
+    parts = ordered.mapInArrow(walk, schema)
+    # As many stretches per entity as batches hold its rows.
+    done = parts.groupBy("_e").agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("_t", "_ends"))), F.lit(0), lambda k, p: F.element_at(p["_ends"], k + 1)).alias("_k")
     )
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_t"), F.lit(SALTS)).cast("int"))
-    reached = rows.filter(F.col("_s") == steps[0]).groupBy("_e").agg(F.min("_t").alias("_at"))
-    counts = [_step(reached, 1, steps[0])]
-    for i, step in enumerate(steps[1:], start=2):
-        spread = reached.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        later = salted.filter(F.col("_s") == step).join(spread, ["_e", "_salt"]).filter(F.col("_t") > F.col("_at"))
-        reached = later.groupBy("_e").agg(F.min("_t").alias("_at"))
-        counts.append(_step(reached, i, step))
-    out = reduce(DataFrame.unionByName, counts)
-    first = F.first_value("entities").over(Window.orderBy("step"))
-    # One row per step.
-    return out.withColumn("share", as_double(ratio(F.col("entities"), first)))
-
-
-def _step(reached: DataFrame, number: int, name: str) -> DataFrame:
-    return reached.agg(F.count("*").alias("entities")).select(
-        F.lit(number).cast("bigint").alias("step"), F.lit(name).alias("state"), "entities"
+    counts = done.agg(*[count_if(F.col("_k") >= i + 1).alias(f"_n{i}") for i in range(len(steps))])
+    share = lambda i: as_double(ratio(F.col(f"_n{i}"), F.col("_n0"))).alias("share")
+    return melt(
+        counts,
+        [
+            F.struct(F.lit(i + 1).cast("bigint").alias("step"), F.lit(s).alias("state"), F.col(f"_n{i}").alias("entities"), share(i))
+            for i, s in enumerate(steps)
+        ],
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.exprs import (
-    FRACTIONAL, NUMERIC, TEMPORAL, as_col, distinct_form, kind_of, literal_table, melt, numeric_columns, as_double, ratio,
+    FRACTIONAL, NUMERIC, TEMPORAL, kind_of, literal_table, melt, numeric_columns, as_double, ratio,
     string_columns,
     temporal_columns, trunc, ts_text, mean_of, total_of, flattened, no_rows,
 )
@@ -44,46 +44,57 @@ def type_family(dtype: T.DataType) -> str:
     return "other"
 
 
-# Columns of one family share a value type, so they can be counted together.
-COUNT_FORM = {"integer": "bigint", "numeric": "double", "temporal": "timestamp_ntz"}
+#: Characters of a text that a value is grouped by; longer ones go on by their SHA-256.
+HEAD = 64
 
 
-def _count_form(dtype: T.DataType) -> str:
-    if isinstance(dtype, T.DecimalType):
-        return "string"
-    return COUNT_FORM.get(type_family(dtype), "string")
+def _form(dtype: T.DataType) -> str:
+    """The type that values of a column are grouped in; columns of one form share an aggregate."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "bigint"
+    return dtype.simpleString() if isinstance(dtype, (T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)) else "string"
 
 
-def column_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Total, distinct, non-null and null count per column.
+def _grouped(df: DataFrame, cols: list[str]) -> list[DataFrame]:
+    """The distinct values of all columns with their number, per form: (_c: the column's place, _v, _x, _n).
 
-    Each column is read once. Values are counted per (column, value) in each
-    task, so only distinct values are shuffled and a hot value weighs nothing.
+    Values are counted per task first, so only distinct ones are shuffled and a hot
+    value weighs nothing. A long text is its beginning ``_v`` and its digest ``_x``.
     """
+    forms: dict[str, list[int]] = {}
+    for i, c in enumerate(cols):
+        forms.setdefault(_form(df.schema[c].dataType), []).append(i)
+    out = []
+    for form, places in forms.items():
+        entries = []
+        for i in places:
+            v = F.col(f"`{cols[i]}`").cast(form)
+            parts = [F.lit(i).alias("_c"), (F.substring(v, 1, HEAD) if form == "string" else v).alias("_v")]
+            if form == "string":
+                parts.append(F.when(F.length(v) > HEAD, F.sha2(v, 256)).alias("_x"))
+            entries.append(F.struct(*parts))
+        keys = ["_c", "_v", "_x"] if form == "string" else ["_c", "_v"]
+        out.append(df.select(F.inline(F.array(*entries))).groupBy(*keys).agg(F.count("*").alias("_n")))
+    return out
+
+
+def column_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Total, distinct, non-null and null count per column; each column is read once."""
     df, cols = _columns(df, cols)
-    by_form: dict[str, list[str]] = {}
-    for c in cols:
-        by_form.setdefault(_count_form(df.schema[c].dataType), []).append(c)
-    parts = []
-    for form, names in by_form.items():
-        entries = [
-            F.struct(F.lit(c).alias("column_name"), distinct_form(df.schema[c]).cast(form).alias("_v")) for c in names
-        ]
-        values = (
-            df.select(F.inline(F.array(*entries))).groupBy("column_name", "_v").agg(F.count("*").alias("_n"))
-        )
-        parts.append(
-            values.groupBy("column_name").agg(
-                F.sum("_n").alias("total_count"),
-                F.count("_v").alias("distinct_count"),
-                F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias("non_null_count"),
-            )
+    there = F.col("_v").isNotNull()
+    parts = [
+        values.groupBy("_c").agg(
+            F.sum("_n").alias("total_count"),
+            F.count("_v").alias("distinct_count"),
+            F.sum(F.when(there, F.col("_n")).otherwise(0)).alias("non_null_count"),
         )
+        for values in _grouped(df, cols)
+    ]
     found = reduce(DataFrame.unionByName, parts)
     # An empty table still has its columns.
-    known = literal_table(df.sparkSession, ["column_name"], [(c,) for c in cols])
+    known = literal_table(df.sparkSession, ["_c", "column_name"], list(enumerate(cols)))
     figure = lambda name: F.coalesce(name, F.lit(0).cast("bigint"))
-    return known.join(found, "column_name", "left").select(
+    return known.join(found, "_c", "left").select(
         "column_name",
         *[figure(n).alias(n) for n in ("total_count", "distinct_count", "non_null_count")],
         (figure("total_count") - figure("non_null_count")).alias("null_count"),
@@ -134,37 +145,26 @@ def temporal_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def distinct_samples(df: DataFrame, n: int = 5, cols: list[str] | None = None) -> DataFrame:
     """The n smallest distinct values per column, as text, in order.
 
-    Each task keeps its n smallest values per column while it reads, so the
-    shuffle carries n values per column and task rather than the table.
+    The distinct values that ``column_counts`` makes are enough, but for long texts:
+    these are looked up once more among the rows that begin no later than the n
+    smallest beginnings. A task passes on n values per column.
     """
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     df, cols = _columns(df, cols)
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-
-    def smallest(batches):
-        kept: dict[str, list[str]] = {c: [] for c in cols}
-        for batch in batches:
-            for i, c in enumerate(cols):
-                values = pc.unique(batch.column(i)).drop_null()
-                if len(kept[c]) == n:
-                    values = values.filter(pc.less(values, kept[c][-1]))
-                if len(values):
-                    merged = set(values.to_pylist()) | set(kept[c])
-                    kept[c] = sorted(merged, key=lambda s: s.encode())[:n]
-        pairs = [(c, v) for c in cols for v in kept[c]]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "column_name": pa.array([p[0] for p in pairs], pa.string()),
-                "value": pa.array([p[1] for p in pairs], pa.string()),
-            }
-        )
-
-    found = texts.mapInArrow(smallest, "column_name string, value string").distinct()
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
-    picked = found.withColumn("_p", place).filter(F.col("_p") <= n)
-    return picked.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+    place = F.row_number().over(Window.partitionBy("_c").orderBy("value"))
+    least = lambda values: values.withColumn("_p", place).filter(F.col("_p") <= n)
+    parts = [g.filter("_v IS NOT NULL").select("_c", F.col("_v").cast("string").alias("value")) for g in _grouped(df, cols)]
+    heads = least(reduce(DataFrame.unionByName, parts).distinct())
+    texts = [i for i, c in enumerate(cols) if _form(df.schema[c].dataType) == "string"]
+    found = heads.filter(~F.col("_c").isin(texts)).select("_c", "value") if texts else heads.select("_c", "value")
+    if texts:
+        # One row per column.
+        last = F.broadcast(heads.filter(F.col("_c").isin(texts)).groupBy("_c").agg(F.max("value").alias("_last")))
+        entries = [F.struct(F.lit(i).alias("_c"), F.col(f"`{cols[i]}`").cast("string").alias("value")) for i in texts]
+        near = df.select(F.inline(F.array(*entries))).join(last, "_c").filter(F.substring("value", 1, HEAD) <= F.col("_last"))
+        found = found.unionByName(least(near.select("_c", "value").distinct()).select("_c", "value"))
+    known = literal_table(df.sparkSession, ["_c", "column_name"], list(enumerate(cols)))
+    listed = found.groupBy("_c").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+    return known.join(listed, "_c").select("column_name", "sample_values")
 
 
 def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import (
     count_if, day_text, kind_of, total_of, micros, as_double, ratio, resolve_as_of, ts_lit,
 )
+from auditlake.functions.ordering import prefix_sums
 
 # Thresholds of the detectors.
 ROUND_FLAG_PERCENT, ROUND_HIGH_PERCENT = 20.0, 40.0
@@ -114,8 +115,10 @@ def velocity_all(
 ) -> DataFrame:
     """Per user: the busiest trailing window at any time, and how many instants exceed ``min_n``.
 
-    Every row is also handed to the next time slot, so each (user, slot) can be
-    counted alone: a busy user is spread over the slots.
+    Rows up to an instant less those up to its window's begin: each instant looks
+    up both in one running sum, for which it stands in the order of times twice.
+    The running sum is split by ranges of (user, time), so a user's busiest hour is
+    as many tasks as its rows ask for.
     """
     size = int(window.total_seconds() * 1_000_000)
     instants = (
@@ -123,12 +126,12 @@ def velocity_all(
         .groupBy(F.col(user), micros(ts).alias("_t"))
         .agg(F.count("*").alias("_n"))
     )
-    slot = F.floor(F.col("_t") / size).cast("bigint")
-    slots = instants.withColumn("_own", slot).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    frame = Window.partitionBy(user, "_slot").orderBy("_t").rangeBetween(-size, 0)
-    counted = slots.withColumn("_in_window", F.sum("_n").over(frame)).filter(
-        (F.col("_own") == F.col("_slot")) & (F.col("_in_window") > min_n)
-    )
+    # Rows at the very begin of a window belong to it: its mark goes before them.
+    marks = instants.select(user, "_t", F.lit(0).cast("bigint").alias("_n"), (F.col("_t") - size).alias("_at"), F.lit(0).alias("_kind"))
+    both = instants.select(user, "_t", "_n", F.col("_t").alias("_at"), F.lit(1).alias("_kind")).unionByName(marks)
+    summed = prefix_sums(both, [user], [F.col("_at"), F.col("_kind"), F.col("_t")], {"_upto": "_n"})
+    upto = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_upto")))
+    counted = summed.groupBy(user, "_t").agg((upto(1) - upto(0)).alias("_in_window")).filter(F.col("_in_window") > min_n)
     return counted.groupBy(user).agg(
         F.max("_in_window").alias("peak_count"), F.count("*").alias("instants_over")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import exprs, inverted
 from auditlake.functions.ordering import exact_quantiles, next_value, prefix_sums
 from auditlake.functions.substrings import occurrences
-from auditlake.operators import charts, fingerprint, profile, query, retrieve, search, state, usage
+from auditlake.operators import charts, fingerprint, profile, query, retrieve, search, state, transactions, usage
 from auditlake.operators import query as q
 from auditlake.sources import sinks
 from auditlake.sources.tables import load
@@ -403,6 +403,38 @@ def test_funnel_with_a_hot_entity(spark):
     assert [(r["state"], r["entities"]) for r in out] == [("a", 3), ("b", 2), ("c", 1)]
 
 
+def test_funnel_against_a_walk(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([0, 0, 0, *range(1, 60)]), rnd.randint(0, 400), rnd.choice("abcdx")) for _ in range(6000)] + [(None, 1, "a"), (5, None, "a")]
+    df = spark.createDataFrame(rows, "e bigint, t bigint, s string").withColumn("ts", F.timestamp_seconds("t"))
+    for steps in (["a", "b", "c", "d"], ["a", "b", "a"], ["d"]):
+        done = {}
+        for e in {r[0] for r in rows if r[0] is not None}:
+            k = 0
+            for t in sorted({r[1] for r in rows if r[0] == e and r[1] is not None}):
+                if k < len(steps) and any(r == (e, t, steps[k]) for r in rows):
+                    k += 1
+            done[e] = k
+        out = charts.funnel(df, "e", "ts", "s", steps)
+        assert [r["entities"] for r in out.orderBy("step").collect()] == [sum(k > i for k in done.values()) for i in range(len(steps))]
+        assert "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_velocity_of_one_busy_slot(spark):
+    """Nine tenths of the rows are one user's within one hour."""
+    rnd = random.Random(3)
+    rows = [(1, rnd.randint(0, 3_500_000)) for _ in range(9000)] + [(u, rnd.randint(0, 40_000_000)) for u in range(2, 12) for _ in range(100)]
+    df = spark.createDataFrame(rows, "u bigint, ms bigint").withColumn("ts", F.timestamp_millis("ms"))
+    got = {r["u"]: (r["peak_count"], r["instants_over"]) for r in transactions.velocity_all(df, "u", "ts", min_n=5).collect()}
+    want = {}
+    for u in {r[0] for r in rows}:
+        times = np.sort(np.array([ms for x, ms in rows if x == u]))
+        inside = np.searchsorted(times, np.unique(times), "right") - np.searchsorted(times, np.unique(times) - 3_600_000, "left")
+        if (inside > 5).any():
+            want[u] = (int(inside.max()), int((inside > 5).sum()))
+    assert got == want
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 0, 5, 10, 10]] + [(None,)], "v double")
     assert [r["n"] for r in charts.histogram(df, "v", 4).orderBy("bin").collect()] == [2, 0, 1, 2]
