@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.llm.common import batches, write_once
+from auditlake.llm.common import batches, give_back, write_once
 from auditlake.llm.vocabularies import BYTE_LEVEL, PIECES, ByteLevel, SentencePieces, loaded
 
 #: Bytes of text in a block of documents, a longer document being a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Characters of a unit that is encoded together with others.
 SHORT = 200
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
-_LINKS = ("pair_ends", "pair_at", "times", "ends", "at")
+_LINKS = ("pairs_of_unit", "pair_at", "times", "units_of_doc", "unit_step", "unit_times")
 #: A space behind one of these parts two units, for a while marked by a character that texts hardly hold.
 _BEFORE_CUT, _CUT_MARK = r"([\p{L}\p{N}!-~]) ", "\x00"
 
@@ -106,7 +106,10 @@ class Aligner:
         for vocabulary, sizes, ids in ((self.a, self.bytes_a, self.a.encode_short(" " + text)), (self.b, self.bytes_b, self.b.encode(text))):
             stops = np.cumsum(sizes[ids])
             last = np.searchsorted(stops, ends)
-            if not len(stops) or stops[-1] != ends[-1] or (stops[last] != ends).any() or not self._spells(vocabulary, ids, " " + text):
+            if not len(stops) or stops[-1] != ends[-1] or (stops[last] != ends).any():
+                return None
+            # Byte-level tokens spell any text of their length.
+            if vocabulary is self.b and not self._spells(vocabulary, ids, " " + text):
                 return None
             out.append((ids.astype(np.int64), np.diff(last, prepend=-1)))
         return out
@@ -169,12 +172,13 @@ class Aligner:
         pairs, pair_at = np.unique(pair, return_inverse=True)
         pair_ends = np.searchsorted(holder, np.arange(len(units)), "right")
         # Documents per pair: each document's distinct units, then its distinct pairs.
-        one_doc, one_unit, _ = _distinct(doc * len(units) + at, max(1, len(units)))
+        one_doc, one_unit, unit_times = _distinct(doc * len(units) + at, max(1, len(units)))
         n = np.diff(pair_ends, prepend=0)[one_unit]
         first = (pair_ends - np.diff(pair_ends, prepend=0))[one_unit]
         listed = pair_at[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         _, held_pair, _ = _distinct(np.repeat(one_doc, n) * max(1, len(pairs)) + listed, max(1, len(pairs)))
 
+        del start, end, by_start, group, at_a, at_b, listed, n, first, holder, pair
         texts_of = self.spelled(a, b, group_a, group_b, np.cumsum(n_a), np.cumsum(n_b))
         ends = np.searchsorted(doc, np.arange(len(texts)), "right")
         whole = at.tolist()
@@ -182,8 +186,9 @@ class Aligner:
         return {
             **{c: np.bincount(doc, weights=x[at], minlength=len(texts)).astype(np.int64) for c, x in measures.items()},
             "groups": [b";".join(map(texts_of.__getitem__, whole[i:j])) for i, j in cuts],
-            "pairs": pairs, "held": np.bincount(held_pair, minlength=len(pairs)), "pair_ends": pair_ends, "pair_at": pair_at, "times": times,
-            "ends": ends, "at": at,
+            "pairs": pairs, "held": np.bincount(held_pair, minlength=len(pairs)),
+            "pairs_of_unit": np.diff(pair_ends, prepend=0), "pair_at": pair_at, "times": times,
+            "units_of_doc": np.bincount(one_doc, minlength=len(texts)), "unit_step": np.diff(one_unit, prepend=0), "unit_times": unit_times,
         }
 
     def spelled(self, a, b, group_a, group_b, ends_a, ends_b) -> list[bytes]:
@@ -213,8 +218,9 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str =
     groups themselves on request). ``pairs`` and ``held``: the id pairs linked in
     the block, as A id times the size of B plus B id, with the number of documents.
     ``links``: compressed whole numbers, ``sizes`` tells how many of each kind: per
-    unit where its pairs end, the pairs as places in ``pairs`` and how often each
-    is linked; per document where its units end, and its units.
+    unit its number of pairs, these as places in ``pairs``, and how often each is
+    linked; per document its number of distinct units, these as steps from one to
+    the next, and how often each occurs.
     """
 
     def read(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +243,8 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: str =
                 schema=schema,
             )
             number += 1
+            del got, digests, fields, listed, packed
+            give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -285,7 +293,7 @@ def alignments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: s
             for i in range(batch.num_rows):
                 listed, sizes = batch.column(1)[i].values, np.asarray(batch.column(2)[i].values)
                 raw = pa.decompress(batch.column(3)[i].as_buffer(), 4 * int(sizes.sum()), codec="zstd", asbytes=True)
-                pair_ends, pair_at, times, ends, at = np.split(np.frombuffer(raw, "<i4").astype(np.int64), np.cumsum(sizes)[:-1])
+                pairs_of, pair_at, times, units_of, step, unit_times = np.split(np.frombuffer(raw, "<i4").astype(np.int64), np.cumsum(sizes)[:-1])
                 best = sums = np.zeros(len(listed), np.int64)
                 if len(pair_at):
                     answer = batch.column(4)[i].values
@@ -293,9 +301,10 @@ def alignments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: s
                     count, top = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
                     count[place] = np.asarray(answer.field("n"))
                     top[place] = np.asarray(answer.field("top").cast(pa.int8()))
-                    upto = lambda x, stops: np.diff(np.concatenate(([0], np.cumsum(x)))[stops], prepend=0)
+                    each = lambda x, n: np.diff(np.concatenate(([0], np.cumsum(x)))[np.cumsum(n)], prepend=0)
+                    unit = np.cumsum(step)
                     # From pairs to units, from units to documents.
-                    best, sums = (upto(upto(times * x[pair_at], pair_ends)[at], ends) for x in (top, count))
+                    best, sums = (each(unit_times * each(times * x[pair_at], pairs_of)[unit], units_of) for x in (top, count))
                 yield pa.RecordBatch.from_arrays([*listed.flatten(), pa.array(best), pa.array(sums)], names)
 
     kind = StructType([*found.schema["docs"].dataType.elementType.fields]).add("n_best", "long").add("count_sum", "long")

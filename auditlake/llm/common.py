@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,3 +78,14 @@ def batches(iterator: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8
         step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system, where the C library can say so.
+
+    Workers stay between jobs; what they keep is missing in the executor's next stage.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,21 +38,30 @@ class ByteLevel:
 
     def __init__(self, path: str = BYTE_LEVEL) -> None:
         from tiktoken import Encoding
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
         alphabet = _byte_alphabet()
-        # Special tokens are spelled plainly in the vocabulary; they never come out of a text.
-        special = {t.content for t in self.exact.get_added_tokens_decoder().values()}
-        vocabulary = self.exact.get_vocab(with_added_tokens=True)
-        self.spelling = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.spelling[i] = token.encode() if token in special else bytes(alphabet[c] for c in token)
-        ranks = {s: i for i, s in enumerate(self.spelling) if s and i < len(vocabulary) - len(special)}
+        # Special tokens are spelled plainly; they never come out of a text.
+        special = {t["id"]: t["content"] for t in told["added_tokens"]}
+        vocabulary = {i: token for token, i in told["model"]["vocab"].items()} | special
+        self.spelling = [b""] * (max(vocabulary) + 1)
+        for i, token in vocabulary.items():
+            self.spelling[i] = token.encode() if i in special else bytes(alphabet[c] for c in token)
+        ranks = {s: i for i, s in enumerate(self.spelling) if s and i not in special}
         self.fast = Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        """The file's own tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         if LONG_RUN.search(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.int32)
