@@ -8,7 +8,7 @@ from auditlake.operators import findings as f
 from auditlake.operators import integrity, relate
 from auditlake.plans import Registry
 from auditlake.plans.fraud import benford_sql, orphan_sql, zscore_sql
-from auditlake.plans.relations import KEYS, tables as key_tables
+from auditlake.plans.relations import KEYS, REFERENCES, discovered_sql, tables as key_tables
 from auditlake.sources.tables import load
 
 REG = Registry()
@@ -260,13 +260,20 @@ def d29(spark, d):
     return out.withColumn("recent", F.array_join(F.col("recent").cast("array<string>"), ","))
 
 
+# Two further columns of the events, named after tables whose keys do not hold their values.
+LOOSE_EVENTS = "(SELECT event_id, user_id, event_id AS page_id, user_id AS supplier_id FROM events)"
+LOOSE_KEYS = {**KEYS, "events": "event_id", "pages": "page_id"}
+LOOSE_LINKS = discovered_sql(
+    {**REFERENCES, "events": ["event_id", "user_id", "page_id", "supplier_id"], "pages": ["page_id"]}, LOOSE_KEYS, {"events": LOOSE_EVENTS}
+)
+
+
 @REG.add(
     "d23_unverified_fks",
-    """
-    SELECT 'events' AS table_name, CAST(3 AS BIGINT) AS unverified, 'page_id, supplier_id, user_id' AS columns,
-           'medium' AS risk_level
-    WHERE EXISTS (SELECT 1 FROM events WHERE event_id NOT IN (SELECT page_id FROM pages))
-      AND EXISTS (SELECT 1 FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier))
+    f"""
+    SELECT source_table AS table_name, count(DISTINCT source_column) AS unverified,
+           string_agg(DISTINCT source_column, ', ' ORDER BY source_column) AS columns, 'medium' AS risk_level
+    FROM ({LOOSE_LINKS}) WHERE coalesce(inclusion_ratio, 0) < 1 GROUP BY 1 HAVING count(DISTINCT source_column) > 2
     """,
 )
 def d23(spark, d):
@@ -276,5 +283,4 @@ def d23(spark, d):
         "event_id", "user_id", F.col("event_id").alias("page_id"), F.col("user_id").alias("supplier_id")
     )
     named["pages"] = load(spark, d, "pages")
-    keys = {**KEYS, "events": "event_id", "pages": "page_id"}
-    return integrity.unverified_fks(relate.discover_relationships(named, keys))
+    return integrity.unverified_fks(relate.discover_relationships(named, LOOSE_KEYS))

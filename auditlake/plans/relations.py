@@ -19,16 +19,12 @@ KEYS = {
     "documents": "doc_id",
 }
 CHILDREN = ["lineitem", "labels", "events"]
-LINKS = [
-    ("nation", "n_regionkey", "region", "r_regionkey"),
-    ("customer", "c_nationkey", "nation", "n_nationkey"),
-    ("supplier", "s_nationkey", "nation", "n_nationkey"),
-    ("orders", "o_custkey", "customer", "c_custkey"),
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-    ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-    ("labels", "doc_id", "documents", "doc_id"),
-]
+#: Columns that look like references, per table: by their names, as the operator sees them.
+REFERENCES = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
+    "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "documents": ["doc_id"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "labels": ["doc_id"], "events": ["event_id", "user_id"],
+}
 COLUMN_COUNTS = {
     "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "documents": 5, "lineitem": 11,
     "labels": 3, "events": 6,
@@ -39,23 +35,37 @@ def tables(spark, d):
     return {name: load(spark, d, name) for name in [*KEYS, *CHILDREN]}
 
 
-def _inclusion_sql(child, column, parent, key):
+def discovered_sql(references: dict[str, list[str]], keys: dict[str, str], sources: dict[str, str] | None = None) -> str:
+    """Links by the names of columns, keys and tables, each checked against all values; the pairs are made in SQL."""
+    sources = sources or {}
+    values = " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM {sources.get(t, t)}" for t, cols in references.items() for c in cols
+    )
+    named = ", ".join(f"('{t}', '{c}')" for t, cols in references.items() for c in cols)
+    stated = ", ".join(f"('{t}', '{k}')" for t, k in keys.items())
+    bare = lambda c: f"regexp_replace(lower({c}), '^[a-z]{{1,2}}_', '')"
+    table = "regexp_replace(a.c, '_id$', '')"
     return f"""
-    SELECT '{child}' AS source_table, '{column}' AS source_column, '{parent}' AS target_table,
-           '{key}' AS target_column, CAST(0.8 AS DOUBLE) AS confidence, count(*) AS child_values,
-           count(*) FILTER (WHERE v IN (SELECT {key} FROM {parent})) AS matched_values,
-           round(count(*) FILTER (WHERE v IN (SELECT {key} FROM {parent})) / count(*), 6) AS inclusion_ratio,
-           count(*) = count(*) FILTER (WHERE v IN (SELECT {key} FROM {parent})) AS verified
-    FROM (SELECT DISTINCT {column} AS v FROM {child} WHERE {column} IS NOT NULL)
+    SELECT source_table, source_column, target_table, target_column, confidence, child_values, matched_values,
+           round(matched_values / child_values, 6) AS inclusion_ratio, coalesce(matched_values = child_values, false) AS verified
+    FROM (
+      WITH v AS ({values}),
+           k AS (SELECT * FROM (VALUES {stated}) x(t, c)),
+           a AS (SELECT * FROM (VALUES {named}) x(t, c) WHERE (t, c) NOT IN (SELECT t, c FROM k)),
+           p AS (SELECT a.t, a.c, k.t AS parent, k.c AS key FROM a LEFT JOIN k ON k.t <> a.t AND (
+                   {bare('a.c')} = {bare('k.c')}
+                   OR (ends_with(a.c, '_id') AND {table} IN (lower(k.t), rtrim(lower(k.t), 's'), lower(k.t) || 's'))))
+      SELECT p.t AS source_table, p.c AS source_column, p.parent AS target_table, p.key AS target_column,
+             CASE WHEN parent IS NOT NULL THEN CAST(0.8 AS DOUBLE) END AS confidence,
+             CASE WHEN parent IS NOT NULL THEN count(child.v) END AS child_values,
+             CASE WHEN parent IS NOT NULL THEN count(known.v) END AS matched_values
+      FROM p LEFT JOIN v child ON child.t = p.t AND child.c = p.c
+             LEFT JOIN v known ON known.t = p.parent AND known.c = p.key AND known.v = child.v
+      GROUP BY p.t, p.c, p.parent, p.key)
     """
 
 
-NO_PARENT = " UNION ALL ".join(
-    f"""SELECT 'events', '{c}', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE),
-        CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), false"""
-    for c in ["event_id", "user_id"]
-)
-DISCOVERED = " UNION ALL ".join(_inclusion_sql(*link) for link in LINKS) + " UNION ALL " + NO_PARENT
+DISCOVERED = discovered_sql(REFERENCES, KEYS)
 
 
 @REG.add("e1_discover_relationships", DISCOVERED)

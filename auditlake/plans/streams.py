@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from auditlake.functions.exprs import day_text
@@ -39,6 +41,21 @@ def j1(spark, d):
     return _finish(spark, alerts, "velocity")
 
 
+@REG.add(
+    "j1_instant_alerts",
+    """
+    WITH i AS (SELECT user_id, ts AS instant, count(*) AS n FROM events GROUP BY 1, 2),
+         w AS (SELECT user_id, instant, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY instant
+                   RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_count FROM i)
+    SELECT * FROM w WHERE tx_count > 5
+      AND instant < date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 2 HOUR
+    """,
+)
+def j1_instants(spark, d):
+    found = jobs.instant_alerts(_stream(spark, d), "user_id", "ts", dt.timedelta(hours=24), "2 hours", 5)
+    return _finish(spark, found, "instants")
+
+
 @REG.add(
     "j2_dedupe_stream",
     "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events",

@@ -6,11 +6,14 @@ once, when its window can no longer change.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from auditlake.functions.exprs import count_if, mean_of
+from auditlake.functions.exprs import count_if, mean_of, micros
 from auditlake.operators.transactions import VELOCITY_MIN_ROWS
 
 DEDUPE_SALTS = 16
@@ -46,6 +49,55 @@ def velocity_alerts(
     )
 
 
+def instant_alerts(
+    stream: DataFrame,
+    user: str,
+    ts: str,
+    window: dt.timedelta = dt.timedelta(hours=1),
+    watermark: str = "2 hours",
+    min_n: int = VELOCITY_MIN_ROWS,
+) -> DataFrame:
+    """(user, instant, tx_count): every instant with more than ``min_n`` rows in the window that ends there.
+
+    The stream form of ``velocity_all``: no slide, each instant is judged by its own
+    trailing window, once the watermark has passed it and its rows are complete. A
+    user's state is the times of one window and those not yet judged; a timer at
+    event time judges what becomes due without new rows, and drops the state when
+    the last window has gone by. Rows behind the watermark count for nothing.
+    """
+    size = int(window.total_seconds() * 1_000_000)
+
+    def judge(key, frames, state):
+        import numpy as np
+        import pandas as pd
+
+        kept, waiting = (np.array(x, np.int64) for x in state.get) if state.exists else (np.empty(0, np.int64), np.empty(0, np.int64))
+        waiting = np.sort(np.concatenate([waiting, *(f["_t"].to_numpy(np.int64) for f in frames)]))
+        mark = state.getCurrentWatermarkMs()
+        now = mark * 1000
+        due, rest = waiting[waiting <= now], waiting[waiting > now]
+        times = np.sort(np.concatenate((kept, due)))
+        instants = np.unique(due)
+        inside = np.searchsorted(times, instants, "right") - np.searchsorted(times, instants - size, "left")
+        # Later instants are past the watermark, so their windows begin past this.
+        kept = times[times > now - size]
+        if len(kept) or len(rest):
+            state.update((kept.tolist(), rest.tolist()))
+            following = rest[0] if len(rest) else kept[-1] + size
+            state.setTimeoutTimestamp(int(max(following // 1000, mark + 1)))
+        elif state.exists:
+            state.remove()
+        over = inside > min_n
+        yield pd.DataFrame({user: [key[0]] * int(over.sum()), "_t": instants[over], "tx_count": inside[over]})
+
+    marked = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, watermark).select(user, ts, micros(ts).alias("_t"))
+    out = StructType([stream.schema[user]]).add("_t", "long").add("tx_count", "long")
+    judged = marked.groupBy(user).applyInPandasWithState(
+        judge, out, "kept array<bigint>, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return judged.select(user, F.timestamp_micros("_t").cast("timestamp_ntz").alias("instant"), "tx_count")
+
+
 def suppress_duplicates(
     stream: DataFrame, keys: list[str], ts: str, watermark: str, spread_by: str | None = None
 ) -> DataFrame:
