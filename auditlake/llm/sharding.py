@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from auditlake.llm.common import work_dir
+from auditlake.session import materialize
 
 
 def write_shards(
@@ -66,14 +67,17 @@ def write_shards(
 
 
 def _scattered_copies(hashed: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
-    """``hashed`` with a hash of its own for each copy of rows whose copies would fill an eighth of a bucket.
+    """``hashed`` with a hash of its own for each copy of rows whose copies would fill half a bucket.
 
-    Such rows are counted per task, so a copy is moved once per task only; a table
-    holds few of them, and none at all if its rows differ.
+    There are at most twice as many such rows as buckets, a number and a flag each,
+    so tasks may hold them; without any, the rows are left as they are. Their copies
+    are counted per task, so a copy is moved once per task only.
     """
     many = hashed.groupBy("h").agg((F.count("*") * F.max("w")).alias("bytes"), F.count("*").alias("n"))
-    hot = many.filter((F.col("n") > 1) & (F.col("bytes") > bucket_bytes // 8)).select("h", F.lit(True).alias("hot"))
-    marked = hashed.join(hot, "h", "left")
+    hot = materialize(many.filter((F.col("n") > 1) & (F.col("bytes") > bucket_bytes // 2)).select("h", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        return hashed
+    marked = hashed.join(F.broadcast(hot), "h", "left")
     counted = marked.filter("hot").groupBy("h", F.xxhash64(F.lit(seed + 1), "record").alias("h2")).agg(
         F.first("record").alias("record"), F.first("w").alias("w"), F.count("*").alias("n")
     )
