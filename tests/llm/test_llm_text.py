@@ -115,6 +115,17 @@ def test_grammar_reads_clauses():
     assert aimed > plain > g.score(np.array([g.features("nothing here")]))[0]
 
 
+def test_contractions_and_inflected_threats():
+    g = toxicity.Grammar({"idiot": 5.0}, {}, dict(toxicity.PRIOR), -3.0)
+    kinds = lambda t: [k for k, _ in g.clauses(t)]
+    assert kinds("You aren't an idiot") == kinds("You aren’t an idiot") == kinds("You are not an idiot") == ["negated insult"]
+    assert kinds("Don't kill you") == ["negated threat"] and kinds("I can't hurt you") == ["negated threat"]
+    assert kinds("I am killing you") == kinds("he kills you") == kinds("Ich töte dich") == kinds("te mataré, idiot")[:1] == ["threat"]
+    assert kinds("Ich bringe dich um") == kinds("Wir bringen euch alle um.") == ["threat"]
+    assert kinds("Ich bringe dich nach Hause") == [] and kinds("Ich bringe dich, um drei Uhr") == []
+    assert kinds("Ich bringe dich nicht um") == ["negated threat"] and kinds("um dich bringe ich") == []
+
+
 def test_long_sentences_and_late_targets():
     g = toxicity.Grammar({"idiot": 5.0}, {}, dict(toxicity.PRIOR), -3.0)
     kinds = lambda t: [k for k, _ in g.clauses(t)]
