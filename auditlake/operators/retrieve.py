@@ -15,7 +15,7 @@ from auditlake.session import materialize
 
 # More queries than this are not held by every task; they are joined in blocks instead.
 QUERY_ROWS_IN_TASK = 4096
-QUERY_BLOCK, CORPUS_BLOCK = 2048, 20_000
+QUERY_BLOCK, CORPUS_BLOCK = 16_384, 20_000
 #: Lists of an inverted file: the root of the corpus, up to this many.
 MOST_LISTS = 16_384
 #: Queries whose true neighbours tell how many lists to visit, and the share of them to be found.
