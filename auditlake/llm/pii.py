@@ -7,9 +7,9 @@ all candidates which descriptions belong to real ones (those that a strict
 pattern confirms) and give each description a likelihood; a threshold per kind,
 set on documents the trees did not see, selects further spans. Base spans stay.
 
-Descriptions are coarse, so the whole corpus shrinks to a few thousand weighted
-rows for the trees, and the selected descriptions go back as literals: no
-candidate is shuffled to be scored.
+Descriptions are coarse, so the whole corpus shrinks to some thousands of weighted
+rows for the trees. The fitted trees become one expression that every candidate
+is scored by where it is: none is shuffled, and any number of descriptions will do.
 
 Positions come from the texts between matches: ``split`` and ``regexp_extract_all``
 walk a text with the same pattern, so lengths add up to starts and ends in code
@@ -22,9 +22,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ LOOSE = {
 }
 #: Texts without this cannot match, and are not walked.
 NEEDED = {
-    "email": "contains({t}, '@') OR contains({t}, '(at)') OR contains({t}, '[at]') OR (contains({t}, ' at ') AND contains({t}, ' dot '))",
+    "email": "contains({t}, '@') OR contains({t}, '(at)') OR contains({t}, '[at]') OR (contains({t}, ' at ') AND (contains({t}, ' dot ') OR contains({t}, '(dot)') OR contains({t}, '[dot]')))",
     "ip": "{t} RLIKE '[0-9][^0-9A-Za-z][0-9]'",
     "card": "{t} RLIKE '[0-9][^A-Za-z]{{10}}'",
     "phone": "{t} RLIKE '[0-9][^A-Za-z]{{4}}'",
@@ -56,8 +57,11 @@ NEEDED = {
 HINTS = "mail|write|phone|tel|call|fax|mobile|card|visa|credit|account|ip|host|server|addr|konto|karte|tarjeta|carte|anruf|correo"
 #: A kind's further spans are right in this share of its candidates at least, on unseen documents.
 PRECISION = 0.9
-#: Descriptions that come to the driver at most; the buckets below make some thousands.
-MOST_DESCRIPTIONS = 50_000
+#: Decimals of a margin.
+DIGITS = 3
+
+#: How a disguised email is read before it is described: the same way as one that is not.
+_PLAIN_EMAIL = r"regexp_replace(regexp_replace(c.m, ' ?(?:@|\\(at\\)|\\[at\\]| at ) ?', '@'), ' ?(?:\\.|\\(dot\\)|\\[dot\\]| dot ) ?', '.')"
 
 _SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
 
@@ -102,11 +106,12 @@ _DESCRIPTION = f"""concat_ws('|',
 
 
 def candidates(docs: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``_base`` and ``_more``: arrays of (kind, s, e), the latter with ``code`` and ``real``.
+    """The columns ``keep`` of ``docs`` with ``_base`` and ``_more``: arrays of (kind, s, e), the latter with ``code``, ``real`` and ``veiled``.
 
     ``_base`` holds the spans of the strict patterns that are valid, in order of
     kind and start; ``_more`` the loose candidates, ``real`` where one overlaps a
-    base span of its kind.
+    base span of its kind. A disguised email ("bob (at) site (dot) com") is
+    described as it reads plainly, and ``veiled``: no strict pattern can confirm it.
     """
     t = "_text"
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(t))
@@ -128,76 +133,112 @@ def candidates(docs: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFram
         *(F.expr(_walk(f"l_{k}", "true")).alias(f"l_{k}") for k in KINDS),
     )
     base = [F.expr(f"transform(b_{k}, c -> struct({i} AS kind, c.s AS s, c.e AS e))") for i, k in enumerate(KINDS)]
+    read = {k: f"transform(l_{k}, c -> struct(c.s AS s, c.e AS e, c.m AS m, c.before AS before, c.after AS after, false AS veiled))" for k in KINDS}
+    read["email"] = f"transform(l_email, c -> struct(c.s AS s, c.e AS e, {_PLAIN_EMAIL} AS m, c.before AS before, c.after AS after, {_PLAIN_EMAIL} != c.m AS veiled))"
     more = [
         F.expr(
-            f"transform(l_{k}, c -> struct({i} AS kind, c.s AS s, c.e AS e, concat('{i}|', {_DESCRIPTION}) AS code, "
-            f"exists(b_{k}, b -> b.s < c.e AND c.s < b.e) AS real))"
+            f"transform({read[k]}, c -> struct({i} AS kind, c.s AS s, c.e AS e, concat('{i}|', {_DESCRIPTION}) AS code, "
+            f"exists(b_{k}, b -> b.s < c.e AND c.s < b.e) AS real, c.veiled AS veiled))"
         )
         for i, k in enumerate(KINDS)
     ]
     return rows.select(*keep, F.concat(*base).alias("_base"), F.concat(*more).alias("_more"))
 
 
+#: A leaf's value, or (feature, limit, tree up to the limit, tree beyond it).
+Tree = float | tuple
+
+
 @dataclass
 class Selector:
-    """The descriptions whose candidates are taken beyond the base spans, and the thresholds behind them."""
+    """Boosted trees as an expression over a description, and per kind the margin from which a candidate is taken."""
 
-    codes: list[str]
+    trees: list[tuple[float, Tree]]
     thresholds: dict[str, float]
 
+    def margin(self, x: Column) -> Column:
+        """What the trees make of a description as numbers; the larger the likelier."""
+        return reduce(lambda a, b: a + b, [F.lit(weight) * _read(tree, x) for weight, tree in self.trees], F.lit(0.0))
+
     def column(self) -> Column:
         """``_more`` cut down to the selected candidates that overlap no base span of their kind."""
-        if not self.codes:
+        if not self.thresholds:
             return F.expr("cast(array() AS array<struct<kind:int,s:int,e:int>>)")
-        chosen = F.array(*(F.lit(c) for c in self.codes))
-        return F.transform(
-            F.filter("_more", lambda c: ~c["real"] & F.array_contains(chosen, c["code"])),
-            lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")),
-        )
+
+        def chosen(c: Column) -> Column:
+            margin = F.round(self.margin(c["x"]), DIGITS)
+            return reduce(lambda a, b: a | b, [(c["kind"] == KINDS.index(k)) & (margin >= t) for k, t in self.thresholds.items()])
+
+        span = lambda c: [c[part].alias(part) for part in ("kind", "s", "e")]
+        open_ = F.filter("_more", lambda c: ~c["real"] & c["kind"].isin([KINDS.index(k) for k in self.thresholds]))
+        read = F.transform(open_, lambda c: F.struct(*span(c), _numbers(c["code"]).alias("x")))
+        return F.transform(F.filter(read, chosen), lambda c: F.struct(*span(c)))
+
+
+def _numbers(code: Column) -> Column:
+    return F.split(code, "[|]").cast("array<double>")
+
+
+def _read(tree: Tree, x: Column) -> Column:
+    if isinstance(tree, float):
+        return F.lit(tree)
+    feature, limit, low, high = tree
+    return F.when(x[feature] <= limit, _read(low, x)).otherwise(_read(high, x))
+
+
+def _grown(node) -> Tree:
+    """A fitted tree's node as plain numbers."""
+    if node.subtreeDepth() == 0:
+        return float(node.prediction())
+    return int(node.split().featureIndex()), float(node.split().threshold()), _grown(node.leftChild()), _grown(node.rightChild())
 
 
 def fit(found: DataFrame, rounds: int = 12, depth: int = 3, precision: float = PRECISION, seed: int = 3) -> Selector:
     """Fit the trees on the descriptions of all candidates in ``found`` (columns _more and _half).
 
-    Documents with ``_half`` 0 fit, those with 1 calibrate. Without candidates, or
-    with one class only, nothing is selected.
+    Documents with ``_half`` 0 fit, those with 1 calibrate. Disguised candidates
+    have no label, so they teach nothing; they are taken like plain ones of the same
+    description. Without candidates, or with one class only, nothing is selected.
     """
     counted = (
         found.select("_half", F.explode("_more").alias("c"))
+        .filter("NOT c.veiled")
         .groupBy(F.col("c.code").alias("code"))
         .agg(*(F.count_if((F.col("_half") == h) & (F.col("c.real") == r)).alias(f"n{h}{int(r)}") for h in (0, 1) for r in (False, True)))
     )
-    counted = materialize(counted.orderBy("code").limit(MOST_DESCRIPTIONS + 1))
-    size = counted.agg(F.count("*"), F.sum("n00"), F.sum("n01")).first()
-    if size[0] > MOST_DESCRIPTIONS:
-        raise ValueError("too many descriptions: make the buckets coarser")
-    if not size[1] or not size[2]:
+    counted = materialize(counted)
+    size = counted.agg(F.sum("n00"), F.sum("n01")).first()
+    if not size[0] or not size[1]:
         return Selector([], {})
-    described = counted.withColumn("features", array_to_vector(F.split("code", "[|]").cast("array<double>")))
-    sides = [described.select("features", F.lit(float(y)).alias("label"), F.col(f"n0{y}").cast("double").alias("weight")) for y in (0, 1)]
-    rows = sides[0].unionByName(sides[1]).filter("weight > 0").coalesce(2)
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="weight", seed=seed, stepSize=0.3, maxBins=64).fit(rows)
-    scored = trees.transform(described).select("code", "n10", "n11", vector_to_array("probability")[1].alias("p")).collect()
-    return Selector(*_select(scored, precision))
+    described = counted.withColumn("features", array_to_vector(_numbers(F.col("code"))))
+    sides = [described.select("code", "features", F.lit(float(y)).alias("label"), F.col(f"n0{y}").cast("double").alias("weight")) for y in (0, 1)]
+    # In a fixed order, so that a run again grows the same trees.
+    rows = sides[0].unionByName(sides[1]).filter("weight > 0").repartitionByRange(2, "code", "label").sortWithinPartitions("code", "label")
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="weight", seed=seed, stepSize=0.3, maxBins=64).fit(rows)
+    grown = [(float(w), _grown(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
+    selector = Selector(grown, {})
+    # Rounded margins: however many descriptions there are, some thousands of rows per kind come to the driver.
+    scored = counted.groupBy(F.split("code", "[|]")[0].cast("int").alias("kind"), F.round(selector.margin(_numbers(F.col("code"))), DIGITS).alias("p")).agg(
+        F.sum("n10").alias("n10"), F.sum("n11").alias("n11")
+    )
+    selector.thresholds = _select(scored.collect(), precision)
+    return selector
 
 
-def _select(scored: Sequence, precision: float) -> tuple[list[str], dict[str, float]]:
-    """Per kind the lowest likelihood down to which the unseen candidates are real in ``precision`` of cases.
+def _select(scored: Sequence, precision: float) -> dict[str, float]:
+    """Per kind the lowest margin down to which the unseen candidates are real in ``precision`` of cases.
 
-    A description must also be likelier than not: where a kind had too few unseen
-    candidates to tell, nothing beyond the base is taken.
+    A description must also be likelier than not, which is a margin above zero:
+    where a kind had too few unseen candidates to tell, nothing beyond the base is taken.
     """
     thresholds: dict[str, float] = {}
     for i, kind in enumerate(KINDS):
-        rows = sorted((r for r in scored if r["code"].startswith(f"{i}|")), key=lambda r: -r["p"])
         real = seen = 0
-        for at, r in enumerate(rows):
+        for r in sorted((r for r in scored if r["kind"] == i), key=lambda r: -r["p"]):
             real, seen = real + r["n11"], seen + r["n11"] + r["n10"]
-            last = at + 1 == len(rows) or rows[at + 1]["p"] < r["p"]
-            if last and seen >= 20 and real >= precision * seen and r["p"] >= 0.5:
+            if seen >= 20 and real >= precision * seen and r["p"] >= 0.0:
                 thresholds[kind] = r["p"]
-    codes = sorted(r["code"] for r in scored if r["p"] >= thresholds.get(KINDS[int(r["code"].split("|")[0])], 2.0))
-    return codes, thresholds
+    return thresholds
 
 
 def _halved(docs: DataFrame, doc_id: str) -> Column:
