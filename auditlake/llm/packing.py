@@ -36,7 +36,7 @@ BLOCK = 1 << 22
 
 
 def rooms(tokens: int, length: int = LENGTH) -> list[int]:
-    """Lengths of sequences for exactly so many tokens: full ones, then the remainder's powers of two, or one rest if ``length`` is none."""
+    """Lengths of sequences for exactly so many tokens: full ones, then the powers of two that make up the remainder."""
     full, rest = divmod(tokens, length)
     return [length] * full + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 

@@ -162,6 +162,17 @@ def test_trees_add_spans_like_the_real_ones(frame):
     assert got[1000].n_phone == 0 and "phone:" in got[1000].spans
 
 
+def test_disguised_emails_go_with_plain_ones(frame):
+    plain = [(i, f"write to bob{i}@site{i}.com today", None, None, 0) for i in range(400)]
+    forms = ["bob{0} (at) site{0} (dot) com", "bob{0}[at]site{0}[dot]com", "bob{0} at site{0} dot com"]
+    veiled = [(1000 + i, f"write to {forms[i % 3].format(i)} today", None, None, 0) for i in range(400)]
+    other = [(2000 + i, f"we met at noon, item {i}-{i}-{i}-{i}, dot to dot", None, None, 0) for i in range(200)]
+    got = {r.doc_id: r for r in pii.find(frame(DOCS, [*plain, *veiled, *other])).collect()}
+    assert all(got[i].spans == got[i].base_spans and got[i].n_email == 1 for i in range(400))
+    assert all(got[1000 + i].n_email == 0 and got[1000 + i].spans == f"email:9:{9 + len(forms[i % 3].format(i))}" for i in range(400))
+    assert all("email" not in got[2000 + i].spans for i in range(200))
+
+
 def test_redaction(frame):
     rows = [(1, "me@x.org and 10.0.0.1, +1 (446) 555-8962é", "en", None, 3), (2, None, "en", "s", 0), (None, "none here", None, None, 1), (3, "", None, None, 0)]
     docs = frame(DOCS, rows * 2)
@@ -266,6 +277,24 @@ def test_vector_links_against_brute_force(frame, block):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in out)
 
 
+def test_copies_of_a_vector_are_compared_once(frame):
+    """3,000 copies of one vector, more than blocks hold, and an id with two vectors."""
+    rng = np.random.default_rng(6)
+    base = [float(x) for x in rng.normal(size=8)]
+    near = [[x + 0.02 for x in base], [x - 0.02 for x in base]]
+    rows = [(i, base, 1) for i in range(3000)] + [(5000, near[0], 1), (5001, near[1], 1), (5002, base, 2), (6000, base, 1), (6000, [-x for x in base], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pstable.near_duplicates(frame(VECTORS, rows), block=64).collect()}
+    assert got[0] == (3002, 0, True) and got[2999] == (3002, 0, False)
+    assert got[5000] == (3002, 0, False) == got[5001] and got[5002] == (0, 5002, True) and got[6000] == (3002, 0, False)
+
+
+def test_tables_follow_the_rows():
+    for rows in (1, 10**3, 10**5, 10**8):
+        tables, projections = pstable.planned(rows, 0.93)
+        assert pstable.collision_chance(0.93, tables, projections) >= 0.999
+        assert rows * pstable.collision_chance(0.0, 1, 1) ** projections <= pstable.CROWD
+
+
 def test_vector_recall_and_empty(frame):
     assert pstable.collision_chance(0.93) > 0.999 and pstable.collision_chance(0.98) > 0.999999
     assert pstable.collision_chance(0.0) < 0.1

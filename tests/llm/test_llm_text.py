@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import pieces, quality, repetition, simhash, toxicity
 from auditlake.llm import queries as Q
+from auditlake.llm.common import labelled_sample
 from auditlake.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,6 +74,30 @@ def test_quality_and_toxicity_on_held_out_rows(spark):
         assert sum(r[label] == r.predicted for r in rows) / len(rows) >= least
 
 
+def test_kernel_ridge_against_plain_algebra(spark, sf_dir):
+    """The sums of all tasks, the map and the calibration, recomputed from the sampled rows in one place."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    rows = labelled_sample(docs, labels, "quality", "doc_id", "text", quality.SAMPLE, 17).collect()
+    x, y = np.array([quality.statistics(r.text.encode()) for r in rows]), np.array([r.y for r in rows], float)
+    unseen = np.array([r.part == 0 for r in rows])
+    assert len(rows) > 150 and 0 < unseen.sum() < len(rows)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 0, x.std(0), 1.0))
+    scaled = np.clip((x - x.mean(0)) / model.scale, -8, 8)
+    z = model.lift(x)
+    distance = ((scaled[:, None, :] - scaled[None, :, :]) ** 2).sum(-1)
+    assert np.abs(z[:, :-1] @ z[:, :-1].T - np.exp(-distance / quality.N_FEATURES)).mean() < 0.08
+    a, n = z[~unseen], int((~unseen).sum())
+    penalty = 1e-3 * n * np.diag([1 / z.shape[1]] * (z.shape[1] - 1) + [1e-9])
+    assert np.allclose(model.weights, np.linalg.solve(a.T @ a + penalty, a.T @ y[~unseen]), rtol=1e-4, atol=1e-6)
+    raw, seen = model.raw(x[unseen]), y[unseen]
+    order = np.argsort(raw, kind="stable")
+    raw, seen = raw[order], seen[order]
+    for i in range(0, len(raw), 7):  # the isotonic fit as the largest of the smallest means
+        best = max(min(seen[lo : hi + 1].mean() for hi in range(i, len(raw))) for lo in range(i + 1))
+        assert np.interp(raw[i], *model.steps) == pytest.approx(best, abs=1e-9)
+
+
 def test_classifiers_take_odd_rows(odd, frame):
     texts = ["idiot you fool here", "a fine day it is", "the idiot said nothing", "good words on a walk"] * 40
     docs = frame(DOCS, [(i, f"{t} {i}", "en", "s", 1) for i, t in enumerate(texts)])
