@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.llm.common import batches, give_back, write_once
+from auditlake.llm.common import arrow_rows, batches, give_back, write_once
 from auditlake.llm.vocabularies import BYTE_LEVEL, PIECES, ByteLevel, SentencePieces, loaded
 
 #: Bytes of text in a block of documents, a longer document being a block of its own.
@@ -281,7 +281,8 @@ def alignments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a: s
     and an empty digest. A null id stays null. Repeated rows count as documents
     each. An empty table gives none. Columns beside the two named are not looked at.
     """
-    found = write_once(blocks(docs, doc_id, text, a, b, with_groups), "alignment")
+    with arrow_rows(docs.sparkSession, 1000):
+        found = write_once(blocks(docs, doc_id, text, a, b, with_groups), "alignment")
     size_b = len(loaded(SentencePieces, b).spelling)
     table = pair_counts(found, size_b)
     asked = found.select("block", F.posexplode("pairs").alias("at", "pair"))
