@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.llm.common import batches
+from auditlake.llm.common import batches, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -222,9 +222,11 @@ class Vocabulary:
         starts[np.concatenate(([0], stops[:-1]))[stops > np.concatenate(([0], stops[:-1]))]] = True
         at = np.flatnonzero(starts)
         raw = whole.encode()
-        size = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
-        begin = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-        offsets = pa.py_buffer(np.append(begin[at], len(raw)).astype(np.int64))
+        size = np.ones(len(points), np.int8)
+        for limit in (0x7F, 0x7FF, 0xFFFF):  # bytes of a character in UTF-8
+            size += points > limit
+        begin = np.cumsum(size, dtype=np.int64)
+        offsets = pa.py_buffer(np.append(begin[at] - size[at], len(raw)))
         coded = pa.LargeStringArray.from_buffers(len(at), offsets, pa.py_buffer(raw)).dictionary_encode()
         return coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64), np.searchsorted(at, stops)
 
@@ -435,6 +437,8 @@ def encode(
                 paths = [[vocabulary.spell(t, picks) for _, picks in r] for t, r in zip(texts, ranked, strict=True)]
                 columns.append(pa.array(paths, pa.list_(pa.list_(pa.int32()))))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
+            del texts, ids, ends, ranked, raw, columns
+            give_back()
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
     schema = StructType([rows.schema["_id"]])
