@@ -135,8 +135,18 @@ def exact_quantiles(
     return _bracketed(_join_keys(rows, stats.filter("_size > 0"), keys, "inner"), keys, probs)
 
 
+#: Groups whose brackets every task may hold.
+MOST_GROUPS = 10_000
+
+
 def _join_keys(rows: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on null-safe keys; the whole table when there are none."""
+    """Join on null-safe keys; the whole table when there are none.
+
+    The brackets are a written table, whose size Spark does not know: few are
+    counted and sent to the tasks, so the rows need not be shuffled by a few hot keys.
+    """
+    if keys and small.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS:
+        small = F.broadcast(small)
     if not keys:
         one = small.select(F.struct("_size", "_ends").alias("s")).scalar()
         return rows.withColumn("_s", one).select("*", "_s._size", "_s._ends").drop("_s")
