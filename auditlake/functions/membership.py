@@ -1,7 +1,6 @@
 """Which columns hold which values, for many columns of many tables at once.
 
-Every table is read once. Its values of interest go, as text, into one shuffle by
-value; there each distinct value carries the set of columns that hold it, and any
+Every table is read once. Its values of interest go into one shuffle by value; there each distinct value carries the set of columns that hold it, and any
 question of the kind "which values of this column are in that one" is a sum over
 these sets. Rows are combined per task first, so a hot value weighs nothing.
 """
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditlake.functions.exprs import INTEGERS
+
 #: Columns in one word of a set.
 WORD = 62
 
@@ -42,10 +43,14 @@ def memberships(tables: dict[str, DataFrame], columns: list[tuple[str, str]], co
     ``columns`` (see ``holds``). ``_n<i>``: rows with it in column i, for the places
     in ``counted``. Nulls are no values.
     """
+    fields = [tables[t].schema[c] for t, c in columns]
+    # Keys are mostly integers, which need not become text to be compared.
+    whole = all(isinstance(f.dataType, INTEGERS) for f in fields)
+    read = lambda f: F.col(f"`{f.name}`").cast("bigint") if whole else comparable(f)
     parts = []
     for name in dict.fromkeys(t for t, _ in columns):
         df = tables[name]
-        entries = [F.struct(F.lit(i).alias("_c"), comparable(df.schema[c]).alias("_v")) for i, (t, c) in enumerate(columns) if t == name]
+        entries = [F.struct(F.lit(i).alias("_c"), read(fields[i]).alias("_v")) for i, (t, _) in enumerate(columns) if t == name]
         parts.append(df.select(F.inline(F.array(*entries))).filter("_v IS NOT NULL"))
     at = F.col("_c")
     words = range(-(-len(columns) // WORD))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.exprs import NUMERIC, TEMPORAL, melt, micros, no_rows, ratio, sum_parts, total_parts, ts_text
+from auditlake.functions.exprs import INTEGERS, NUMERIC, TEMPORAL, melt, micros, no_rows, ratio, sum_parts, total_parts, ts_text
 from auditlake.operators.profile import _columns, type_family
 
 #: log2 of the buckets of the distinct sketch (off by 2 % or so), and values the frequent-value sketch tracks.
@@ -38,8 +38,12 @@ def _time(kind: T.DataType) -> bool:
     return isinstance(kind, TEMPORAL)
 
 
-def _item(c: Column) -> Column:
-    """A value as text of bounded length."""
+def _item(c: Column, kind: T.DataType) -> Column:
+    """A value as the frequent-value sketch tracks it: numbers as such, all else as text of bounded length."""
+    if isinstance(kind, INTEGERS):
+        return c.cast("bigint")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return c
     text = c.cast("string")
     return F.when(F.length(text) > SHOWN, F.concat(F.substring(text, 1, SHOWN - 33), F.lit("~"), F.md5(text))).otherwise(text)
 
@@ -55,8 +59,8 @@ def _state(field: T.StructField) -> Column:
     else:  # texts have no extremes of interest; their lengths have ranks
         low, high, ranked = F.lit(None).cast("string"), F.lit(None).cast("string"), F.kll_sketch_agg_bigint(F.length(text).cast("bigint"))
     parts = [
-        F.count(c).alias("n"), low.alias("low"), high.alias("high"), F.hll_sketch_agg(_item(c), DISTINCT_BITS).alias("seen"), ranked.alias("ranked"),
-        F.call_function("approx_top_k_accumulate", F.when(c.isNotNull(), _item(c)), F.lit(TRACKED)).alias("common"),
+        F.count(c).alias("n"), low.alias("low"), high.alias("high"), F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), DISTINCT_BITS).alias("seen"),
+        ranked.alias("ranked"), F.call_function("approx_top_k_accumulate", _item(c, kind), F.lit(TRACKED)).alias("common"),
     ]
     if _number(kind):
         sums = [F.sum(part).alias(f"t{i}") for i, part in enumerate(sum_parts(c, kind))]
@@ -111,7 +115,7 @@ def profile_of(states: DataFrame, fields: list[T.StructField], k: int = 5) -> Da
         rank = lambda p, at=at, n=n, read=read: F.when(n > 0, read(at("ranked"), F.lit(p)))
         time = _time(f.dataType)
         common = F.call_function("approx_top_k_estimate", at("common"), F.lit(k + 1))
-        known = F.slice(F.transform(F.filter(common, lambda x: x["item"].isNotNull()), lambda x: F.struct(x["item"].alias("value"), x["count"].alias("n"))), 1, k)
+        known = F.slice(F.transform(F.filter(common, lambda x: x["item"].isNotNull()), lambda x: F.struct(x["item"].cast("string").alias("value"), x["count"].alias("n"))), 1, k)
         rows.append(
             F.struct(
                 F.lit(f.name).alias("column_name"),
