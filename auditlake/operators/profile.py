@@ -55,25 +55,29 @@ def _form(dtype: T.DataType) -> str:
     return dtype.simpleString() if isinstance(dtype, (T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)) else "string"
 
 
-def _grouped(df: DataFrame, cols: list[str]) -> list[DataFrame]:
+def _grouped(df: DataFrame, cols: list[str], texts: bool = False) -> list[DataFrame]:
     """The distinct values of all columns with their number, per form: (_c: the column's place, _v, _x, _n).
 
     Values are counted per task first, so only distinct ones are shuffled and a hot
     value weighs nothing. A long text is its beginning ``_v`` and its digest ``_x``.
+    -0.0 and 0.0 are one value; with ``texts`` they are two, told apart by their text ``_x``.
     """
     forms: dict[str, list[int]] = {}
     for i, c in enumerate(cols):
         forms.setdefault(_form(df.schema[c].dataType), []).append(i)
     out = []
     for form, places in forms.items():
+        zeros = texts and form in ("float", "double")
         entries = []
         for i in places:
             v = F.col(f"`{cols[i]}`").cast(form)
             parts = [F.lit(i).alias("_c"), (F.substring(v, 1, HEAD) if form == "string" else v).alias("_v")]
             if form == "string":
                 parts.append(F.when(F.length(v) > HEAD, F.sha2(v, 256)).alias("_x"))
+            elif zeros:
+                parts.append(F.when(v == 0, v.cast("string")).alias("_x"))
             entries.append(F.struct(*parts))
-        keys = ["_c", "_v", "_x"] if form == "string" else ["_c", "_v"]
+        keys = ["_c", "_v", "_x"] if form == "string" or zeros else ["_c", "_v"]
         out.append(df.select(F.inline(F.array(*entries))).groupBy(*keys).agg(F.count("*").alias("_n")))
     return out
 
@@ -152,7 +156,8 @@ def distinct_samples(df: DataFrame, n: int = 5, cols: list[str] | None = None) -
     df, cols = _columns(df, cols)
     place = F.row_number().over(Window.partitionBy("_c").orderBy("value"))
     least = lambda values: values.withColumn("_p", place).filter(F.col("_p") <= n)
-    parts = [g.filter("_v IS NOT NULL").select("_c", F.col("_v").cast("string").alias("value")) for g in _grouped(df, cols)]
+    text = lambda g: F.coalesce("_x", F.col("_v").cast("string")) if dict(g.dtypes)["_v"] in ("float", "double") else F.col("_v").cast("string")
+    parts = [g.filter("_v IS NOT NULL").select("_c", text(g).alias("value")) for g in _grouped(df, cols, texts=True)]
     heads = least(reduce(DataFrame.unionByName, parts).distinct())
     texts = [i for i, c in enumerate(cols) if _form(df.schema[c].dataType) == "string"]
     found = heads.filter(~F.col("_c").isin(texts)).select("_c", "value") if texts else heads.select("_c", "value")

@@ -291,6 +291,15 @@ def test_distinct_samples_over_many_batches(spark):
     assert got == {"a": sorted(map(str, range(977)))[:5]}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_samples_keep_the_sign_of_a_zero(spark, frame, kind):
+    """-0.0 and 0.0 are one value and two texts."""
+    rows = [(-0.0, -0.0, 0.0, 1), (0.0, -0.0, 0.0, 1), (-1.5, 2.0, None, 1), (-0.0, None, None, 1)]
+    df = frame(f"a {kind}, b {kind}, c {kind}, d bigint", rows)
+    got = {r["column_name"]: (r["distinct_count"], r["sample_values"]) for r in profile.column_profile(df.repartition(3)).collect()}
+    assert got == {"a": (2, ["-0.0", "-1.5", "0.0"]), "b": (2, ["-0.0", "2.0"]), "c": (1, ["0.0"]), "d": (1, ["1"])}
+
+
 def test_approx_profile_is_close(spark, sf_dir):
     df = load(spark, sf_dir, "lineitem")
     exact = {r["column_name"]: r["distinct_count"] for r in profile.column_counts(df).collect()}
