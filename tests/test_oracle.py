@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 
 import __spark_entry__ as entry
@@ -32,3 +34,16 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("key", ["g15_build_documents"])
+def test_matches_sql_on_both_zeros(spark, tmp_path, key):
+    """Examples of a column that holds -0.0 and 0.0."""
+    people = [(i, f"C{i}", i % 3, (-0.0, 0.0, -0.25, 1.5)[i % 4], "X") for i in range(12)]
+    spark.createDataFrame(people, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    bought = [(i, i, "O", i + 0.5, dt.datetime(2001, 1, 1 + i), "LOW") for i in range(12)]
+    spark.createDataFrame(bought, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = oracle.duckdb.connect()
+    for name in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert oracle.compare(QUERIES[key](spark, str(tmp_path)), con, SQL[key]) == []
