@@ -36,7 +36,7 @@ def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("key", ["g15_build_documents"])
+@pytest.mark.parametrize("key", ["g15_build_documents", "g21_enriched_profile"])
 def test_matches_sql_on_both_zeros(spark, tmp_path, key):
     """Examples of a column that holds -0.0 and 0.0."""
     people = [(i, f"C{i}", i % 3, (-0.0, 0.0, -0.25, 1.5)[i % 4], "X") for i in range(12)]
