@@ -206,11 +206,12 @@ def ann_join(
     percent: int = PERCENT_FOUND,
     qblock: int = QUERY_BLOCK,
     cblock: int = CORPUS_BLOCK,
+    per_list: int | None = None,
 ) -> DataFrame:
     """Approximate k nearest rows from an inverted file: a query is compared with the rows of its nearest lists.
 
     Every corpus row is in the list of its nearest centroid; the centroids are
-    learnt on a bounded sample (``inverted.learn``). There are as many lists as the
+    learnt on all rows, or on about ``per_list`` rows for each (``inverted.learn``). There are as many lists as the
     root of the corpus, ``MOST_LISTS`` at most, and larger lists are cut into
     blocks. How many lists a query visits is measured unless ``probes`` says it:
     so many that ``percent`` of the true neighbours of up to ``CALIBRATING`` queries
@@ -224,7 +225,7 @@ def ann_join(
     left, right = left.filter(usable), right.filter(usable)
     rows = right.count()
     lists = lists or min(MOST_LISTS, max(1, math.ceil(math.sqrt(rows))))
-    centres = learn(right, lists, rows, metric)
+    centres = learn(right, lists, rows, metric, per_list=per_list)
     if not len(centres):
         return no_rows(queries, RESULT + ", place bigint")
     probes = min(probes or _measured(left, right, centres, k, metric, percent), len(centres))

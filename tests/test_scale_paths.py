@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -196,6 +197,21 @@ def test_ann_compares_few_pairs_where_vectors_cluster(spark, metric):
     assert visited[1] < 0.3 and visited[1] <= visited[0]
 
 
+def test_lists_are_learnt_on_all_rows(spark):
+    """Plain k-means over every row, of which there are many for each list."""
+    points = np.random.default_rng(4).normal(size=(900, 8))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "item_id bigint, vec array<double>")
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    want = unit[sorted(range(900), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:6]]
+    for _ in range(inverted.ROUNDS):
+        home = (unit @ want.T).round(9).argmax(axis=1)
+        means = np.array([unit[home == b].mean(axis=0) for b in range(6)])
+        want = (means / np.linalg.norm(means, axis=1, keepdims=True)).round(6)
+    got = inverted.learn(df.repartition(5), 6, 900, "cosine")
+    assert np.abs(got - want).max() < 2e-6
+    assert np.abs(inverted.learn(df, 6, 900, "cosine", per_list=20) - want).max() > 0.01
+
+
 def test_ann_join_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, embedding array<float>")
     one = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, embedding array<float>")
