@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditlake.functions.exprs import micros
+from auditlake.functions.exprs import count_if, melt
 from auditlake.operators import profile as p
 from auditlake.operators import quality as q
 from auditlake.operators import state as st
 from auditlake.plans import Registry
 from auditlake.plans.shapes import mean, total
+from auditlake.session import materialize
 from auditlake.sources.tables import load
 
 REG = Registry()
@@ -367,21 +368,28 @@ def c18_exact(spark, d):
 def c18_bounds(spark, d):
     """The sketches against exact figures: distinct values within 5 %, medians within 1 % of the ranks, counts of frequent values within 1/1000 of the rows."""
     lines = load(spark, d, "lineitem")
-    near = st.approx_profile(lines)
+    # One row per column; the sketches are made once, and what they say goes into one more pass as constants.
+    near = materialize(st.approx_profile(lines, ranges=False))
     exact = p.column_counts(lines).select("column_name", "distinct_count")
-    sizes = lines.select(*[F.col(c) if LINE_FAMILIES[c] != "text" else F.length(c).alias(c) for c in LINES])
-    pairs = [F.struct(F.lit(c).alias("column_name"), (micros(c) if LINE_FAMILIES[c] == "temporal" else F.col(c)).cast("double").alias("v")) for c in LINES]
-    middle = F.coalesce("approx_median", micros(F.to_timestamp_ntz("approx_median_time")).cast("double")).alias("m")
-    ranks = sizes.select(F.inline(F.array(*pairs))).join(F.broadcast(near.select("column_name", middle)), "column_name").groupBy("column_name").agg(
-        F.avg((F.col("v") < F.col("m")).cast("double")).alias("below"), F.avg((F.col("v") > F.col("m")).cast("double")).alias("above")
-    )
-    counts = p.long_form(lines, LINES, "string").groupBy("column_name", "value").agg(F.count("*").alias("exact_n"))
-    told = near.select("column_name", "total_count", F.inline("common_values"))
-    common = told.join(counts, ["column_name", "value"]).groupBy("column_name").agg(
-        F.bool_and(F.abs(F.col("n") - F.col("exact_n")) <= F.col("total_count") / 1000).alias("common_close")
-    )
+    aggs, entries = [F.count("*").alias("_rows")], []
+    for i, r in enumerate(near.collect()):
+        c = r["column_name"]
+        family, kind, v = LINE_FAMILIES[c], lines.schema[c].dataType, F.col(c)
+        if family == "temporal":
+            ranked, middle = v, F.lit(r["approx_median_time"]).cast(kind)
+        else:
+            ranked, middle = (F.length(c) if family == "text" else v).cast("double"), F.lit(r["approx_median"]).cast("double")
+        aggs += [F.avg((ranked < middle).cast("double")).alias(f"_b{i}"), F.avg((ranked > middle).cast("double")).alias(f"_a{i}")]
+        close = F.lit(True)
+        for j, told in enumerate(r["common_values"] or []):
+            same = v == F.lit(told["value"]).cast(kind)
+            # -0.0 and 0.0 are equal, but two frequent values.
+            same = same & (v.cast("string") == told["value"]) if told["value"] in ("0.0", "-0.0") else same
+            aggs.append(count_if(same).alias(f"_n{i}_{j}"))
+            close &= F.abs(F.col(f"_n{i}_{j}") - told["n"]) <= r["total_count"] / 1000
+        entries.append(F.struct(F.lit(c).alias("column_name"), F.col(f"_b{i}").alias("below"), F.col(f"_a{i}").alias("above"), close.alias("common_close")))
+    ranks = melt(lines.agg(*aggs).filter("_rows > 0"), entries)
     off = F.abs(F.col("approx_distinct") - F.col("distinct_count")) / F.col("distinct_count")
-    return near.join(exact, "column_name").join(ranks, "column_name").join(common, "column_name", "left").select(
-        "column_name", (off <= 0.05).alias("distinct_close"), ((F.col("below") <= 0.51) & (F.col("above") <= 0.51)).alias("median_close"),
-        F.coalesce("common_close", F.lit(True)).alias("common_close"),
+    return near.join(exact, "column_name").join(ranks, "column_name").select(
+        "column_name", (off <= 0.05).alias("distinct_close"), ((F.col("below") <= 0.51) & (F.col("above") <= 0.51)).alias("median_close"), "common_close",
     )
