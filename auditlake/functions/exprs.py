@@ -133,6 +133,22 @@ def micros(ts: str | Column) -> Column:
     return F.when(F.typeof(at) == "timestamp", F.unix_micros(at.cast("timestamp"))).otherwise(wall)
 
 
+def number_text(x: str | Column, kind: T.DataType | None = None) -> Column:
+    """A number as text. Doubles are plain from 1e-4 to below 1e16, where Spark's cast leaves 1e-3 to 1e7; others as 1e+16, 9.9e-05."""
+    text = as_col(x).cast("string")
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        return text
+    size, at = F.abs(as_col(x)), lambda limit: F.lit(limit).cast(kind)
+    # At most 17 digits, so 22 decimals hold them all.
+    plain = F.regexp_replace(text.try_cast("decimal(38,22)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.0)?E([0-9])", "e+$2"), r"(\.0)?E-", "e-")
+    return (
+        F.when(~text.contains("E"), text)
+        .when((size >= at(1e-4)) & (size < at(1e16)), plain)
+        .otherwise(F.regexp_replace(short, "e-([0-9])$", "e-0$1"))
+    )
+
+
 def ts_text(ts: str | Column) -> Column:
     return F.date_format(as_col(ts), "yyyy-MM-dd HH:mm:ss.SSSSSS")
 

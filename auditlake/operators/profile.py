@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from auditlake.functions.exprs import (
     FRACTIONAL, NUMERIC, TEMPORAL, kind_of, literal_table, melt, numeric_columns, as_double, ratio,
     string_columns,
-    temporal_columns, trunc, ts_text, mean_of, total_of, flattened, no_rows,
+    temporal_columns, trunc, ts_text, mean_of, number_text, total_of, flattened, no_rows,
 )
 from auditlake.functions.ordering import bracket_sketch, exact_quantiles
 from auditlake.session import materialize
@@ -119,8 +119,8 @@ def numeric_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             F.col(f"_a{i}").cast("double").alias("min_value"),
             F.col(f"_b{i}").cast("double").alias("max_value"),
             F.col(f"_m{i}").alias("avg_value"),
-            F.col(f"_a{i}").cast("string").alias("min_exact"),
-            F.col(f"_b{i}").cast("string").alias("max_exact"),
+            number_text(f"_a{i}", kind_of(df, c)).alias("min_exact"),
+            number_text(f"_b{i}", kind_of(df, c)).alias("max_exact"),
         )
         for i, c in enumerate(cols)
     ]
@@ -156,7 +156,8 @@ def distinct_samples(df: DataFrame, n: int = 5, cols: list[str] | None = None) -
     df, cols = _columns(df, cols)
     place = F.row_number().over(Window.partitionBy("_c").orderBy("value"))
     least = lambda values: values.withColumn("_p", place).filter(F.col("_p") <= n)
-    text = lambda g: F.coalesce("_x", F.col("_v").cast("string")) if dict(g.dtypes)["_v"] in ("float", "double") else F.col("_v").cast("string")
+    shown = lambda g: number_text("_v", g.schema["_v"].dataType)
+    text = lambda g: F.coalesce("_x", shown(g)) if dict(g.dtypes)["_v"] in ("float", "double") else shown(g)
     parts = [g.filter("_v IS NOT NULL").select("_c", text(g).alias("value")) for g in _grouped(df, cols, texts=True)]
     heads = least(reduce(DataFrame.unionByName, parts).distinct())
     texts = [i for i, c in enumerate(cols) if _form(df.schema[c].dataType) == "string"]
@@ -183,7 +184,7 @@ def column_profile(df: DataFrame, n: int = 5, cols: list[str] | None = None) ->
         avg = F.lit(None).cast("double")
         if isinstance(kind, (*NUMERIC, *TEMPORAL)):
             aggs += [F.min(c).alias(f"_a{i}"), F.max(c).alias(f"_b{i}")]
-            text = ts_text if isinstance(kind, TEMPORAL) else lambda x: F.col(x).cast("string")
+            text = ts_text if isinstance(kind, TEMPORAL) else lambda x: number_text(x, kind)
             low, high = text(f"_a{i}"), text(f"_b{i}")
         if isinstance(kind, NUMERIC):
             aggs.append(mean_of(c, kind).alias(f"_m{i}"))
