@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from auditlake.functions.exprs import as_double
+from auditlake.functions.exprs import as_double, number_text
 from auditlake.functions.substrings import MOST_CHARACTERS, occurrences
 from auditlake.functions.text import contains_any, hit_count
 from auditlake.session import materialize
@@ -317,7 +318,7 @@ def enriched_profile(profile: DataFrame, documents: DataFrame) -> DataFrame:
         fact("nulls", "null_count"),
         fact("min", "min_value"),
         fact("max", "max_value"),
-        F.concat(F.lit("avg="), F.round("avg_value", 6).cast("string")),
+        F.concat(F.lit("avg="), number_text(F.round("avg_value", 6), T.DoubleType())),
     )
     texts = documents.filter(F.col("kind") == "column").select("table_name", "column_name", "content")
     return profile.withColumn("facts", facts).join(texts, ["table_name", "column_name"], "left").select(

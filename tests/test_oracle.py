@@ -72,6 +72,13 @@ def test_matches_sql_on_large_and_small_amounts(spark, tmp_path, key, balances):
     assert oracle.compare(QUERIES[key](spark, str(tmp_path)), con, SQL[key]) == []
 
 
+@pytest.mark.parametrize("step", [1, 10_000_000])
+def test_enriched_profile_matches_sql_on_large_means(spark, tmp_path, step):
+    """Amounts and means that Spark's cast prints with an exponent."""
+    con = _amounts(spark, tmp_path, (1e7, 12345678.9, 10000000.25, 5.5, 2e9), step)
+    assert oracle.compare(QUERIES["g21_enriched_profile"](spark, str(tmp_path)), con, SQL["g21_enriched_profile"]) == []
+
+
 @pytest.mark.parametrize(
     "kind, more", [("float", []), ("double", [1e15, 1.5e15, 9999999999999998.0, 1e16, -1e16, 1.25e17, 1e100, 1.0000000000000002e-4])]
 )
